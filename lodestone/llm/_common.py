@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute is there only then
 from pyspark.sql import DataFrame, SparkSession
 
 
