@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = {"packing": ["op5_packing"], "token_counts": ["op8_token_counts"]}
+_MODULES = {"packing": ["op5_packing"], "quality": ["op6_quality"], "token_counts": ["op8_token_counts"]}
 
 
 def queries() -> dict:
