@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = {"langid": ["op1_language_id"], "packing": ["op5_packing"], "quality": ["op6_quality"], "token_counts": ["op8_token_counts"]}
+_MODULES = {"langid": ["op1_language_id"], "packing": ["op5_packing"], "quality": ["op6_quality"], "toxicity": ["op9_toxicity"], "token_counts": ["op8_token_counts"]}
 
 
 def queries() -> dict:
