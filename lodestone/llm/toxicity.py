@@ -72,6 +72,11 @@ def _tanh(x: np.ndarray) -> np.ndarray:
     return 1 - 2 / (np.exp(np.clip(2 * x, -30, 30)) + 1)
 
 
+def _scatter(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by place."""
+    return np.stack([np.bincount(at, c, n) for c in rows.T], 1).astype(np.float32)
+
+
 class Network:
     def __init__(self, seed: int = 1):
         r = np.random.default_rng(seed)
@@ -133,7 +138,7 @@ class Network:
         d_states = d_states + d_e @ self.p["wa"].T
         h2, d_x = 2 * HIDDEN, np.zeros_like(x)
         for d, at in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, h2))):
-            u, du, d_a = self.p[f"u{d}"], np.zeros_like(self.p[f"u{d}"]), np.zeros_like(a[d])
+            u, du, d_in = self.p[f"u{d}"], np.zeros_like(self.p[f"u{d}"]), np.empty((ids.shape[1], len(ids), 3 * HIDDEN), np.float32)
             d_h = np.zeros((len(ids), HIDDEN), np.float32)
             for i, h, z, r, q, new in reversed(kept[d]):
                 d_h = d_h + d_states[i, :, at]
@@ -142,17 +147,15 @@ class Network:
                 d_z = d_h * m * (h - new) * z * (1 - z)
                 d_r = d_new * q * r * (1 - r)
                 d_hu = np.concatenate([d_z, d_r, d_new * r], 1)
-                np.add.at(d_a, ids[:, i], np.concatenate([d_z, d_r, d_new], 1))
+                d_in[i] = np.concatenate([d_z, d_r, d_new], 1)
                 du += h.T @ d_hu
                 d_h = d_h * (1 - m * (1 - z)) + d_hu @ u.T
-            d_a = d_a[1:]
+            d_a = _scatter(ids.T.ravel(), d_in.reshape(-1, 3 * HIDDEN), len(a[d]))[1:]
             g |= {f"u{d}": du, f"c{d}": d_a.sum(0), f"w{d}": x.T @ d_a}
             d_x += d_a @ self.p[f"w{d}"].T
-        g |= {"word": np.zeros_like(self.p["word"]), "gram": np.zeros_like(self.p["gram"])}
-        np.add.at(g["word"], word, d_x[:, :DIM])
-        share = d_x[:, DIM:] / there.sum(1)[:, None]
         rows, cols = np.nonzero(there)
-        np.add.at(g["gram"], gram[rows, cols], share[rows])
+        g["word"] = _scatter(word, d_x[:, :DIM], WORDS)
+        g["gram"] = _scatter(gram[rows, cols], (d_x[:, DIM:] / there.sum(1)[:, None])[rows], GRAMS)
         return float(-np.log(np.where(y > 0, prob, 1 - prob) + 1e-9).mean()), g
 
     def logits(self, texts: list[list[bytes]]) -> np.ndarray:
