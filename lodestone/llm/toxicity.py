@@ -179,32 +179,35 @@ def train(texts: list[bytes], labels: np.ndarray, *, rounds: int = ROUNDS, seed:
     numbers: dict[bytes, int] = {}
     flat = np.append(np.fromiter((numbers.setdefault(w, len(numbers) + 1) for t in docs for w in t), np.int64), 0)
     word, gram, there = features([*numbers])
+    word, gram = word.astype(np.int32), gram.astype(np.int16)
     lengths = np.array([len(t) for t in docs], np.int64)
     start, size, per = windows(lengths)
     first = np.cumsum(per) - per
     own = np.repeat(np.arange(len(docs)), per)
-    ids = np.where(np.arange(WINDOW) < size[:, None], flat[np.minimum(start[:, None] + np.arange(WINDOW), len(flat) - 1)], 0)
+    ids = np.concatenate([np.where(np.arange(WINDOW) < size[i : i + 4096, None], flat[np.minimum(start[i : i + 4096, None] + np.arange(WINDOW), len(flat) - 1)], 0).astype(np.int32) for i in range(0, len(start), 4096)])
     ids, own = np.append(ids, np.zeros((1, WINDOW), ids.dtype), 0), np.append(own, len(docs))  # the padding window, clean
     # start from how much more often a bucket stands in toxic than in clean documents
-    doc_of = np.repeat(np.arange(len(docs)), lengths)
     y = np.append(labels, 0).astype(np.float32)
 
-    def odds(bucket: np.ndarray, of: np.ndarray, count: int) -> np.ndarray:
-        pairs = np.unique(of * count + bucket)
-        b, t = pairs % count, y[pairs // count]
-        hot, cold = np.bincount(b, t, count), np.bincount(b, 1 - t, count)
-        return np.clip(np.log((hot + 0.5) / (labels.sum() + 1)) - np.log((cold + 0.5) / ((1 - labels).sum() + 1)), -1, 3) * (hot + cold > 5)
+    hot, cold = (np.zeros(WORDS), np.zeros(GRAMS)), (np.zeros(WORDS), np.zeros(GRAMS))
+    ends = np.cumsum(lengths)
+    for i in range(len(docs)):  # in how many documents of either class each bucket stands
+        own_words = np.unique(flat[ends[i] - lengths[i] : ends[i]]) - 1
+        for k, met in enumerate((word[own_words], gram[own_words][there[own_words]])):
+            (hot if y[i] else cold)[k][np.unique(met)] += 1
 
-    w_odds = odds(word[flat[:-1] - 1], doc_of, WORDS)
-    r, c = np.nonzero(there[flat[:-1] - 1])
-    g_odds = odds(gram[flat[:-1] - 1][r, c], doc_of[r], GRAMS)
+    def odds(k: int) -> np.ndarray:
+        ratio = np.log((hot[k] + 0.5) / (labels.sum() + 1)) - np.log((cold[k] + 0.5) / ((1 - labels).sum() + 1))
+        return np.clip(ratio, -1, 3) * (hot[k] + cold[k] > 5)
+
+    w_odds, g_odds = odds(0), odds(1)
     net.p["word"][:, 0], net.p["gram"][:, 0] = w_odds, g_odds
     by_word = np.append(w_odds[word] + np.where(there, g_odds[gram], 0).max(1), 0)[np.r_[len(word), : len(word)]]
-    value = by_word[ids].max(1)
+    value = np.concatenate([by_word[ids[i : i + 4096]].max(1) for i in range(0, len(ids), 4096)])
     m, v, step = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0
     for round_ in range(rounds):
         if round_ >= 2:
-            a = net.inputs(net.vectors(word, gram, there))
+            a = net.inputs(np.concatenate([net.vectors(word[i : i + 8192], gram[i : i + 8192], there[i : i + 8192]) for i in range(0, len(word), 8192)]))
             value = np.concatenate([net.run(a, ids[i : i + 1024]) for i in range(0, len(ids), 1024)])
         order = np.lexsort((-value, own))
         top = order[first]
@@ -224,7 +227,7 @@ def train(texts: list[bytes], labels: np.ndarray, *, rounds: int = ROUNDS, seed:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] * g[k] - v[k])
                 x -= (0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    a = net.inputs(net.vectors(word, gram, there))
+    a = net.inputs(np.concatenate([net.vectors(word[i : i + 8192], gram[i : i + 8192], there[i : i + 8192]) for i in range(0, len(word), 8192)]))
     best = np.maximum.reduceat(np.concatenate([net.run(a, ids[i : i + 1024]) for i in range(0, len(ids), 1024)])[:-1], first)
     toxic, clean = np.sort(best[labels > 0]), np.sort(best[labels == 0])
     # fewest errors, a clean document's counting double; of the widest gap without one, the place a third below its toxic end
