@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = {"langid": ["op1_language_id"], "packing": ["op5_packing"], "quality": ["op6_quality"], "simhash": ["op3_simhash"], "topk": ["op10_topk"], "warc": ["op2_warc"], "toxicity": ["op9_toxicity"], "token_counts": ["op8_token_counts"]}
+_MODULES = {
+    "langid": ["op1_language_id"],
+    "warc": ["op2_warc"],
+    "simhash": ["op3_simhash"],
+    "substrings": ["op4_substrings"],
+    "packing": ["op5_packing"],
+    "quality": ["op6_quality"],
+    "mixing": ["op7_mixing"],
+    "token_counts": ["op8_token_counts"],
+    "toxicity": ["op9_toxicity"],
+    "topk": ["op10_topk"],
+}
 
 
 def queries() -> dict:

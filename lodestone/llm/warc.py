@@ -114,7 +114,7 @@ def read_archives(spark: SparkSession, path: str, ws: Workspace | None = None) -
         mended = whole.withColumn("value", value).select("file", F.col("own").alias("at"), F.sha2(F.expr("substring(cast(value AS binary), body + 1, cast(length AS int))"), 256).alias("mended"))
         good = good.join(mended, ["file", "at"], "left").withColumn("read_digest", F.coalesce("read_digest", "mended"))
     number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    return good.select("file", "at", number("record").alias("id"), "type", "length", "payload_length", F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"), number("refers_to").alias("refers_to"), "read_digest")
+    return good.select("file", "at", number("record").alias("id"), "type", "length", "payload_length", F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"), number("refers_to").alias("refers_to"), F.when(F.col("type") != "revisit", F.col("read_digest")).alias("read_digest"))
 
 
 def archive(pages: DataFrame, path: str, *, id_col: str = "page_id", payload_col: str = "html") -> None:
