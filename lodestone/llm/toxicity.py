@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lodestone.llm._common import slices, table, utf8_of
 
@@ -254,18 +255,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train([t.encode("utf-8", "replace") for t in got["text"]], y)
 
 
-def score(docs: DataFrame, model: Network | float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per document: id, score (0 to 1), predicted (1 if score >= threshold)."""
+def score(docs: DataFrame, model: Network | float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: id, score (0 to 1), predicted (1 if score >= threshold); with carry, these columns of docs instead of the id."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [id_col] if carry is None else carry
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for b in slices(batches, "text", 1 << 20):
-            s = np.full(b.num_rows, net) if isinstance(net, float) else _sigmoid(net.logits([words_of(t) for t in utf8_of(b.column(1))]).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
+        for b in slices(batches, "_text", 1 << 20):
+            s = np.full(b.num_rows, net) if isinstance(net, float) else _sigmoid(net.logits([words_of(t) for t in utf8_of(b.column(0))]).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), *kept)
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(key):
