@@ -54,7 +54,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     joined = docs.join(plan, docs[source_col].eqNullSafe(plan["_source"]))
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, d: n + F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col(id_col), d))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = joined.withColumn("_count", drawn).filter("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).cast("long"))
+    copies = joined.withColumn("_count", drawn).filter("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count").cast("long") - 1)))
     keyed = copies.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "replica")).select(*docs.columns, "replica", "_key")
     return keyed.repartition(n, "_key").sortWithinPartitions("_key").drop("_key")
 
