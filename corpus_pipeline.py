@@ -26,16 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id stays."""
     found = simhash.near_duplicates(docs, width=NEAR_WORDS)
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a character that loses some of its bytes goes as a whole. Documents left empty stay, as empty texts."""
     more = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     kept = substrings.remove_repeats(docs, more=more, with_kept=True)
-    text = F.regexp_replace(F.try_validate_utf8(F.col("kept").cast("string")), "^$", "")
-    clean = F.coalesce(text, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    text = F.col("kept").cast("string")
+    clean = F.coalesce(F.try_validate_utf8(text), F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
     return kept.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
