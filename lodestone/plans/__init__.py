@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from lodestone.plans import evidence, operations
+
 
 def queries() -> dict:
-    return {}
+    return {**evidence.QUERIES, **operations.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**evidence.SQL, **operations.SQL}
