@@ -26,6 +26,7 @@ def quotes_in(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> Data
     at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.col(text).substr(i, F.lit(PREFIX)))))
     met = docs.filter(F.length(text) > 0).withColumn("_p", at).join(keyed, "_p").filter(F.contains(F.col(text), F.col(quote))).drop("_p")
     for n in lengths:
-        parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i, n=n: F.col(text).substr(i, F.lit(n)))))
+        size = F.lit(n)
+        parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.col(text).substr(i, size))))  # noqa: B023  used at once
         met = met.unionByName(docs.filter(F.length(text) > 0).withColumn("_p", parts).join(quotes.filter(F.length(quote) == n).withColumn("_p", F.col(quote)), "_p").drop("_p"))
     return met
