@@ -10,6 +10,8 @@ from lodestone.operators import bench as B
 from lodestone.operators import claims as C
 from lodestone.operators import graph as G
 from lodestone.operators import ledger as L
+from lodestone.operators import report as P
+from lodestone.operators import runs as RUN
 from lodestone.operators import tables as X
 from lodestone.plans._common import now, table
 from lodestone.sources import replay as R
@@ -247,7 +249,48 @@ def source_claims(spark: SparkSession, d: str) -> DataFrame:
     return li.join(winners, "id", "left_semi").agg(F.count("*").alias("winners")).join(F.broadcast(C.live(li).agg(F.count("*").alias("live"))))
 
 
+def report_competitors(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as competitors: model, price and free tier from three claims each, one of them missing for some."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("entity_id"))
+    k = F.col("entity_id")
+    made = lambda n, attribute, text, num: s.filter(text.isNotNull() if text is not None else num.isNotNull()).select((k * 10 + n).alias("id"), "entity_id", F.lit(attribute).alias("attribute"), (F.lit(None).cast("string") if text is None else text).alias("value_text"), (F.lit(None).cast("double") if num is None else num).alias("value_num"), F.lit(None).cast("long").alias("superseded_by"))
+    claims = X.union(made(1, "pricing.model", F.when(k % 3 == 0, "free").otherwise("seat"), None), made(2, "pricing.entry_usd_month", None, F.when(k % 2 == 0, k * 1.5)), made(3, "pricing.free_tier", F.when(k % 5 != 0, F.when(k % 4 == 0, "true").otherwise("false")), None), made(4, "product.platforms", F.when(k % 7 == 0, "web"), None), made(5, "product.platforms", F.when(k % 7 == 0, "ios"), None))
+    entities = s.select(F.col("entity_id").alias("id"), F.when(k % 2 == 0, "indie").alias("maturity"))
+    return P.competitors(claims, entities).select("entity_id", "model", "price", "free_tier", "positioning")
+
+
+def run_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as runs, lines as tasks; thresholds decide what breaches."""
+    o, li, e = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "events")
+    at = F.to_timestamp_ntz(F.lit("1998-06-30 00:00:00"))
+    runs = o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("cost_usd"), F.col("o_orderdate").cast("timestamp_ntz").alias("started_at"), (F.col("o_orderdate").cast("timestamp_ntz") + F.make_interval(mins=(F.col("o_orderkey") % 90).cast("int"))).alias("finished_at"))
+    tasks = li.select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") == 3, "failed").otherwise("done").alias("status"))
+    claims = table(spark, d, "labels").select(F.col("doc_id").alias("source_id"), F.lit("the").alias("quote"))
+    sources = table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.col("text").alias("extracted_text"))
+    stats = e.select(F.col("event_id").alias("claims_bound"), F.from_json("props", "map<string,bigint>").alias("claims_dropped"))
+    out = RUN.metrics(runs, tasks, claims, sources, stats, {"cost_per_run": 100.0, "task_failure_rate": 0.5, "binding_rate": 1.0}, at)
+    return out.select("key", F.round("value", 6).alias("value"), "threshold", "breached")
+
+
+def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return G.similar_pairs(v, 0.2, block="label").select("a", "b", F.round("score", 6).alias("score"))
+
+
 SQL = {
+    "report_competitors": """
+SELECT * FROM (SELECT s_suppkey::BIGINT AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN 'free' ELSE 'seat' END AS model, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 1.5::DOUBLE WHEN s_suppkey % 3 = 0 THEN 0 END AS price, s_suppkey % 4 = 0 AS free_tier,
+ CASE WHEN s_suppkey % 2 = 0 THEN 'Indie' ELSE 'Unclassified' END || ' competitor' || CASE WHEN s_suppkey % 7 = 0 THEN ' on ios, web' ELSE '' END || ' with ' || CASE WHEN s_suppkey % 3 = 0 THEN 'free' ELSE 'seat' END || '-based pricing.' AS positioning FROM supplier WHERE s_suppkey % 5 <> 0) WHERE price IS NOT NULL""",
+    "run_metrics": """
+WITH r AS (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS cost, o_orderdate::TIMESTAMP AS t FROM orders), n AS (SELECT * FROM r WHERE t > TIMESTAMP '1998-06-30' - INTERVAL 30 DAYS),
+m AS (SELECT 'cost_per_run' AS key, avg(cost) AS value, 100.0::DOUBLE AS threshold FROM n
+ UNION ALL SELECT 'p95_seconds', percentile_cont(0.95) WITHIN GROUP (ORDER BY (o_orderkey % 90 * 60)::DOUBLE), NULL FROM n
+ UNION ALL SELECT 'runs_today', (count(*) FILTER (WHERE t >= TIMESTAMP '1998-06-30'))::DOUBLE, NULL FROM r
+ UNION ALL SELECT 'task_failure_rate', count(*) FILTER (WHERE l_linenumber = 3) / nullif(count(*), 0)::DOUBLE, 0.5 FROM lineitem JOIN n ON l_orderkey = o_orderkey
+ UNION ALL SELECT 'drop_rate', sum(k) / (sum(k) + sum(event_id))::DOUBLE, NULL FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events)
+ UNION ALL SELECT 'binding_rate', count(*) FILTER (WHERE contains(text, 'the')) / count(*)::DOUBLE, 1.0 FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL)
+SELECT key, round(value, 6) AS value, threshold, coalesce(CASE WHEN key = 'binding_rate' THEN value < threshold ELSE value > threshold END, false) AS breached FROM m""",
+    "similar_vectors": "SELECT a, b, round(s, 6) AS score FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE s >= 0.2",
     "status_counts": "SELECT " + ", ".join(f"count(*) FILTER (WHERE event_type = '{x}') AS {x}" for x in ["view", "signup", "purchase", "error", "click", "refund"]) + " FROM events",
     "failure_rates": "SELECT user_id % 10 AS bucket, round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 9) AS failure_rate FROM events GROUP BY 1",
     "percentiles": """
