@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Workspace, table
@@ -82,16 +82,19 @@ def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0,
     dim = lengths["dim"]
     rows = rows.filter(F.size("x") == dim)
     cand = ws.keep("candidates", blocks(rows.select("id", "x"), dim, scale, block))
-    asks = ws.keep("queries", blocks(rows.filter("asks").select("id", "x").distinct().coalesce(max(1, spark.sparkContext.defaultParallelism // 2)), dim, scale, block).withColumn("q_block", F.xxhash64("ids", "cells")))
+    asks = ws.keep("queries", blocks(rows.filter("asks").select("id", "x").distinct().coalesce(max(1, spark.sparkContext.defaultParallelism // 2)), dim, scale, block).withColumn("hash", F.xxhash64("ids", "cells")))
+    # blocks are numbered by their hashes alone: a small row per `block` queries
+    index = asks.select("hash").distinct().withColumn("q_block", F.row_number().over(Window.orderBy("hash")).cast("long") - 1)
+    asks = ws.keep("asks", asks.join(index, "hash").drop("hash"))
     tops = cand.agg(F.max("peak")).first()[0] or 0.0, asks.agg(F.max("peak")).first()[0]
     if tops[1] is None:
         return spark.createDataFrame([], empty)
     bound = int(tops[0] * tops[1] * dim)
     if bound >= 1 << 53:
         raise ValueError(f"scores up to {bound} are not exact in 64-bit floats")
+    n_blocks = asks.count()
     # every query block meets every candidate block: numbers of query blocks are laid beside each candidate block
-    numbers = [r.q_block for r in asks.select("q_block").distinct().collect()]  # one number per `block` queries
-    dealt = cand.withColumn("q_block", F.explode(F.array(*map(F.lit, numbers))))
+    dealt = cand.withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
     names = asks.select("q_block", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
     width = 1
     while width * bins < 2 * bound + 1:
@@ -99,7 +102,7 @@ def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0,
     state = asks.select("q_block", "ids").mapInArrow(lambda bs: _ranges(bs, -bound, k), "q_block long, base binary, lack binary")
     while True:
         state = ws.keep("state", state)
-        pairs = dealt.join(F.broadcast(names) if len(numbers) == 1 else names, "q_block").join(F.broadcast(state) if len(numbers) == 1 else state, "q_block")
+        pairs = dealt.join(F.broadcast(names) if n_blocks == 1 else names, "q_block").join(F.broadcast(state) if n_blocks == 1 else state, "q_block")
         found = pairs.select("q_block", "ids", "cells", "q_ids", "q_cells", "base", "lack").mapInArrow(lambda bs, w=width: _histogram(bs, dim, w, bins), "q_block long, at long, n long")
         held = found.groupBy("q_block", "at").agg(F.sum("n").alias("n"))
         state = _refine(state, held, width, bins)
@@ -107,12 +110,10 @@ def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0,
             break
         width //= bins
     state = ws.keep("state", state)
-    pairs = dealt.join(F.broadcast(names) if len(numbers) == 1 else names, "q_block").join(F.broadcast(state) if len(numbers) == 1 else state, "q_block")
+    pairs = dealt.join(F.broadcast(names) if n_blocks == 1 else names, "q_block").join(F.broadcast(state) if n_blocks == 1 else state, "q_block")
     passed = pairs.select("ids", "cells", "q_ids", "q_cells", "base", "lack").mapInArrow(lambda bs: _filter(bs, dim), "query_id long, best array<struct<score:long,vec_id:long>>")
     # per query: the lists of all blocks, each cut at k, are merged by an aggregate that keeps k
     flat = passed.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score").distinct()
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return flat.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
