@@ -27,13 +27,18 @@ MIN_REVISIT, ARCHIVE_BYTES = 100, 32 << 20
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 
 
-def revisits(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
-    """id, payload (binary), digest, refers_to: the id of the response for a revisit, else null; copy numbers rows that repeat an id."""
+def revisits(pages: DataFrame, ws: Workspace | None = None, *, id_col: str = "page_id", payload_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
+    """id, payload (binary), digest, refers_to: the id of the response for a revisit, else null.
+
+    Only payloads that occur twice are listed, in a table of their own, so that Spark sees its size: a small list is sent
+    to the payloads, a large one is joined by shuffle. Rows are numbered in the order of the scan, which must be stable.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
     # the first row of each payload: its id, and of rows that share it one
     row = F.struct(F.col("id").isNull().alias("gone"), "id", F.col("tag"))
     tagged = rows.withColumn("tag", F.monotonically_increasing_id())
     first = tagged.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    first = (ws or Workspace(pages.sparkSession, "warc")).keep("first", first)
     joined = tagged.join(first, "digest", "left")
     mine = F.col("first").isNull() | (F.col("first.tag") == F.col("tag"))
     return joined.select("id", "payload", "digest", F.when(mine, None).otherwise(F.col("first.id")).alias("refers_to"), (~mine).alias("revisit"))
@@ -117,14 +122,14 @@ def read_archives(spark: SparkSession, path: str, ws: Workspace | None = None) -
     return good.select("file", "at", number("record").alias("id"), "type", "length", "payload_length", F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"), number("refers_to").alias("refers_to"), F.when(F.col("type") != "revisit", F.col("read_digest")).alias("read_digest"))
 
 
-def archive(pages: DataFrame, path: str, *, id_col: str = "page_id", payload_col: str = "html") -> None:
-    write_archives(revisits(pages, id_col=id_col, payload_col=payload_col), path)
+def archive(pages: DataFrame, path: str, ws: Workspace | None = None, *, id_col: str = "page_id", payload_col: str = "html") -> None:
+    write_archives(revisits(pages, ws, id_col=id_col, payload_col=payload_col), path)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "warc")
     path = f"{ws.root}/archives-{uuid.uuid4().hex[:6]}"
-    archive(table(spark, sf_dir, "pages"), path)
+    archive(table(spark, sf_dir, "pages"), path, ws)
     got = read_archives(spark, path, ws)
     # a response's length and digest are those of the payload read back; a revisit's are those its header states
     return got.select(F.col("id").alias("page_id"), F.when(F.col("type") == "revisit", F.col("payload_length")).otherwise(F.col("length")).alias("payload_bytes"), F.when((F.col("type") == "revisit"), F.col("payload_digest")).otherwise(F.coalesce("read_digest", F.sha2(F.lit(b""), 256))).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
