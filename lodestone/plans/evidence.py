@@ -26,7 +26,7 @@ def bind_span(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_drops(spark: SparkSession, d: str) -> DataFrame:
-    """Every three-letter opening of a document bound in that document: unique, ambiguous or absent."""
+    """The first twelve characters of each document bound in that document: unique, ambiguous or absent."""
     rows = table(spark, d, "documents").withColumn("quote", F.substring("text", 1, 12))
     return rows.groupBy(F.coalesce(T.span_drop_reason(F.col("text"), F.col("quote")), F.lit("bound")).alias("outcome")).agg(F.count("*").alias("n"))
 
