@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, simhash, substrings, toxicity
+from lodestone.llm import mixing, packing, shingles, substrings, toxicity
 from lodestone.llm._common import Workspace, table
 
-#: What the near-duplicate stage works on: shingles of five words.
+#: What the near-duplicate stage works on: shingles of five words, linked at a similarity of 0.8 or more.
 NEAR_WORDS = 5
 
 
@@ -25,9 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs, width=NEAR_WORDS)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    ws = Workspace(spark, "near")
+    rows = ws.keep("numbered", docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = shingles.near_duplicates(rows, row_col="_row", width=NEAR_WORDS).join(rows.select("_row", "doc_id"), "_row")
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

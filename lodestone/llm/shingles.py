@@ -1,0 +1,139 @@
+"""Near-duplicates by the similarity of word shingles: texts whose shingle sets have a Jaccard similarity of 4/5 or more.
+
+Equal sets collapse by a 128-bit hash. Candidates are sets that agree in one of BANDS bands of DEPTH min-hashes: a pair of
+similarity exactly 0.8 is missed with probability (1 - 0.8^DEPTH)^BANDS = 5e-8, a closer one with less. Every candidate
+is verified by the sets themselves, so no pair below the threshold is linked.
+
+Only components are wanted, so a bucket's pairs within one component need no look. In star rounds one member of each bucket meets
+the others; when few pairs between components are left, or a round no longer lessens them, all of those are verified.
+
+Bytes are lower-cased in ASCII and split at white space; fewer words than the width are one shingle. Texts without words
+are linked with each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.llm._common import Workspace, slices, utf8_of
+from lodestone.llm.components import components
+
+WORDS, BANDS, DEPTH, FEW = 5, 32, 4, 8
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_hash = partial(xxhash.xxh64_intdigest, seed=42)
+_rng = np.random.default_rng(11)
+_XOR = _rng.integers(0, 1 << 64, (BANDS * DEPTH, 1), np.uint64)
+_BY = _rng.integers(0, 1 << 63, (BANDS * DEPTH, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(0, 1 << 64, BANDS, np.uint64)
+
+
+def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the shingles."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(size + 1) - 1
+    k = min(width, len(words))
+    n = len(words) - k + 1
+    starts, ends = (ends - size)[:n].tolist(), ends[k - 1 :].tolist()
+    return np.unique(np.fromiter((_hash(joined[a:b]) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key per band of min-hashes."""
+    if not found.size:
+        return found
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 1024):
+        np.minimum(least, ((found[i : i + 1024] ^ _XOR) * _BY).min(1), out=least)
+    key = _BAND.copy()
+    for part in least.reshape(BANDS, DEPTH).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """row, same (a hash of the whole set), n (its size), bands."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingles(t, width) for t in utf8_of(b.column(1))]
+            same = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists([bands(s) for s in sets])], ["row", "same", "n", "bands"])
+
+    return rows.mapInArrow(run, "row long, same binary, n long, bands array<long>")
+
+
+def sets_of(rows: DataFrame, width: int) -> DataFrame:
+    """row, held: the shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t, width) for t in utf8_of(b.column(1))])], ["row", "held"])
+
+    return rows.mapInArrow(run, "row long, held array<long>")
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (u, v) those whose sets have a similarity of 4/5 or more."""
+    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("held").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("held").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int = WORDS) -> DataFrame:
+    """One row per document: row_col, component (the smallest row_col that a chain of links reaches). row_col: long, unique, the same in every scan."""
+    ws = Workspace(docs.sparkSession, "shingles")
+    rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    prints = ws.keep("prints", signatures(rows, width))
+    nodes = ws.keep("nodes", prints.groupBy("same").agg(F.min("row").alias("node")))
+    own = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
+    places = own.select(F.explode("bands").alias("key"), F.col("row").alias("node"), "n")
+    # of buckets with the same members one is enough
+    kinds = places.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all")).filter("size > 1")
+    places = ws.keep("places", places.join(kinds.groupBy("size", "all").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    total = places.count()
+    sets = ws.keep("sets", sets_of(rows.join(places.select(F.col("node").alias("row")).distinct(), "row", "left_semi"), width))
+    links, star, before, turn = None, None, float("inf"), 0
+    while True:
+        at = places.withColumn("label", F.col("node"))
+        if star is not None:
+            at = places.join(star.select(F.col("u").alias("node"), F.col("v").alias("l")), "node", "left").select("key", "node", "n", F.coalesce("l", "node").alias("label"))
+        at = ws.keep("at", at)
+        per = at.groupBy("key", "label").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
+        if not left:
+            break
+        last = left <= FEW * total or left > 0.9 * before
+        before, turn = left, turn + 1
+        one = at.select("key", *(F.col(c).alias("p_" + c) for c in ("node", "n", "label")))
+        if not last:
+            lead = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "label")
+            one = at.groupBy("key").agg(F.min(lead).alias("f")).select("key", *(F.col("f." + c).alias("p_" + c) for c in ("node", "n", "label")))
+        sized = 5 * F.least("n", "p_n") >= 4 * F.greatest("n", "p_n")
+        met = at.join(one, "key").filter((F.col("label") != F.col("p_label")) & sized & ((F.col("node") > F.col("p_node")) if last else F.lit(True)))
+        pairs = ws.keep("pairs", met.select(F.greatest("node", "p_node").alias("u"), F.least("node", "p_node").alias("v")).distinct())
+        found = ws.keep(f"found-{turn}", alike(pairs, sets))
+        links = found if links is None else links.unionByName(found)
+        star = components(ws, links)
+        if last:
+            break
+    named = nodes.withColumn("component", F.col("node"))
+    if star is not None:
+        named = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("l")), "node", "left").select("same", F.coalesce("l", "node").alias("component"))
+    named = ws.keep("named", named.select("same", "component"))
+    return prints.join(named, "same").select(F.col("row").alias(row_col), "component")

@@ -1,0 +1,63 @@
+"""The pipeline's near-duplicate stage against brute force over five-word shingles."""
+
+import random
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestone.llm import shingles
+from lodestone.llm._common import table
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
+
+
+def brute(texts):
+    def of(t):
+        w = (t or "").encode().translate(shingles._LOWER).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, root = [of(t) for t in texts], list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+def texts_of(spark):
+    rng = random.Random(5)
+    base = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()]
+    out = [*base, None, "", " \n", "a b", "A B", "one two three four five six"]
+    for t in base[:40]:
+        w = t.split()
+        for per in (0, 0.01, 0.02, 0.03):
+            if len(w) > 60:
+                v = list(w)
+                for i in rng.sample(range(len(v)), int(per * len(v))):
+                    v[i] = f"changed{rng.randrange(1000)}"
+                out.append(" ".join(v))
+    return out
+
+
+def test_links_all_of_similarity(spark):
+    texts = texts_of(spark)
+    want = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    few = shingles.FEW
+    try:
+        for shingles.FEW in (few, 0):  # without and with star rounds
+            got = {r.row: r.component for r in shingles.near_duplicates(df, row_col="row").collect()}
+            assert got == dict(enumerate(want))
+    finally:
+        shingles.FEW = few
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    texts = texts_of(spark)
+    want = sorted(set(brute(texts)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).repartition(3)
+    out = corpus_pipeline.one_of_each_group(spark, df, SF)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == want
+    assert corpus_pipeline.one_of_each_group(spark, df.filter(F.lit(False)), SF).count() == 0
