@@ -24,12 +24,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each component of near-duplicates one row stays, that of the smallest id; a null id comes last, and of rows that share the id the first in the scan stays."""
     ws = Workspace(spark, "near")
     rows = ws.keep("numbered", docs.withColumn("_row", F.monotonically_increasing_id()))
     found = shingles.near_duplicates(rows, row_col="_row", width=NEAR_WORDS).join(rows.select("_row", "doc_id"), "_row")
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "_row")).alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,12 @@ def test_stage_keeps_one_of_each_group(spark):
     out = corpus_pipeline.one_of_each_group(spark, df, SF)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == want
     assert corpus_pipeline.one_of_each_group(spark, df.filter(F.lit(False)), SF).count() == 0
+
+
+def test_stage_keeps_a_row_of_each_text_whatever_its_id(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, say(0)), (None, say(1)), (None, say(2)), (7, say(3)), (7, say(4)), (8, say(3)), (9, say(5)), (None, say(5)), (9, say(5))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = corpus_pipeline.one_of_each_group(spark, df, SF).collect()
+    want = [(None, say(0)), (None, say(1)), (None, say(2)), (7, say(3)), (7, say(4)), (9, say(5))]
+    assert sorted((repr(r.doc_id), r.text) for r in out) == sorted((repr(i), t) for i, t in want)
