@@ -9,7 +9,8 @@ marked rejected.
 
 Letters are lower-cased, everything else is a word break. Null, empty or letterless text: `und`, score 0, rejected.
 Without training rows every text is `und`. Only the training rows' texts and languages are read for fitting.
-Bounds, both parameters: MOST_NGRAMS n-grams are kept (the most frequent), CALIBRATION rows fit temperature and limits.
+All n-grams are kept: the driver and each executor hold the model, which grows with the distinct n-grams of all languages.
+Bound, a parameter: CALIBRATION rows fit temperature and limits.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._common import Workspace, slices, table
 
-ORDER, MOST_NGRAMS, CALIBRATION = 4, 2_000_000, 1500
+ORDER, CALIBRATION = 4, 1500
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
 
@@ -196,15 +197,13 @@ def calibrate(model: Model, entropies: np.ndarray, truth: np.ndarray, keep: floa
     model.limits = np.array([np.quantile(x, keep) * 1.1 if len(x) else np.inf for x in own])
 
 
-def train_model(train: DataFrame, *, most_ngrams: int = MOST_NGRAMS, calibration: int = CALIBRATION) -> Model:
+def train_model(train: DataFrame, *, calibration: int = CALIBRATION) -> Model:
     """train: columns lang, text, key (any column to sample by)."""
     train = train.filter("lang is not null and text is not null")
     counts = Workspace(train.sparkSession, "langid").keep("counts", count_ngrams(train))
-    if counts.count() > most_ngrams:
-        counts = counts.orderBy(F.desc("n"), "lang", "code").limit(most_ngrams)
-    got = counts.toPandas()
     rows = []
-    for lang, g in got.groupby("lang", sort=True):
+    for lang in sorted(r.lang for r in counts.select("lang").distinct().collect()):
+        g = counts.filter(F.col("lang") == lang).select("code", "n").toPandas()
         codes, n = g["code"].to_numpy().view(np.uint64), g["n"].to_numpy(float)
         order = np.argsort(codes)
         rows.append((lang, codes[order], n[order]))
