@@ -277,6 +277,18 @@ def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
     return G.similar_pairs(v, 0.2, block="label").select("a", "b", F.round("score", 6).alias("score"))
 
 
+def similar_vectors_all(spark: SparkSession, d: str) -> DataFrame:
+    """similar_vectors over all pairs, across labels too."""
+    v = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return G.all_similar_pairs(v, 0.2).select("a", "b", F.round("score", 6).alias("score"))
+
+
+def similar_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the pairs of cosine fixed.SIMILARITY or more; a vector without such a pair is its own cluster."""
+    v = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return G.components(G.all_similar_pairs(v), v.select(F.col("id").alias("node"))).select(F.col("node").alias("vec_id"), F.col("component").alias("cluster"))
+
+
 SQL = {
     "report_competitors": """
 SELECT * FROM (SELECT s_suppkey::BIGINT AS entity_id, CASE WHEN s_suppkey % 3 = 0 THEN 'free' ELSE 'seat' END AS model, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 1.5::DOUBLE WHEN s_suppkey % 3 = 0 THEN 0 END AS price, s_suppkey % 4 = 0 AS free_tier,
@@ -348,4 +360,4 @@ SELECT s_suppkey::VARCHAR AS query_id, unnest(list_filter([CASE WHEN 0.45::DOUBL
     "path_guess": "SELECT s_suppkey, arg_min(p, i) AS path FROM (SELECT s_suppkey, unnest(['/pricing', '/plans', '/pricing-plans', '/price']) AS p, unnest([0, 1, 2, 3]) AS i FROM supplier) WHERE (s_suppkey + i) % 5 = 0 GROUP BY 1",
     "source_claims": "SELECT count(*) FILTER (WHERE l_linenumber = 1 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1)) AS winners, count(*) FILTER (WHERE l_linenumber = 1) AS live FROM lineitem",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "lease_fold"]}
+QUERIES = {name: globals()[name] for name in [*SQL, "lease_fold", "similar_vectors_all", "similar_clusters"]}
