@@ -31,17 +31,23 @@ def revisits(pages: DataFrame, ws: Workspace | None = None, *, id_col: str = "pa
     """id, payload (binary), digest, refers_to: the id of the response for a revisit, else null.
 
     Only payloads that occur twice are listed, in a table of their own, so that Spark sees its size: a small list is sent
-    to the payloads, a large one is joined by shuffle. Rows are numbered in the order of the scan, which must be stable.
+    to the payloads, a large one is joined by shuffle. Rows are told apart by id and digest alone, never by their place in
+    a scan; rows that share both are alike, so one of them is made the response and the others revisits by their count.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    # the first row of each payload: its id, and of rows that share it one
-    row = F.struct(F.col("id").isNull().alias("gone"), "id", F.col("tag"))
-    tagged = rows.withColumn("tag", F.monotonically_increasing_id())
-    first = tagged.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min(row).alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    # the first id of each payload, and how many rows share it
+    row = F.struct(F.col("id").isNull().alias("gone"), "id", "m")
+    each = rows.filter(F.octet_length("payload") >= least).groupBy("digest", "id").agg(F.count("*").alias("m"))
+    first = each.groupBy("digest").agg(F.min(row).alias("first"), F.sum("m").alias("n")).filter("n > 1").select("digest", "first")
     first = (ws or Workspace(pages.sparkSession, "warc")).keep("first", first)
-    joined = tagged.join(first, "digest", "left")
-    mine = F.col("first").isNull() | (F.col("first.tag") == F.col("tag"))
-    return joined.select("id", "payload", "digest", F.when(mine, None).otherwise(F.col("first.id")).alias("refers_to"), (~mine).alias("revisit"))
+    joined = rows.join(first, "digest", "left").withColumn("mine", F.col("first").isNull() | F.col("first.id").eqNullSafe(F.col("id")))
+    alike = F.col("mine") & (F.coalesce("first.m", F.lit(1)) > 1)
+    shown = ["id", "payload", "digest", F.when(F.col("mine"), None).otherwise(F.col("first.id")).alias("refers_to"), (~F.col("mine")).alias("revisit")]
+    if first.filter("first.m > 1").isEmpty():
+        return joined.select(*shown)
+    same = joined.filter(alike).groupBy("digest").agg(F.first("id").alias("id"), F.first("payload").alias("payload"), F.first("first").alias("first"))
+    same = same.withColumn("mine", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("first.m")), lambda k: k == 1)))
+    return joined.filter(~alike).select(*shown).unionByName(same.select(*shown))
 
 
 def write_archives(records: DataFrame, path: str, *, bytes_per_archive: int = ARCHIVE_BYTES) -> None:
