@@ -9,7 +9,7 @@ passed gives the result, ties to the smaller id.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, as query or candidate; all vectors that
 take part have the length that is most frequent (ties: the smaller). A query is never its own candidate; other rows with
-its id are left out with it. Fewer candidates than k: all are returned. Products are exact: they run in 64-bit floats,
+its id are left out with it. Repeated rows count one by one, as candidates and as queries. Fewer candidates than k: all are returned. Products are exact: they run in 64-bit floats,
 whose 53 bits are checked against the largest possible sum.
 """
 
@@ -82,10 +82,10 @@ def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0,
     dim = lengths["dim"]
     rows = rows.filter(F.size("x") == dim)
     cand = ws.keep("candidates", blocks(rows.select("id", "x"), dim, scale, block))
-    asks = ws.keep("queries", blocks(rows.filter("asks").select("id", "x").distinct().coalesce(max(1, spark.sparkContext.defaultParallelism // 2)), dim, scale, block).withColumn("hash", F.xxhash64("ids", "cells")))
-    # blocks are numbered by their hashes alone: a small row per `block` queries
-    index = asks.select("hash").distinct().withColumn("q_block", F.row_number().over(Window.orderBy("hash")).cast("long") - 1)
-    asks = ws.keep("asks", asks.join(index, "hash").drop("hash"))
+    asks = ws.keep("queries", blocks(rows.filter("asks").select("id", "x").repartition(max(1, spark.sparkContext.defaultParallelism // 2)), dim, scale, block).withColumn("tag", F.monotonically_increasing_id()))
+    # blocks are numbered by their tags alone, which are written: a small row per `block` queries
+    index = asks.select("tag").withColumn("q_block", F.row_number().over(Window.orderBy("tag")).cast("long") - 1)
+    asks = ws.keep("asks", asks.join(index, "tag").drop("tag"))
     tops = cand.agg(F.max("peak")).first()[0] or 0.0, asks.agg(F.max("peak")).first()[0]
     if tops[1] is None:
         return spark.createDataFrame([], empty)
@@ -113,7 +113,7 @@ def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0,
     pairs = dealt.join(F.broadcast(names) if n_blocks == 1 else names, "q_block").join(F.broadcast(state) if n_blocks == 1 else state, "q_block")
     passed = pairs.select("ids", "cells", "q_ids", "q_cells", "base", "lack").mapInArrow(lambda bs: _filter(bs, dim), "query_id long, best array<struct<score:long,vec_id:long>>")
     # per query: the lists of all blocks, each cut at k, are merged by an aggregate that keeps k
-    flat = passed.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score").distinct()
+    flat = passed.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return flat.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
