@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, shingles, substrings, toxicity
+from lodestone.llm import mixing, packing, simhash, substrings, toxicity
 from lodestone.llm._common import Workspace, table
 
-#: What the near-duplicate stage works on: shingles of five words, linked at a similarity of 0.8 or more.
-NEAR_WORDS = 5
+#: What the near-duplicate stage works on: shingles of five words, linked at a similarity of 4/5 or more.
+NEAR_WORDS, NEAR_SIMILARITY = 5, (4, 5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates one row stays, that of the smallest id; a null id comes last, and of rows that share the id the first in the scan stays."""
+    """Of each component of near-duplicates (SimHash candidates, verified by their shingles) one row stays, that of the smallest id; a null id comes last, and of rows that share the id the first in the scan stays."""
     ws = Workspace(spark, "near")
     rows = ws.keep("numbered", docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = shingles.near_duplicates(rows, row_col="_row", width=NEAR_WORDS).join(rows.select("_row", "doc_id"), "_row")
+    found = simhash.similar(rows, row_col="_row", width=NEAR_WORDS, similarity=NEAR_SIMILARITY).join(rows.select("_row", "doc_id"), "_row")
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "_row")).alias("first")).select("first._row")
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 

@@ -1,22 +1,28 @@
 """Operator 3: SimHash near-duplicates by anchor-point covering.
 
-Fingerprints are taken per document and equal ones collapse. Anchors are the codewords of a product code. Its first part
-covers 23 bits by the perfect binary Golay code: every pattern lies within RADIUS = 3 of exactly one codeword. The other
-41 bits are cut into five blocks, covered with radius 0 (every pattern is its own anchor). Of two fingerprints that
-differ in at most THRESHOLD = 4 bits, either
+Fingerprints are taken per document and equal ones collapse. Anchors are the codewords of covering codes of parts of the
+64 bits, and the threshold is shared out among the parts. 23 bits are covered by the perfect binary Golay code: every
+pattern lies within RADIUS = 3 of exactly one codeword. The other 41 bits are cut into five blocks, each covered by all
+its patterns, with radius 0. Of two fingerprints that differ in at most THRESHOLD = 4 bits, either
 
 * at most one difference lies in the 23 bits, and then one of the five blocks has none (four differences, five blocks):
   anchors are (codeword, block), five tables; a fingerprint is at home at its own codeword and replicated to every
-  codeword within RADIUS + 1; or
+  codeword within the covering radius plus the table's share of the threshold, 3 + 1; or
 * at least two lie there, at most two elsewhere, and three of the five blocks have none: anchors are three blocks, ten
-  tables, radius 0.
+  tables, covering radius 0 and share 0: a fingerprint has one anchor in each.
 
 So every linked pair meets at an anchor. There they are compared bit by bit, and only a spanning forest of the links
 found is passed on. An anchor with more than HOT rows is dealt out as a grid of cells (home part x replica part).
 Components follow from the forests.
 
-Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated ids share a row's fate each;
-an empty table gives no rows; other columns are not read.
+`similar` links texts by the similarity of their word shingles, 0.8 unless told otherwise. A single fingerprint can't
+carry that (two texts of similarity 0.8 differ in about 9 of 64 bits), so every shingle set gets PRINTS independent
+fingerprints, each dealt to the same anchors. Sets that meet at an anchor of any of them and differ there in at most
+NEAR bits are candidates, and every candidate is verified by the sets themselves: no pair below the similarity is
+linked. Pairs right at the similarity are found with a probability that grows with PRINTS; README has measured recalls.
+
+Null, empty and wordless texts have fingerprint zero and are linked like any other (in `similar`: with each other);
+repeated ids share a row's fate each; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +41,22 @@ from lodestone.llm._common import Workspace, slices, table, utf8_of
 from lodestone.llm.components import components
 
 THRESHOLD, RADIUS, WORDS, HOT = 4, 3, 4, 20_000
+SIMILAR_WORDS, PRINTS, NEAR, FEW = 5, 8, 14, 8
 GOLAY = 0xC75  # generator polynomial of the binary Golay code of length 23
 BLOCKS = [(23, 8), (31, 8), (39, 8), (47, 8), (55, 9)]  # first bit, width
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the rows of h (n x k, 64-bit) have each bit set: 64 k counts. Bytes add up 255 rows at a time."""
+    ones = np.zeros(64 * h.shape[1], np.int64)
+    for i in range(0, len(h), 255):
+        bits = np.unpackbits(np.ascontiguousarray(h[i : i + 255]).view(np.uint8), axis=1, bitorder="little")
+        ones += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return ones
+
+
 def fingerprint(text: bytes, width: int = WORDS) -> int:
     words = text.translate(_LOWER).split()
     if not words:
@@ -51,8 +67,7 @@ def fingerprint(text: bytes, width: int = WORDS) -> int:
     ones, n = np.zeros(64, np.int64), len(words) - k + 1
     starts, ends = (ends - size)[:n].tolist(), ends[k - 1 :].tolist()
     for i in range(0, n, 1 << 16):
-        h = np.fromiter((_hash(joined[a:b]) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += _ones(np.fromiter((_hash(joined[a:b]) for a, b in zip(starts[i : i + (1 << 16)], ends[i : i + (1 << 16)], strict=True)), np.uint64)[:, None])
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
@@ -87,7 +102,7 @@ def _code() -> tuple:
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, fingerprint, home) for all anchors that fingerprints (uint64) go to."""
+    """(anchor, place in fp, home) for all anchors that fingerprints (uint64) go to. Anchors stay below 2^44."""
     low, high, errors, first = _code()
     v = (fp & np.uint64((1 << 23) - 1)).astype(np.int64)
     s = low[v & 0xFFF] ^ high[v >> 12]
@@ -105,8 +120,7 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key.append(k << 40 | parts[a] << 18 | parts[b] << 9 | parts[c])
         at.append(np.arange(len(fp)))
         own.append(np.ones(len(fp), bool))
-    at = np.concatenate(at)
-    return np.concatenate(key), fp[at], np.concatenate(own)
+    return np.concatenate(key), np.concatenate(at), np.concatenate(own)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +176,9 @@ def links(ws: Workspace, prints: DataFrame, *, hot: int = HOT) -> DataFrame:
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 8192):
-                k, f, own = anchors(b.column(0).slice(i, 8192).to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(f.view(np.int64)), pa.array(np.where(own, 3, 2).astype(np.int32))], ["key", "fp", "role"])
+                fp = b.column(0).slice(i, 8192).to_numpy().view(np.uint64)
+                k, at, own = anchors(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fp[at].view(np.int64)), pa.array(np.where(own, 3, 2).astype(np.int32))], ["key", "fp", "role"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -217,6 +232,240 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MOST_WORDS = 200_000
+
+
+class _Words(dict):
+    """Hashes of words, kept while there are few."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > _MOST_WORDS:
+            self.clear()
+        self[word] = h = _hash(word)
+        return h
+
+
+_known = _Words()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes, width: int = SIMILAR_WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the shingles; fewer words than the width are one shingle."""
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    k = min(width, len(words))
+    h = np.full(len(words) - k + 1, np.uint64(k))
+    for j in range(k):
+        h = _mix(h * _GOLDEN + w[j : len(words) - k + 1 + j])
+    return np.unique(h)
+
+
+def many_prints(found: np.ndarray, prints: int) -> np.ndarray:
+    """Independent fingerprints of a set of hashes."""
+    seeds = np.arange(1, prints + 1, dtype=np.uint64) * _GOLDEN
+    ones = np.zeros(64 * prints, np.int64)
+    for i in range(0, len(found), 4080):
+        ones += _ones(_mix(found[i : i + 4080, None] + seeds))
+    return np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
+
+
+def signatures(rows: DataFrame, width: int, prints: int) -> DataFrame:
+    """row, same (a hash of the whole set), n (its size), prints."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingle_set(t, width) for t in utf8_of(b.column(1))]
+            same = [xxhash.xxh128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists([many_prints(s, prints) for s in sets])], ["row", "same", "n", "prints"])
+
+    return rows.mapInArrow(run, "row long, same binary, n long, prints array<long>")
+
+
+def sets_of(rows: DataFrame, width: int) -> DataFrame:
+    """row, held: the shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingle_set(t, width) for t in utf8_of(b.column(1))])], ["row", "held"])
+
+    return rows.mapInArrow(run, "row long, held array<long>")
+
+
+def _near(fp: np.ndarray, home: np.ndarray, most: int, near: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of places in one anchor, one of them at home there, within `near` bits; None once there are more than `most`."""
+    left, right, n = [], [], 0
+    mine = np.nonzero(home)[0]
+    for i in range(0, len(mine), 64):
+        p, q = np.nonzero(np.bitwise_count(fp[mine[i : i + 64], None] ^ fp) <= near)
+        p = mine[i + p]
+        once = (p < q) | ~home[q]
+        once &= p != q
+        left.append(p[once])
+        right.append(q[once])
+        n += len(left[-1])
+        if n > most:
+            return None
+    return (np.concatenate(left), np.concatenate(right)) if left else (mine[:0], mine[:0])
+
+
+def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, tag), sorted by key. Out come candidates (u, v) and, of anchors with many candidates or more than `hot` rows, the rows themselves (key, fp, node) for the rounds of `similar`."""
+
+    def dense(key: np.ndarray, fp: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(fp.view(np.int64)), pa.array(tag >> 1)], ["u", "v", "key", "fp", "node"])
+
+    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(u), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), none, none, none], ["u", "v", "key", "fp", "node"])
+
+    def out(key: np.ndarray, fp: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+        size = np.diff(np.append(first, len(key)))
+        home, node, found = (tag & 1) > 0, tag >> 1, []
+        # anchors of a few rows, all at once: every row with the d-th after it
+        rows = np.nonzero(np.repeat((size > 1) & (size <= few), size))[0]
+        room = np.repeat(first + size, size)[rows] - 1 - rows
+        for d in range(1, few):
+            rows, room = rows[room >= d], room[room >= d]
+            if not rows.size:
+                break
+            met = (np.bitwise_count(fp[rows] ^ fp[rows + d]) <= near) & (home[rows] | home[rows + d])
+            found.append((node[rows[met]], node[rows[met] + d]))
+        for i in np.nonzero(size > few)[0]:
+            at = slice(first[i], first[i] + size[i])
+            got = _near(fp[at], home[at], few * int(size[i]), near) if size[i] <= hot else None
+            if got is None:
+                yield dense(key[at], fp[at], tag[at])
+            else:
+                found.append((node[at][got[0]], node[at][got[1]]))
+        if found:
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(u):
+                yield pairs(u, v)
+
+    held: list[tuple] = []  # rows of the last anchor, which may go on
+    n_held, through = 0, None  # an anchor that has more than `hot` rows already
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+        if through is not None:
+            mine = int(np.searchsorted(rows[0], through, "right"))
+            if mine:
+                yield dense(*(c[:mine] for c in rows))
+                rows = tuple(c[mine:] for c in rows)
+            if not len(rows[0]):
+                continue
+            through = None
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if held and (cut or held[0][0][0] != rows[0][0]):
+            mine = int(np.searchsorted(rows[0], held[0][0][0], "right"))
+            yield from out(*(np.concatenate(c) for c in zip(*held, tuple(c[:mine] for c in rows), strict=True)))
+            held, n_held, rows, cut = [], 0, tuple(c[mine:] for c in rows), cut - mine
+        if cut > 0:
+            yield from out(*(c[:cut] for c in rows))
+            rows = tuple(c[cut:] for c in rows)
+        held.append(rows)
+        n_held += len(rows[0])
+        if n_held > hot:
+            yield dense(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held, n_held, through = [], 0, int(rows[0][-1])
+    if held:
+        yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Of pairs (u, v) those whose sets have the similarity (a fraction) or more. Sizes go first, so that few sets move."""
+    p, q = similarity
+    size = lambda c, n: sizes.select(F.col("node").alias(c), F.col("n").alias(n))
+    fit = pairs.join(size("u", "a"), "u").join(size("v", "b"), "v").filter(q * F.least("a", "b") >= p * F.greatest("a", "b")).select("u", "v")
+    both = fit.join(sets.select(F.col("row").alias("u"), F.col("held").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("held").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(q * shared >= p * (F.size("x") + F.size("y") - shared)).select("u", "v")
+
+
+def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int = SIMILAR_WORDS, similarity: tuple[int, int] = (4, 5), prints: int = PRINTS, near: int = NEAR, hot: int = HOT, few: int = FEW) -> DataFrame:
+    """One row per document: row_col, component (the smallest row_col that a chain of links reaches). row_col: long, unique, the same in every scan.
+
+    Anchors with at most `few` candidates a row give their candidates directly. In the others (large groups of near
+    copies) all pairs would grow with the square of the group, and only components are wanted: in each round one member
+    of an anchor meets the others, each row with one such partner, and what lies in one component by then needs no
+    further look; when few pairs between components are left, or a round no longer lessens them, all of those are verified.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "similar")
+    rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    sketches = ws.keep("sketches", signatures(rows, width, prints))
+    nodes = ws.keep("nodes", sketches.groupBy("same").agg(F.min("row").alias("node")))
+    own = ws.keep("own", sketches.filter("n > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "prints"))
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                node, every = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, prints)
+                for k in range(prints):
+                    key, at, home = anchors(every[:, k])
+                    yield pa.RecordBatch.from_arrays([pa.array(k << 44 | key), pa.array(every[at, k].view(np.int64)), pa.array(node[at] << 1 | home)], ["key", "fp", "tag"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.select("node", "prints").mapInArrow(spread, "key long, fp long, tag long").repartition(n, "key").sortWithinPartitions("key")
+    met = ws.keep("met", dealt.mapInArrow(lambda bs: _meet(bs, near, hot, few), "u long, v long, key long, fp long, node long"))
+    pairs = ws.keep("pairs", met.filter("key is null").select("u", "v").distinct())
+    dense = met.filter("key is not null").select("key", "fp", "node")
+    # of anchors with the same rows one is enough
+    kinds = dense.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    kinds = ws.keep("kinds", kinds.groupBy("size", "all").agg(F.min("key").alias("key")))
+    dense = ws.keep("dense", dense.join(kinds, "key"))
+    ws.free("met")
+    total = dense.count()
+    some = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionByName(dense.select(F.col("node").alias("row"))).distinct()
+    sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
+    sizes = own.select("node", "n")
+    links = ws.keep("links", alike(pairs, sizes, sets, similarity))
+    star, before, turn = components(ws, links), float("inf"), 0
+    while total:
+        label = star.select(F.col("u").alias("node"), F.col("v").alias("l"))
+        at = ws.keep("at", dense.join(label, "node", "left").select("key", "size", "fp", "node", F.coalesce("l", "node").alias("label")))
+        per = at.groupBy("key", "label").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
+        if not left:
+            break
+        last = left <= few * total or left > 0.9 * before
+        before, turn = left, turn + 1
+        if last:
+            one = at.select("key", F.col("fp").alias("p_fp"), F.col("node").alias("p_node"), F.col("label").alias("p_label"))
+        else:
+            lead = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "fp", "node", "label")).alias("f"))
+            one = lead.select("key", F.col("f.fp").alias("p_fp"), F.col("f.node").alias("p_node"), F.col("f.label").alias("p_label"))
+        found = at.join(one, "key").filter((F.col("label") != F.col("p_label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p_fp"))) <= near))
+        if last:
+            found = found.filter("node > p_node").select(F.col("node").alias("u"), F.col("p_node").alias("v")).distinct()
+        else:
+            found = found.groupBy("node").agg(F.max(F.struct("size", F.xxhash64("p_node", F.lit(turn)), "p_node")).alias("f")).select(F.greatest("node", "f.p_node").alias("u"), F.least("node", "f.p_node").alias("v")).distinct()
+        more = ws.keep(f"more-{turn}", alike(found, sizes, sets, similarity))
+        star = components(ws, star.unionByName(more))
+        if last:
+            break
+    label = star.select(F.col("u").alias("node"), F.col("v").alias("l"))
+    named = ws.keep("named", nodes.join(label, "node", "left").select("same", F.coalesce("l", "node").alias("component")))
+    return sketches.join(named, "same").select(F.col("row").alias(row_col), "component")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

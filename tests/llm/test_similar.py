@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import shingles
+from lodestone.llm import simhash
 from lodestone.llm._common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def brute(texts):
     def of(t):
-        w = (t or "").encode().translate(shingles._LOWER).split()
+        w = (t or "").encode().translate(simhash._LOWER).split()
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
     sets, root = [of(t) for t in texts], list(range(len(texts)))
@@ -45,13 +45,36 @@ def test_links_all_of_similarity(spark):
     texts = texts_of(spark)
     want = brute(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    few = shingles.FEW
-    try:
-        for shingles.FEW in (few, 0):  # without and with star rounds
-            got = {r.row: r.component for r in shingles.near_duplicates(df, row_col="row").collect()}
-            assert got == dict(enumerate(want))
-    finally:
-        shingles.FEW = few
+    for more in ({}, {"few": 1, "prints": 10}, {"few": 0, "hot": 3}):  # candidates at once; by rounds; anchors passed through
+        got = {r.row: r.component for r in simhash.similar(df, row_col="row", **more).collect()}
+        assert got == dict(enumerate(want)), more
+
+
+def test_recall_right_at_the_similarity(spark):
+    """Pairs just above 0.8 and just below: nearly all of the former are linked, none of the latter."""
+    rng = random.Random(8)
+    rows, linked, apart = [], [], []
+    for k in range(120):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for n in (12, 16):  # a changed word is in five shingles: 236 of 356 shared, 216 of 376
+            v = list(w)
+            for i in range(n):
+                v[5 + 18 * i if n == 16 else 5 + 24 * i] = f"c{k}x{i}"
+            rows.append(" ".join(v))
+        rows.append(" ".join([*w[:-6], *(f"d{k}x{i}" for i in range(6))]))  # 290 shared of 302
+        linked.append(len(rows) - 1)
+        near = list(w)
+        for i in range(6):
+            near[40 * i + 7] = f"e{k}x{i}"  # 266 of 326: 0.816
+        rows += [" ".join(near), " ".join(w)]
+        linked.append(len(rows) - 2)
+        apart.append(len(rows) - 5)
+    got = {r.row: r.component for r in simhash.similar(spark.createDataFrame(list(enumerate(rows)), "row long, text string"), row_col="row").collect()}
+    truth = brute(rows)
+    assert all(got[i] >= truth[i] for i in got)
+    joined = [i for i, c in enumerate(truth) if c != i]
+    assert len(joined) >= 120 and sum(got[i] != i for i in joined) >= 0.95 * len(joined)
+    assert all(got[i] == i for i, c in enumerate(truth) if c == i)
 
 
 def test_stage_keeps_one_of_each_group(spark):
