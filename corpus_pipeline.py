@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of documents; the last one
 returns the packed pieces. Each result is written to the shared folder and read back as the next stage's input.
+
+All stages: null and empty texts are documents like any other (toxicity keeps them, near-duplicates hold them for copies
+of each other, so one stays); texts of any length are read whole; a null id is an id like any other; rows are judged
+one by one, whatever ids they share; an empty table gives an empty one; further columns, whatever their names, are carried.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, packing, simhash, substrings, toxicity
-from lodestone.llm._common import Workspace, table
+from lodestone.llm._common import Workspace, packed, table
 
 #: What the near-duplicate stage works on: shingles of five words, linked at a similarity of 4/5 or more.
 NEAR_WORDS, NEAR_SIMILARITY = 5, (4, 5)
@@ -19,31 +23,26 @@ NEAR_WORDS, NEAR_SIMILARITY = 5, (4, 5)
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted label is 1 go; repeated ids share one prediction per row."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model, carry=docs.columns).filter("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id")))))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates (SimHash candidates, verified by their shingles) one row stays, that of the smallest id; a null id comes last, and of rows that share the id the first in the scan stays."""
     ws = Workspace(spark, "near")
-    rows = ws.keep("numbered", docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = simhash.similar(rows, row_col="_row", width=NEAR_WORDS, similarity=NEAR_SIMILARITY).join(rows.select("_row", "doc_id"), "_row")
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "_row")).alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows = ws.keep("numbered", docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    found = simhash.similar(rows.select("row", "doc.text"), row_col="row", width=NEAR_WORDS, similarity=NEAR_SIMILARITY).join(rows.select("row", "doc.doc_id"), "row")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "row")).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a character that loses some of its bytes goes as a whole. Documents left empty stay, as empty texts."""
-    more = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = substrings.remove_repeats(docs, more=more, with_kept=True)
-    text = F.col("kept").cast("string")
-    clean = F.coalesce(F.try_validate_utf8(text), F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
-    return kept.withColumn("text", clean).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return substrings.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources weighted by the square root of their size; a document appears as often as it is drawn."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

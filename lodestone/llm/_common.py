@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute is there only then
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
+def free_name(wanted: str, taken: list[str]) -> str:
+    """The name, or the first of name_1, name_2, ... that no column has."""
+    low, k = {c.lower() for c in taken}, 0
+    while (name := wanted if not k else f"{wanted}_{k}").lower() in low:
+        k += 1
+    return name
+
+
+def packed(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns (or these) as one struct, so that their names can't clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in (docs.columns if columns is None else columns))) if (columns is None or columns) else F.struct(F.lit(None).alias("none"))
+
+
 class Workspace:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and are freed when no longer read."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors. A table goes when another takes its name or free() is called; the rest stay until the folder is cleared, since results still read them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

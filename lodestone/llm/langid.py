@@ -3,12 +3,14 @@
 Character n-grams of all training rows are counted by a distributed aggregation. For each order the n-grams of all
 languages stand in one sorted array of 64-bit hashes, beside a matrix of interpolated log probabilities, one column per
 language; context weights likewise. A text gets, per language, its cross-entropy per character over all its characters;
-the lowest wins (ties: the smaller name). The score is the softmax of the negative entropies at a temperature fitted on
-a bounded sample of training rows; on the same sample a cross-entropy limit per language is set, beyond which a row is
-marked rejected.
-
-Letters are lower-cased, everything else is a word break. Null, empty or letterless text: `und`, score 0, rejected.
-Without training rows every text is `und`. Only the training rows' texts and languages are read for fitting.
+the lowest wins (ties: the smaller name). The score is the softmax of the negative entropies at a temperature; a row is
+marked rejected beyond a cross-entropy limit of its language. Both are calibrated on a bounded sample of the training
+rows (a tenth at most) with a model that is fitted without them; the final model has all training rows.
+
+Letters are lower-cased, everything else is a word break; letters beyond U+FFFF share 2,048 codes that no other letter has.
+Null, empty or letterless text: `und`, score 0, rejected. Texts of any length are read whole, repeated rows are
+predicted each, rows without id train. Without training rows every text is `und`; an empty table gives no rows. Other
+columns are not read, whatever their names. Only the training rows' texts and languages are read for fitting.
 All n-grams are kept: the driver and each executor hold the model, which grows with the distinct n-grams of all languages.
 Bound, a parameter: CALIBRATION rows fit temperature and limits.
 """
@@ -41,7 +43,8 @@ def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     first = np.zeros(len(a), bool)
     first[ends - [len(t) + 2 for t in lower]] = True
     keep = letter | first | np.concatenate([[True], letter[:-1]])
-    out = np.where(letter, a & 0xFFFF, _SPACE)[keep].astype(np.uint64)
+    code = np.where(a > 0xFFFF, 0xD800 | (a ^ a >> 11) & 0x7FF, a)
+    out = np.where(letter, code, _SPACE)[keep].astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(keep)[ends - 1]])
     return out, at
 
@@ -59,32 +62,32 @@ def _grams(codes: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarra
 
 
 def count_ngrams(train: DataFrame) -> DataFrame:
-    """lang, code, n over all rows of (lang, text); each task sums its own rows first."""
+    """lang, code, n over all rows of (lang, text, apart), and m over those set apart; each task sums its own rows first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
 
         def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
             codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
             return codes, np.bincount(place, np.concatenate([n for _, n in parts]))
 
         for b in slices(batches, "text"):
-            langs, texts = np.array(b.column(0).to_pylist(), object), b.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                g, _ = _grams(*_codes([texts[i] for i in np.nonzero(langs == lang)[0]]), ORDER)
+            kinds, texts = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1).to_pylist()
+            for kind in sorted(set(kinds)):
+                g, _ = _grams(*_codes([t for t, k in zip(texts, kinds, strict=True) if k == kind]), ORDER)
                 s = np.sort(g)
                 cut = np.nonzero(np.concatenate([[True], s[1:] != s[:-1]]))[0] if s.size else np.zeros(0, int)
-                parts = held.setdefault(lang, [])
+                parts = held.setdefault(kind, [])
                 parts.append((s[cut], np.diff(np.append(cut, s.size)).astype(float)))
                 if len(parts) > 8:
-                    held[lang] = [merged(parts)]
-        for lang, parts in held.items():
+                    held[kind] = [merged(parts)]
+        for (lang, apart), parts in held.items():
             codes, n = merged(parts)
             for i in range(0, len(codes), 100_000):
-                part = codes[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(n[i : i + 100_000].astype(np.int64))], ["lang", "code", "n"])
+                part, k = codes[i : i + 100_000], n[i : i + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.view(np.int64)), pa.array(k), pa.array(k * apart)], ["lang", "code", "n", "m"])
 
-    return train.select("lang", "text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return train.select("lang", "text", "apart").mapInArrow(run, "lang string, code long, n long, m long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 @dataclass
@@ -199,19 +202,27 @@ def calibrate(model: Model, entropies: np.ndarray, truth: np.ndarray, keep: floa
 
 def train_model(train: DataFrame, *, calibration: int = CALIBRATION) -> Model:
     """train: columns lang, text, key (any column to sample by)."""
-    train = train.filter("lang is not null and text is not null")
+    train = train.filter("lang is not null and text is not null").select("lang", "text", "key")
+    every = max(10, train.count() // calibration)
+    train = train.withColumn("apart", F.pmod(F.xxhash64("key"), F.lit(every)) == 0)
     counts = Workspace(train.sparkSession, "langid").keep("counts", count_ngrams(train))
-    rows = []
+    whole, part = [], []
     for lang in sorted(r.lang for r in counts.select("lang").distinct().collect()):
-        g = counts.filter(F.col("lang") == lang).select("code", "n").toPandas()
-        codes, n = g["code"].to_numpy().view(np.uint64), g["n"].to_numpy(float)
+        g = counts.filter(F.col("lang") == lang).select("code", "n", "m").toPandas()
+        codes, n, m = g["code"].to_numpy().view(np.uint64), g["n"].to_numpy(float), g["m"].to_numpy(float)
         order = np.argsort(codes)
-        rows.append((lang, codes[order], n[order]))
-    if not rows:
+        codes, n, m = codes[order], n[order], m[order]
+        whole.append((lang, codes, n))
+        if (n > m).any():
+            part.append((lang, codes[n > m], (n - m)[n > m]))
+    if not whole:
         return Model([], [], 0.0, 1.0, np.zeros(0))
-    model = fit(rows)
-    every = max(1, train.count() // calibration)
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    model = fit(whole)
+    if not part:
+        calibrate(model, np.zeros((0, len(model.langs))), np.zeros(0, int))
+        return model
+    without = fit(part)
+    shared = train.sparkSession.sparkContext.broadcast(without)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -220,9 +231,11 @@ def train_model(train: DataFrame, *, calibration: int = CALIBRATION) -> Model:
             ok = n > 0
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(b.column(0).to_pylist(), ok, strict=True) if k], pa.string()), pa.array(list(h[ok]), pa.list_(pa.float64()))], ["lang", "h"])
 
-    held = train.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("lang", "text").mapInArrow(run, "lang string, h array<double>").limit(4 * calibration).toPandas()
-    held = held[held["lang"].isin(model.langs)]
-    calibrate(model, np.array(held["h"].tolist()).reshape(-1, len(model.langs)), np.array([model.langs.index(x) for x in held["lang"]], int))
+    held = train.filter("apart").select("lang", "text").mapInArrow(run, "lang string, h array<double>").limit(4 * calibration).toPandas()
+    held = held[held["lang"].isin(without.langs)]
+    calibrate(without, np.array(held["h"].tolist()).reshape(-1, len(without.langs)), np.array([without.langs.index(x) for x in held["lang"]], int))
+    limit = dict(zip(without.langs, without.limits, strict=True))
+    model.temperature, model.limits = without.temperature, np.array([limit.get(x, np.inf) for x in model.langs])
     return model
 
 
@@ -250,7 +263,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def fold(key: Column, parts: int) -> Column:
-    return F.crc32(key.cast("string").cast("binary")) % parts
+    """The remainder of a key; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

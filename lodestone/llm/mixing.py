@@ -5,9 +5,11 @@ inverse of that Poisson distribution at a uniform number hashed from seed and id
 above SPLIT are drawn as a sum of equal smaller ones. Rows are exploded by their count and dealt out by a hash of seed,
 id and replica, sorted by it within partitions: a global shuffle that comes out the same every time.
 
-Targets: a weight per source (made to sum to 1; sources without one get 0), or `smoothing`: share proportional to
-n ** smoothing. Null is a source like any other; a null id hashes as the empty text. Rows that repeat an id get the same
-count each. An empty table gives no rows. All other columns are carried along.
+Targets: a weight per source (made to sum to 1; sources without one get 0; if no source has any, nothing is drawn), or
+`smoothing`: share proportional to n ** smoothing. Null is a source like any other; a null id hashes as the empty text.
+Rows that repeat an id get the same count each; null, empty and very long texts are carried like any other column. An
+empty table gives no rows. All columns are carried along under their names; if one of them is called `replica`, the
+number of the copy is called replica_1 (or the first such name that is free).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Workspace, table
+from lodestone.llm._common import Workspace, free_name, packed, table
 
 SEED, SPLIT, FEW = 17, 64.0, 10_000
 
@@ -28,7 +30,7 @@ def uniform(seed: int, key: Column, draw: Column) -> Column:
 
 def rates(docs: DataFrame, *, source_col: str = "source", weights: dict | None = None, smoothing: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """A row per source: source, n, rate, draws, cdf (of one draw)."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    counts = docs.select(F.col(source_col).alias("source")).groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(float(smoothing)))
     else:
@@ -37,7 +39,7 @@ def rates(docs: DataFrame, *, source_col: str = "source", weights: dict | None =
         weight = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(given)
     weighed = counts.withColumn("w", weight)
     total = weighed.agg(F.sum("w").alias("w_all"), F.sum("n").alias("n_all"))  # one row
-    rate = weighed.join(F.broadcast(total)).withColumn("rate", F.expr(f"w / w_all * n_all * {float(epochs)}D / n")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int"))
+    rate = weighed.join(F.broadcast(total)).withColumn("rate", F.expr(f"coalesce(try_divide(w, w_all), 0D) * n_all * {float(epochs)}D / n")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / SPLIT)).cast("int"))
     cdf = """aggregate(sequence(1, cast(ceil(rate / draws + 12 * sqrt(rate / draws) + 24) as int)),
         named_struct('p', exp(-rate / draws), 'c', array(exp(-rate / draws))),
         (s, k) -> named_struct('p', s.p * (rate / draws) / k, 'c', concat(s.c, array(element_at(s.c, -1) + s.p * (rate / draws) / k)))).c"""
@@ -48,15 +50,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     """The documents, each as often as it was drawn, in shuffled order, with `replica` (from 0)."""
     spark = docs.sparkSession
     found = Workspace(spark, "mixing").keep("rates", rates(docs, source_col=source_col, weights=weights, smoothing=smoothing, epochs=epochs))
-    plan = found.select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), F.col("cdf").alias("_cdf"))
+    plan = found.filter("rate > 0").select(F.col("source").alias("of"), "draws", "cdf")
     if found.count() <= FEW:
         plan = F.broadcast(plan)
-    joined = docs.join(plan, docs[source_col].eqNullSafe(plan["_source"]))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("_draws")), F.lit(0), lambda n, d: n + F.size(F.filter("_cdf", lambda c: c <= uniform(seed, F.col(id_col), d))))
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("source"))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, d: n + F.size(F.filter("cdf", lambda c: c <= uniform(seed, F.col("id"), d))))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = joined.withColumn("_count", drawn).filter("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count").cast("long") - 1)))
-    keyed = copies.withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), "replica")).select(*docs.columns, "replica", "_key")
-    return keyed.repartition(n, "_key").sortWithinPartitions("_key").drop("_key")
+    copies = joined.withColumn("copies", drawn).filter("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
+    keyed = copies.select("row", "replica", F.xxhash64(F.lit(seed), "id", "replica").alias("key"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key").select("row.*", F.col("replica").alias(free_name("replica", docs.columns)))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

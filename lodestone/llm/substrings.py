@@ -1,9 +1,11 @@
-"""Operator 4: removal of repeated substrings by prefix doubling over anchored positions.
+"""Operator 4: removal of repeated substrings by growing ranks over anchored positions.
 
 A window is a LENGTH-byte string at its start position; a window is a repeat if an equal one starts earlier (smaller id, or
 same document and smaller position). Bytes in repeats are removed.
 
-Sorting all positions at each doubling would move every byte's position several times, so positions are grouped first.
+Plain prefix doubling sorts all position rank pairs at each offset and so moves every byte's position several times.
+This is the same scheme of ranks that grow from round to round until unique or past the threshold, but in three fixed
+lengths (36, 93, 100 bytes) instead of doublings, and positions are grouped first (README has the reason and figures).
 The window's anchor is the place of the smallest hash among its first SPAN 16-byte strings; it depends on the window's
 content alone. Consecutive windows with one anchor form a run. Ranks then grow in three Spark rounds, each a sort or an
 aggregation of (position, rank pair), and what is unique after a round leaves:
@@ -18,8 +20,10 @@ aggregation of (position, rank pair), and what is unique after a round leaves:
 Ranks are 64-bit hashes of the strings. Equal strings fall together before they are shuffled, so a passage that is in a
 third of all documents is one row per task.
 
-Null text is empty: 0 bytes, nothing removed. Documents shorter than LENGTH keep all. A null id orders before all others;
-rows that repeat an id order by text. An empty table gives no rows; other columns are not read.
+Null text is empty: 0 bytes, nothing removed. Documents shorter than LENGTH keep all; texts of any length are read whole.
+A null id orders before all others; rows that repeat an id order as they were scanned. An empty table gives no rows.
+Other columns are not read; carried ones keep their names, and the operator's columns get the first free name.
+Strings are equal by 64-bit hashes (runs by two of them); the bytes are not compared again.
 """
 
 from __future__ import annotations
@@ -29,10 +33,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from lodestone.llm._common import Workspace, slices, table, utf8_of
+from lodestone.llm._common import Workspace, free_name, packed, slices, table, utf8_of
 
 LENGTH, GRAM, SPAN = 100, 16, 64
 SHARED = LENGTH - SPAN  # bytes from the anchor that all windows of a run hold
@@ -94,7 +99,7 @@ def runs_of(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple:
 
 
 _RUN = ["key", "rank", "doc", "copy", "s", "na"]
-_RUNS = "key long, rank long, doc long, copy int, s long, na int"
+_RUNS = "key long, rank long, doc long, copy long, s long, na int"
 
 
 def _emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +161,10 @@ def _rank_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rank, doc, copy, s, na = _first_of([np.concatenate(c) for c in zip(*parts, strict=True)]) if len(parts) > 1 or len(parts[0][0]) else parts[0]
         again = na < 0
         live = np.nonzero(~again)[0]
-        k, r = key[live], rank[live]
+        k = key[live]
         group = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
         sizes = np.diff(np.append(np.nonzero(group)[0], len(k)))
         several = np.repeat(sizes > 1, sizes)  # equal runs are marked by now, so these are different ones
-        del r
         pick = np.concatenate([np.nonzero(again)[0], live[several]])
         kind = np.repeat([1, 2], [again.sum(), several.sum()]).astype(np.int32)
         size = np.abs(na[pick])
@@ -209,16 +213,16 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right |= near.astype(np.uint64) << np.uint64(56)
             rank = _mix(Hashed(data).at(core, CORE) + q.astype(np.uint64))
             doc, copy = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-            out.append((rank.view(np.int64), left.view(np.int64), right.view(np.int64), np.full(len(r), doc), np.full(len(r), copy, np.int32), core))
+            out.append((rank.view(np.int64), left.view(np.int64), right.view(np.int64), np.full(len(r), doc), np.full(len(r), copy), core))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["core", "left", "right", "doc", "copy", "p"])
 
 
 def spans(ws: Workspace, rows: DataFrame) -> DataFrame:
     """rows: doc, copy, text. The repeats as (doc, copy, s, n): n windows from s on."""
     n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = ws.keep("runs", rows.select("doc", "copy", "text").mapInArrow(_map_runs, _RUNS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rank_runs, "doc long, copy int, s long, n int, a int, kind int"))
+    runs = ws.keep("runs", rows.select("doc", "copy", "text").mapInArrow(_map_runs, _RUNS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_rank_runs, "doc long, copy long, s long, n int, a int, kind int"))
     todo = runs.filter("kind = 2").groupBy("doc", "copy").agg(F.collect_list(F.struct("s", "n", "a")).alias("runs"))
-    pieces = ws.keep("pieces", rows.join(todo, ["doc", "copy"]).select("doc", "copy", "text", "runs").mapInArrow(_pieces, "core long, left long, right long, doc long, copy int, p long"))
+    pieces = ws.keep("pieces", rows.join(todo, ["doc", "copy"]).select("doc", "copy", "text", "runs").mapInArrow(_pieces, "core long, left long, right long, doc long, copy long, p long"))
     place = F.struct("doc", "copy", "p")
     far, near = F.shiftrightunsigned("left", 56).cast("int"), F.shiftrightunsigned("right", 56).cast("int")
     kinds = ws.keep("kinds", pieces.groupBy("core", "left", "right").agg(F.min(place).alias("first"), F.count("*").alias("many")))
@@ -228,9 +232,7 @@ def spans(ws: Workspace, rows: DataFrame) -> DataFrame:
     ws.free("pieces")
     several = ws.keep("several", kinds.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core"))
     first = kinds.join(several, "core").select("core", "left", "right", "first.*", F.explode(F.sequence(near, far)).alias("j"))
-    bytes_ = lambda c, k: F.col(c).bitwiseAND(F.shiftleft(F.lit(1).cast("long"), k) - 1)
     single = first.select("core", "j", F.expr("`left` & (shiftleft(1L, 8 * j) - 1)").alias("l"), F.expr("`right` & (shiftleft(1L, 8 * (7 - j)) - 1)").alias("r"), "doc", "copy", (F.col("p") - F.col("j")).alias("p"))
-    del bytes_
     single = ws.keep("single", single)
     ws.free("kinds", "several")
     same = ["core", "j", "l", "r"]
@@ -240,11 +242,11 @@ def spans(ws: Workspace, rows: DataFrame) -> DataFrame:
 
 
 def numbered(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, more: list[str]) -> DataFrame:
-    """doc, copy, text and more columns; copy tells rows of one id apart."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text"), *more)
+    """doc, copy, text and row (a struct of more columns); copy tells rows of one id apart: their place in the scan, which is written, so that it stays."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("doc"), F.col(text_col).cast("string").alias("text"), packed(docs, more).alias("row"))
     if rows.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return rows.withColumn("copy", F.lit(0))
-    return ws.keep("numbered", rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc").orderBy("text", *more)) - 1))
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    return ws.keep("numbered", rows.withColumn("copy", F.monotonically_increasing_id()))
 
 
 def _cut(batches: Iterable[pa.RecordBatch], with_kept: bool) -> Iterator[pa.RecordBatch]:
@@ -266,19 +268,37 @@ def _cut(batches: Iterable[pa.RecordBatch], with_kept: bool) -> Iterator[pa.Reco
             out.append((len(t), removed, k, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
         cols = list(zip(*out, strict=True))
         kept_col = [pa.array(cols[4], pa.binary())] if with_kept else []
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3]), *kept_col, *b.columns[3:]], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, *b.schema.names[3:]])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3]), *kept_col, b.column(3)], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept, "row"])
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None, with_kept: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, with_kept: kept (binary), and the columns in `more`."""
-    ws, more = Workspace(docs.sparkSession, "substrings"), more or []
+    return _removed(docs, id_col, text_col, more or [], with_kept)
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, more: list[str], with_kept: bool) -> DataFrame:
+    ws = Workspace(docs.sparkSession, "substrings")
     rows = numbered(ws, docs, id_col, text_col, more)
     found = ws.keep("found", spans(ws, rows).groupBy("doc", "copy").agg(F.collect_list(F.struct("s", "n")).alias("spans")))
-    joined = rows.join(found, ["doc", "copy"], "left").select("doc", "text", "spans", *more)
-    fields = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in more)
-    schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept + (f", {fields}" if more else "")
+    joined = rows.join(found, ["doc", "copy"], "left").select("doc", "text", "spans", "row")
+    numbers = [StructField(c, LongType()) for c in ("doc", "n_bytes", "n_removed", "n_spans")]
+    schema = StructType([*numbers, StructField("kept_sha256", StringType()), *[StructField("kept", BinaryType())] * with_kept, joined.schema["row"]])
     cut = joined.mapInArrow(lambda bs: _cut(bs, with_kept), schema)
-    return cut.withColumn("doc", F.when(F.col("doc") != _NONE, F.col("doc"))).withColumnRenamed("doc", id_col)
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
+    carried = ["row.*"] if more else []
+    return cut.select(F.when(F.col("doc") != _NONE, F.col("doc")).alias(free_name(id_col, more)), *(F.col(c).alias(free_name(c, [id_col, *more])) for c in own), *carried)
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents with all their columns, repeated passages cut from the text; a character that loses some of its bytes goes as a whole. n_chars_col, if there, holds the new length."""
+    done = _removed(docs, id_col, text_col, docs.columns, True)
+    kept = free_name("kept", [id_col, *docs.columns])
+    text = F.col(kept).cast("string")
+    clean = F.coalesce(F.try_validate_utf8(text), F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
+    out = done.withColumn(text_col, clean)
+    if n_chars_col in docs.columns:
+        out = out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

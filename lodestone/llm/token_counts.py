@@ -8,12 +8,19 @@ text are sums along its path.
 
 A text is cut into chunks of CHUNK characters and all chunks run in lockstep as lanes of numpy gathers. White space
 resets the transducer, so the map of a chunk (state before -> state after, tokens emitted) is constant but for its
-head, the characters before its first white space. The second pass composes the maps from left to right: each head is
-run from the state in which the chunk before it ends. Chunks without white space have no constant part; they are
-resolved in rounds after their predecessor.
-
-Null counts as the empty text: 0 tokens. Special strings inside a text count as one token each, as the library has it by
-default. Equal texts get equal counts; extra columns are not read.
+head, the characters before its first white space. Composing two such maps gives the right one's end, so the prefix scan
+over them is done after one step: every head runs, all in lockstep, from the end of the chunk before.
+
+Stretches of over LONG characters without white space (and texts that would grow the table beyond MOST_STATES states)
+don't go through the table, so that it stays bounded. Their words are walked: the state is the token that ends at each
+of the last places, and a place's token follows from those before it, with no numbering of states. A word of over PIECE
+symbols is cut into pieces; each piece's map is taken from the state that a walk over the WARM symbols before it ends in,
+and the maps are composed by a parallel prefix scan, doubling the reach in each round; a piece whose true state before
+differs from the one assumed is walked again from the true one, which adds that state to its map.
+
+Null counts as the empty text: 0 tokens. Texts of any length are read whole. Special strings inside a text count as one
+token each, as the library has it by default. Equal texts get equal counts and repeated rows a row each; an empty table
+gives no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +41,10 @@ from lodestone.llm._common import slices, table
 CHUNK = 256
 COLUMNS = 96  # symbols with a dense column; the last stands for all others
 LISTED = 64
-MOST_STATES = 250_000  # the table is compiled anew beyond this many states
+MOST_STATES = 250_000  # rows of the table; it grows no further
+LONG, PIECE, WARM, SLICE = 96, 1 << 14, 256, 1 << 18
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-UNSYNC, START = 0, 1
+UNSYNC, START, LOST = 0, 1, 2
 
 
 def _byte_letters() -> dict[str, int]:
@@ -74,6 +83,8 @@ class Vocabulary:
                 into = self.grown.setdefault(t[:k], [])
                 if into is not None:
                     self.grown[t[:k]] = [*into, i] if len(into) < LISTED else None
+        self.ends = {t[k:] for t in self.id for k in range(len(t))}
+        self.longest = max(map(len, self.id))
 
     def fits(self, a: int, b: int, product: int | None = None) -> bool:
         """Whether tokens a and b stay apart when they stand side by side; with a product, whether no earlier merge precedes theirs."""
@@ -99,6 +110,70 @@ class Vocabulary:
                 return True
 
 
+class Walk:
+    """Tokens of one word, place by place: the token of the whole word so far that ends there, which tokens it can follow being known."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+
+    def run(self, symbols: str, before: tuple = ()) -> tuple[tuple, int]:
+        """The word goes on with these symbols. State before and after: of each of the last places, nearest last, its symbol, its token and the count there less that at the end. Returns the tokens counted too."""
+        v, get, ends, known = self.v, self.v.id.get, self.v.ends, self.v.known
+        head = "".join(x for x, _, _ in before)
+        text, size = head + symbols, len(head)
+        last, count = [-1, *(t for _, t, _ in before)], [0, *(n for _, _, n in before)]
+        start = size < v.longest  # the word's beginning is still in reach
+        for e in range(size + 1, len(text) + 1):
+            for at in range(e - 1, max(-1, e - v.longest - 1), -1):
+                part = text[at:e]
+                if part not in ends:
+                    break
+                token = get(part)
+                if token is None:
+                    continue
+                if at == 0:
+                    if not start:
+                        continue
+                else:
+                    fit = known.get((last[at], token))
+                    if not (v.fits(last[at], token) if fit is None else fit):
+                        continue
+                last.append(token)
+                count.append(count[at] + 1)
+                break
+        n = count[-1]
+        keep = min(v.longest, len(text))
+        at = len(text) - keep
+        return tuple(zip(text[at:], last[at + 1 :], (c - n for c in count[at + 1 :]), strict=True)), n
+
+    def word(self, symbols: str) -> int:
+        if len(symbols) <= PIECE:
+            return self.run(symbols)[1]
+        cuts = [*range(0, len(symbols), PIECE), len(symbols)]
+        pieces = [symbols[a:b] for a, b in zip(cuts, cuts[1:])]
+        guess = [(), *(self.run(symbols[c - WARM : c])[0] for c in cuts[1:-1])]
+        maps = [{g: self.run(p, g)} for g, p in zip(guess, pieces, strict=True)]
+        reach = 1
+        while reach < len(maps):  # maps[i] goes from the piece reach - 1 before to the end of piece i
+            maps = [m if i < reach else self.then(maps[i - reach], m, pieces[i - reach + 1 : i + 1]) for i, m in enumerate(maps)]
+            reach *= 2
+        return maps[-1][()][1]
+
+    def then(self, first: dict, second: dict, pieces: list[str]) -> dict:
+        """The map of two stretches after each other; the second's pieces are walked again for a state it doesn't hold."""
+        out = {}
+        for before, (middle, n) in first.items():
+            if middle not in second:
+                at, more = middle, 0
+                for p in pieces:
+                    at, k = self.run(p, at)
+                    more += k
+                second[middle] = at, more
+            after, k = second[middle]
+            out[before] = after, n + k
+        return out
+
+
 #: Word so far: the suffix that may still grow into a token; then for each place in it where a token can still start: the place,
 #: what came before it (the token that ends there, -1 for none, or all tokens that fit there), and the count there less that at its end.
 EMPTY = ("", ((0, -1, 0),))
@@ -109,18 +184,22 @@ class Transducer:
         self.v = Vocabulary(path)
         self.special = re.compile("|".join(map(re.escape, self.v.specials))) if self.v.specials else None
         self.memo: dict[tuple, tuple] = {}
+        self.walk, self.words = Walk(self.v), {}
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.column = np.zeros(0x110000, np.uint8)
         self.column[SPACES] = 1
         self.columns = 2  # column 0: not met yet; 1: white space
         self.clear()
 
     def clear(self) -> None:
-        self.states: list = [None, ("S", "", EMPTY)]
-        self.number = {self.states[1]: START}
+        self.states: list = [None, ("S", "", EMPTY), None]
+        self.number = {self.states[START]: START}
         self.to = np.full((1024, COLUMNS), -1, np.int32)
         self.to[UNSYNC] = UNSYNC << 5 | 16
         self.to[UNSYNC, 1] = START << 5 | 16
-        self.to[1:, COLUMNS - 1] = -2
+        self.to[LOST] = LOST << 5 | 16  # the state has no row: the text is walked
+        self.to[START, COLUMNS - 1] = -2
+        self.to[LOST + 1 :, COLUMNS - 1] = -2
         self.memo.clear()
 
     # one symbol, one character, one word end
@@ -162,11 +241,18 @@ class Transducer:
         return n + self._feed(word, chr(256 + bs[-1]))[1]
 
     def _whole(self, text: str) -> int:
-        word, n = EMPTY, 0
-        for c in text[:-1]:
-            word, d = self._add(word, c)
-            n += d
-        return n + self._end(word, text[-1])
+        """Tokens of one word."""
+        n = self.words.get(text)
+        if n is None:
+            bs = text.encode("utf-8", "surrogatepass")
+            n = self.walk.word("".join(map(chr, bs[:-1])) + chr(256 + bs[-1]))
+            if len(text) <= LONG and len(self.words) < MOST_STATES:
+                self.words[text] = n
+        return n
+
+    def walked(self, text: str) -> int:
+        """Tokens of a prepared text without the table."""
+        return sum(map(self._whole, self.split.findall(text)))
 
     def step(self, state: tuple, char: str) -> tuple[tuple, int]:
         """The published split pattern: contractions, runs of letters, single digits, runs of other characters."""
@@ -192,11 +278,13 @@ class Transducer:
         return (self.states[START] if kind == "S" else (kind, char, EMPTY)), n
 
     def _entry(self, state: int, code: int, column: int) -> int:
-        if state == UNSYNC:
-            return UNSYNC << 5 | 16
+        if state in (UNSYNC, LOST):
+            return state << 5 | 16
         after, n = self.step(self.states[state], chr(code))
         k = self.number.get(after)
         if k is None:
+            if len(self.states) >= MOST_STATES:
+                return LOST << 5 | 16
             k = self.number[after] = len(self.states)
             self.states.append(after)
             if k >= len(self.to):
@@ -231,13 +319,20 @@ class Transducer:
         return text.lower(), n
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.states) > MOST_STATES:
-            self.clear()
+        out, i = np.zeros(len(texts), np.int64), 0
+        while i < len(texts):  # some at a time, so that the table's bound is looked at often
+            k, size = i, 0
+            while k < len(texts) and (k == i or size + len(texts[k] or "") <= SLICE):
+                size += len(texts[k] or "")
+                k += 1
+            out[i:k] = self._counts(texts[i:k])
+            i = k
+        return out
+
+    def _counts(self, texts: list[str | None]) -> np.ndarray:
         ready = [self.prepare(t) for t in texts]
         out = np.array([n for _, n in ready], np.int64)
         lanes = np.array([len(t) // CHUNK + 1 for t, _ in ready], np.int64)
-        if not lanes.size:
-            return out
         code = np.frombuffer("".join(t + " " * (int(k) * CHUNK - len(t)) for (t, _), k in zip(ready, lanes, strict=True)).encode("utf-32-le", "surrogatepass"), np.uint32)
         column = self.column.take(code)
         if not column.all():
@@ -245,37 +340,44 @@ class Transducer:
                 self.column[c] = min(self.columns, COLUMNS - 1)
                 self.columns += self.columns < COLUMNS - 1
             column = self.column.take(code)
+        ends = np.cumsum(lanes) * CHUNK
+        space = np.nonzero(column == 1)[0]  # every text ends in one
+        far = np.nonzero(np.diff(np.concatenate([[-1], space])) > LONG + 1)[0]
+        if far.size:  # long stretches are walked and leave white space
+            column = column.copy()
+            for k in far:
+                a, b = int(space[k - 1]) + 1 if k else 0, int(space[k])
+                out[np.searchsorted(ends, a, "right")] += self.walked(code[a:b].tobytes().decode("utf-32-le", "surrogatepass"))
+                column[a:b] = 1
+            code = np.where(column == 1, np.uint32(32), code)
         code, column = code.reshape(-1, CHUNK), column.reshape(-1, CHUNK)
         first = np.zeros(len(code), bool)
         first[np.cumsum(lanes) - lanes] = True
         # maps of all chunks: from START in a text's first, else constant from the first white space on
         codes, columns = np.ascontiguousarray(code.T), np.ascontiguousarray(column.T)
-        state, n = np.where(first, START, UNSYNC).astype(np.int32), np.full(len(code), -16 * CHUNK, np.int64)
+        state, n, lost = np.where(first, START, UNSYNC).astype(np.int32), np.full(len(code), -16 * CHUNK, np.int64), np.zeros(len(code), bool)
         for j in range(CHUNK):
             x = self._advance(state, columns[j], codes[j])
             state = x >> 5
             n += x & 31
-        # composition: heads run from the end of the chunk before
-        space = column == 1
-        head = np.where(space.any(1), space.argmax(1) + 1, CHUNK)
-        todo = np.nonzero(~first)[0]
-        ended = state.copy()
-        open_ = ~first & (state == UNSYNC)
-        while todo.size:
-            now = todo[~open_[todo - 1]]
-            now = now[np.argsort(-head[now], kind="stable")]
-            s, length = ended[now - 1], head[now]
+            lost |= state == LOST
+        # composition: heads run from the end of the chunk before; each has white space, so that end is known
+        head = (column == 1).argmax(1) + 1
+        now = np.nonzero(~first)[0]
+        now = now[np.argsort(-head[now], kind="stable")]
+        if now.size:
+            s, length = state[now - 1], head[now]
             for j in range(int(length[0])):
                 k = int(np.searchsorted(-length, -j, "left"))
                 x = self._advance(s[:k], columns[j, now[:k]], codes[j, now[:k]])
                 s[:k] = x >> 5
                 n[now[:k]] += (x & 31) - 16
-            whole = open_[now]
-            ended[now[whole]] = s[whole]
-            open_[now] = False
-            todo = todo[~np.isin(todo, now)]
-        out += np.add.reduceat(n, np.cumsum(lanes) - lanes)
-        return out
+                lost[now[:k]] |= s[:k] == LOST
+        starts = np.cumsum(lanes) - lanes
+        total = np.add.reduceat(n, starts)
+        for i in np.nonzero(np.logical_or.reduceat(lost, starts))[0]:
+            total[i] = self.walked("".join(map(chr, np.where(column[starts[i] : starts[i] + lanes[i]].ravel() == 1, 32, code[starts[i] : starts[i] + lanes[i]].ravel()))))
+        return out + total
 
 
 _SPACE_SET = frozenset(SPACES)

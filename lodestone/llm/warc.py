@@ -1,30 +1,35 @@
 """Operator 2: WARC archives, written and read back with boundary-chain verification.
 
 Writing: one record per page; of equal payloads of at least MIN_REVISIT bytes the smallest id is a response, the others
-are revisits that refer to it and carry no payload. Archives are written by Spark's own text writer, about ARCHIVE_BYTES
-each, uncompressed and so splittable.
+are revisits that refer to it and carry no payload. Records have the fields that WARC/1.1 asks for: a date, an id that no
+other record has, for revisits the profile of identical payloads and the id of the record they refer to. The page id is
+the target, urn:page:<id>. Archives are written by Spark's own text writer, uncompressed and so splittable, RECORDS in
+each at most.
 
 Reading: the files are split at every occurrence of the magic `WARC/1.1\\r\\n`, wherever tasks begin, so a task
 sees candidates only. Each candidate whose header parses emits its offset and that of its successor (header, length,
 two line ends). Pointer jumping from offset 0 of each file doubles the reach in every round; candidates that are not
-reached lie inside payloads and are dropped. Payloads with magic inside are put together again from their pieces.
+reached lie inside payloads and are dropped. Payloads with magic inside are put together again from their pieces. A
+revisit gets length, digest and page id of the record it refers to, as they were read.
 
 Null payloads are empty; empty ones are responses. Payloads may hold any bytes. Pages without id are written and read with
 a null id. Rows that repeat an id and a payload give a record each: of several smallest rows one is the response.
-An empty table gives no records; other columns are not read.
+Payloads of any length are written and read whole. An empty table gives no records; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Workspace, table
 
-MIN_REVISIT, ARCHIVE_BYTES = 100, 32 << 20
+MIN_REVISIT, RECORDS = 100, 8192
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def revisits(pages: DataFrame, ws: Workspace | None = None, *, id_col: str = "page_id", payload_col: str = "html", least: int = MIN_REVISIT) -> DataFrame:
@@ -42,7 +47,7 @@ def revisits(pages: DataFrame, ws: Workspace | None = None, *, id_col: str = "pa
     first = (ws or Workspace(pages.sparkSession, "warc")).keep("first", first)
     joined = rows.join(first, "digest", "left").withColumn("mine", F.col("first").isNull() | F.col("first.id").eqNullSafe(F.col("id")))
     alike = F.col("mine") & (F.coalesce("first.m", F.lit(1)) > 1)
-    shown = ["id", "payload", "digest", F.when(F.col("mine"), None).otherwise(F.col("first.id")).alias("refers_to"), (~F.col("mine")).alias("revisit")]
+    shown = ["id", "payload", "digest", F.when(F.col("mine"), None).otherwise(F.col("first.id")).alias("refers_to"), (~F.col("mine")).alias("revisit"), F.col("first").isNotNull().alias("shared")]
     if first.filter("first.m > 1").isEmpty():
         return joined.select(*shown)
     same = joined.filter(alike).groupBy("digest").agg(F.first("id").alias("id"), F.first("payload").alias("payload"), F.first("first").alias("first"))
@@ -50,20 +55,31 @@ def revisits(pages: DataFrame, ws: Workspace | None = None, *, id_col: str = "pa
     return joined.filter(~alike).select(*shown).unionByName(same.select(*shown))
 
 
-def write_archives(records: DataFrame, path: str, *, bytes_per_archive: int = ARCHIVE_BYTES) -> None:
-    """records: id, payload, digest, refers_to, revisit."""
+def _name(digest: Column, id_: Column) -> Column:
+    """A record id that follows from the payload and the page id."""
+    h = F.md5(F.concat_ws(":", digest, F.coalesce(id_.cast("string"), F.lit(""))).cast("binary"))
+    return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def write_archives(records: DataFrame, path: str, *, date: str | None = None, records_per_archive: int = RECORDS) -> None:
+    """records: id, payload, digest, refers_to, revisit, shared. date: of all records, now if none is given. A record that others refer to has the id that follows from it, all others a random one."""
+    first = F.col("shared") & ~F.col("revisit")
+    page = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     head = [
         F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), F.when(first, _name(F.col("digest"), F.col("id"))).otherwise(F.uuid()), F.lit(">")),
+        F.concat(F.lit("WARC-Date: "), F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Target-URI: "), page("id")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.concat(F.lit("X-Payload-Length: "), F.octet_length("payload")),
-        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">"))),
+        F.when(F.col("revisit"), F.lit("WARC-Profile: " + PROFILE)),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), _name(F.col("digest"), F.col("refers_to")), F.lit(">"))),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To-Target-URI: "), page("refers_to"))),
         F.lit("Content-Type: text/html"),
         F.concat(F.lit("Content-Length: "), F.when(F.col("revisit"), 0).otherwise(F.octet_length("payload"))),
     ]
     # the text writer ends each row with END, which is what ends a record
     text = F.concat(F.lit(MAGIC), F.concat_ws("\r\n", *head), F.lit(END), F.when(F.col("revisit"), "").otherwise(F.col("payload").cast("string")))
-    records.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, bytes_per_archive >> 12)).text(path)
+    records.select(text.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +101,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
     """What the header after each magic says, without the payload: its digest if the piece holds all of it."""
     head, value = F.substring_index("value", END, 1), F.col("value")
     field = lambda name, form="[^\\r\\n]*": F.regexp_extract(head, rf"(?:^|\r\n){name}: ({form})(?:\r\n|$)", 1)
-    rows = pieces.filter(F.octet_length(value) >= 0).select("file", "split", "place", value, (F.octet_length(value) + len(MAGIC)).cast("long").alias("size"), (F.octet_length(head) + len(END)).alias("body"), F.contains(value, F.lit(END)).alias("headed"), field("Content-Length", "[0-9]{1,18}").try_cast("long").alias("length"), field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("record"), field("WARC-Payload-Digest").alias("digest"), field("X-Payload-Length", "[0-9]{1,18}").try_cast("long").alias("payload_length"), field("WARC-Refers-To").alias("refers_to"))
+    rows = pieces.filter(F.octet_length(value) >= 0).select("file", "split", "place", value, (F.octet_length(value) + len(MAGIC)).cast("long").alias("size"), (F.octet_length(head) + len(END)).alias("body"), F.contains(value, F.lit(END)).alias("headed"), field("Content-Length", "[0-9]{1,18}").try_cast("long").alias("length"), field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("record"), field("WARC-Target-URI").alias("target"), field("WARC-Payload-Digest").alias("digest"), field("WARC-Refers-To").alias("refers_to"))
     payload = F.expr("substring(cast(value AS binary), body + 1, cast(length AS int))")
     full = F.octet_length(value) == F.col("body") + F.col("length") + len(END)
     return rows.withColumn("length", F.when(F.col("headed"), F.col("length"))).withColumn("read_digest", F.when(full, F.sha2(payload, 256))).drop("value", "headed")
@@ -108,7 +124,7 @@ def verify(ws: Workspace, found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, ws: Workspace | None = None) -> DataFrame:
-    """A row per verified record: id, type, payload_length and payload_digest as the header has them, refers_to, read_digest (of the payload read; null for revisits)."""
+    """A row per verified record: file, at, id, record, type, header_digest, and of the payload as it was read (a revisit's: that of the record it refers to, null if that isn't there): payload_bytes, payload_digest, refers_to (its page id)."""
     ws = ws or Workspace(spark, "warc")
     found = ws.keep("found", _place(ws.keep("pieces", candidates(_pieces(spark, path)))))
     ws.free("pieces")
@@ -124,8 +140,14 @@ def read_archives(spark: SparkSession, path: str, ws: Workspace | None = None) -
         value = F.array_join(F.transform("all", lambda x: x["value"]), MAGIC)
         mended = whole.withColumn("value", value).select("file", F.col("own").alias("at"), F.sha2(F.expr("substring(cast(value AS binary), body + 1, cast(length AS int))"), 256).alias("mended"))
         good = good.join(mended, ["file", "at"], "left").withColumn("read_digest", F.coalesce("read_digest", "mended"))
-    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("long")
-    return good.select("file", "at", number("record").alias("id"), "type", "length", "payload_length", F.regexp_replace("digest", "^sha256:", "").alias("payload_digest"), number("refers_to").alias("refers_to"), F.when(F.col("type") != "revisit", F.col("read_digest")).alias("read_digest"))
+    number = F.regexp_extract("target", "^urn:page:(-?[0-9]+)$", 1).try_cast("long")
+    read = F.coalesce("read_digest", F.when(F.col("length") == 0, F.sha2(F.lit(b""), 256)))
+    good = ws.keep("read", good.select("file", "at", number.alias("id"), "record", "type", F.regexp_replace("digest", "^sha256:", "").alias("header_digest"), F.nullif("refers_to", F.lit("")).alias("target"), F.col("length").alias("payload_bytes"), read.alias("payload_digest")))
+    again = good.filter("type = 'revisit'").drop("payload_bytes", "payload_digest")
+    shown = good.filter("type != 'revisit'")
+    named = shown.select(F.col("record").alias("target"), F.col("id").alias("refers_to"), "payload_bytes", "payload_digest")
+    columns = ["file", "at", "id", "record", "type", "header_digest", "payload_bytes", "payload_digest", "refers_to"]
+    return shown.withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(again.join(named, "target", "left").select(*columns))
 
 
 def archive(pages: DataFrame, path: str, ws: Workspace | None = None, *, id_col: str = "page_id", payload_col: str = "html") -> None:
@@ -137,8 +159,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ws.root}/archives-{uuid.uuid4().hex[:6]}"
     archive(table(spark, sf_dir, "pages"), path, ws)
     got = read_archives(spark, path, ws)
-    # a response's length and digest are those of the payload read back; a revisit's are those its header states
-    return got.select(F.col("id").alias("page_id"), F.when(F.col("type") == "revisit", F.col("payload_length")).otherwise(F.col("length")).alias("payload_bytes"), F.when((F.col("type") == "revisit"), F.col("payload_digest")).otherwise(F.coalesce("read_digest", F.sha2(F.lit(b""), 256))).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    return got.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
 ORACLE_SQL = {

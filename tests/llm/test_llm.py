@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -34,11 +36,34 @@ def test_token_counts(spark, sample):
     path = P.path("word_bpe_49k.json")
     letters = "abcdefgh'ABC éèß  \n.,!?12$%’—日\x1c"
     texts = [*ODD, *sample[:60], *("".join(random.choice(letters) for _ in range(random.randint(1, 900))) for _ in range(150)), "don't they'll 're 'sup !!'s", "a" * 1000]
+    texts += ["".join(random.choice("qwertzuiopasdfghjkl") for _ in range(2_000_000)), "x" * 97 + "'ll" + "y" * 97, "".join(random.choice("abc'12!日é") for _ in range(20_000))]
     tok = Tokenizer.from_file(path)
     got = {r.doc_id: (r.n_tokens, r.n_bytes) for r in token_counts.count_tokens(docs(spark, texts), path).collect()}
     assert got == {i: (len(tok.encode(t or "", add_special_tokens=False).ids), len((t or "").encode())) for i, t in enumerate(texts)}
 
 
+def test_table_stays_bounded(monkeypatch, sample):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    monkeypatch.setattr(token_counts, "MOST_STATES", 500)
+    machine, tok = token_counts.Transducer(path), Tokenizer.from_file(path)
+    assert machine.counts(sample[:80]).tolist() == [len(tok.encode(t or "", add_special_tokens=False).ids) for t in sample[:80]]
+    assert len(machine.states) == 500
+
+
+def test_piece_maps_compose(monkeypatch):
+    """Pieces whose state before was guessed wrong are walked again."""
+    path = P.path("word_bpe_49k.json")
+    machine = token_counts.Transducer(path)
+    words = ["".join(random.Random(k).choice("etaoinshrdlu") for _ in range(700)) for k in range(5)] + ["a" * 700, "the" * 200]
+    want = [machine.walk.run(w)[1] for w in words]
+    monkeypatch.setattr(token_counts, "PIECE", 40)
+    for warm in (30, 3, 1):
+        monkeypatch.setattr(token_counts, "WARM", warm)
+        assert [machine.walk.word(w) for w in words] == want
+
+
 def test_packing_is_a_partition(spark, sample):
     from tokenizers import Tokenizer
 
@@ -62,12 +87,43 @@ def test_packing_is_a_partition(spark, sample):
 
 
 def test_sum_of_squares_choice():
-    b = packing.SumOfSquares(10)
-    assert not list(b.put("a", 6)) and not list(b.put("b", 6))
-    assert b.levels[6] == 1 or b.levels[6] == 2
-    done = list(b.put("c", 4))
-    assert {p[0] for p in done} >= {"c"} and sum(p[2] for p in done) == 10
-    assert list(b.put("d", 20)) and b.made >= 4
+    """Every choice leaves the smallest sum of squared level counts that any fill could, ties to the fuller window; nothing is lost."""
+    rng = random.Random(4)
+    b, window, seen, fed = packing.SumOfSquares(32), 32, [], {}
+    fill: dict[int, int] = {}  # fills of the open windows, kept beside
+
+    def squares(levels):
+        return sum(n * n for f, n in Counter(levels).items() if 0 < f < window)
+
+    for item in range(3000):
+        n = rng.choice([1, 2, 3, 5, 8, 13, 21, 31, 32, 40, 77])
+        rest = n % window
+        options = {}
+        for f in {0, *fill.values()}:
+            if rest and f + rest <= window:
+                left = list(fill.values())
+                if f:
+                    left.remove(f)
+                options[f] = squares([*left, f + rest])
+        before = dict(fill)
+        out = list(b.put(item, n))
+        fed[item] = n
+        seen += out
+        if rest:
+            least = min(options.values())
+            chosen = max(f for f, v in options.items() if v == least)
+            levels = Counter(before.values())
+            if chosen:
+                levels[chosen] -= 1
+            if chosen + rest < window:
+                levels[chosen + rest] += 1
+            assert {f: int(b.levels[f]) for f in range(1, window) if b.levels[f]} == {f: c for f, c in levels.items() if c}
+            fill = dict(enumerate(f for f, c in levels.items() for _ in range(c)))
+    seen += list(b.flush())
+    got = Counter()
+    for item, _, length, _, _ in seen:
+        got[item] += length
+    assert got == fed
 
 
 def test_quality_counts(spark, sample):
@@ -121,8 +177,12 @@ def test_warc_round_trip(spark):
         got = warc.read_archives(spark, f"{ws.root}/a", ws).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert Counter((r.id, r.payload_digest) for r in got) == Counter((i, hashlib.sha256(b or b"").hexdigest()) for i, b in rows)
-    assert all(r.read_digest == r.payload_digest for r in got if r.type == "response" and r.length)
+    assert Counter((r.id, r.payload_digest, r.payload_bytes) for r in got) == Counter((i, hashlib.sha256(b or b"").hexdigest(), len(b or b"")) for i, b in rows)
+    assert all(r.header_digest == r.payload_digest for r in got) and len({r.record for r in got}) == len(got)
+    raw = b"".join(p.read_bytes() for p in Path(f"{ws.root}/a".removeprefix("file://")).glob("part-*"))
+    for field in (rb"WARC-Record-ID: <urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ"):
+        assert len(re.findall(field + rb"\r\n", raw)) == len(rows)
+    assert raw.count(b"WARC-Profile: ") == raw.count(b"WARC-Type: revisit") == 3
     assert {(r.id, r.refers_to) for r in got if r.type == "revisit"} == {(2, 1), (10, 5), (None, 12)}
 
 
@@ -216,7 +276,7 @@ def test_repeated_rows_of_one_id(spark):
 
 
 def test_mixing(spark):
-    df = docs(spark, [f"t{i}" for i in range(3000)]).withColumn("replica", F.lit(9)).drop("replica")
+    df = docs(spark, [f"t{i}" for i in range(3000)])
     even = mixing.mix(df, smoothing=0.0, epochs=2.0)
     assert [r.asDict() for r in even.collect()] == [r.asDict() for r in even.collect()]
     n = {r.source: r["count"] for r in even.groupBy("source").count().collect()}
@@ -225,6 +285,11 @@ def test_mixing(spark):
     big = mixing.mix(df.limit(50), smoothing=1.0, epochs=200.0).count()
     assert abs(big - 10_000) < 500
     assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df, weights={}).count() == mixing.mix(df, weights={"none": 1.0}).count() == 0
+    clash = df.withColumn("replica", F.lit(9)).withColumn("cdf", F.lit("x")).withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    got = mixing.mix(clash, smoothing=0.0, epochs=2.0)
+    assert got.columns == [*clash.columns, "replica_1"]
+    assert sorted((r.doc_id, r.replica, r.cdf, r.key, r.row, r.replica_1) for r in got.collect()) == sorted((r.doc_id, 9, "x", 1, 2, r.replica) for r in even.collect())
 
 
 def test_toxicity_learns_words_and_stems(spark):
@@ -267,11 +332,28 @@ def test_topk_ties_and_odd_vectors(spark):
         want |= {(q, k + 1): (c, s[q, c]) for k, c in enumerate(order)}
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0, 20, block=32, bins=4).collect()}
     assert got == want
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0, 20, block=32, wave=7).collect()}
+    assert got == want
     few = topk.search(df.filter("vec_id < 5"), F.col("vec_id") == 0, 20).collect()
     assert len(few) == 4
     assert topk.search(df.limit(0), F.lit(True), 3).count() == 0
 
 
+def test_topk_lengths_and_large_numbers(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=3 + i % 3)]) for i in range(90)]
+    rows += [(90, [1e12, -1e12, 3.0]), (91, [1e9, 2.0, 1e12]), (92, [1e300, 1.0, 1.0]), (93, [-1e300, 1e300, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, x in whole:
+        if q % 6 == 0:
+            met = sorted((-max(-topk._TOP, min(topk._TOP, sum(a * b for a, b in zip(x, y, strict=True)))), c) for c, y in whole if c != q and len(x) == len(y))
+            want += [(q, k + 1, c, -n) for k, (n, c) in enumerate(met[:5])]
+    got = topk.search(df, F.col("vec_id") % 6 == 0, 5, block=8).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
