@@ -88,4 +88,11 @@ MODEL_RATES = {"deepseek/deepseek-v4-flash": (0.09, 0.18, 0.02), "openai/text-em
 RETRY_STATUS, RETRIES, BACKOFF_BASE_S, BACKOFF_CAP_S = [429, 500, 502, 503, 504], 3, 0.5, 30.0
 POSITIVE_TTL_DAYS, NEGATIVE_TTL_HOURS, EVENT_DAYS = 7, 24, 30
 TASK_WEIGHTS = [3, 2, 1, 4, 1, 1, 2]
-FACT_TOLERANCE, STALE_DAYS, RECALL_DROP, COST_RISE = 1.0, 60, 0.10, 0.50
+FACT_TOLERANCE, STALE_DAYS, RECALL_DROP, COST_RISE, TRAP_QUERY = 1.0, 60, 0.10, 0.50, "q07"
+LEASE_MINUTES, SYNTHETIC_DAYS, VERIFY_HOURS, HOST_GAP_S = 2, 7, 24, 0.25
+
+# Discovery, community, funding, trends, disambiguation
+VERIFY_LIMIT, PROFILE_LIMIT, FUNDING_LIMIT, SEARCH_LIMIT, PAGES, THREADS, TREND_KEYWORDS = 24, 8, 3, 20, 4, 20, 5
+PAGE_KINDS = ["pricing", "docs", "changelog"]
+FUNDING_ATTRIBUTES = ["company.funding_total_usd", "company.stage"]
+LOW_CONFIDENCE, MOST_FIELDS, FIELD_WEIGHT = 0.6, 2, {"category": 3.0, "segment": 2.0, "geography": 1.5}

@@ -122,6 +122,17 @@ def issue_repo(url: Column) -> Column:
     return F.regexp_extract(url, r"github\.com/([^/]+/[^/]+)/issues/", 1)
 
 
+def utf16_offset(text: Column, at: Column) -> Column:
+    """A code point offset as an offset in UTF-16 units: one more for each character before it beyond U+FFFF."""
+    ahead = F.substring(text, F.lit(1), at)
+    return at + F.length(ahead) - F.length(F.regexp_replace(ahead, "[\\x{10000}-\\x{10FFFF}]", ""))
+
+
+def error_note(errors: Column) -> Column:
+    """Validation errors (array of struct loc, msg) as one line."""
+    return F.array_join(F.transform(errors, lambda e: F.concat(e["loc"], F.lit(": "), e["msg"])), "; ")
+
+
 def retry_after(c: Column) -> Column:
     """Seconds of a numeric Retry-After; null for dates."""
     return F.trim(c).try_cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
+from lodestone.operators import ledger as L
 
 
 def recall(expected: Column, found: Column) -> Column:
@@ -24,17 +25,60 @@ def fact_accuracy(matches: Column) -> Column:
 
 
 def regressions(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Rows (query_id, rule): recall fell, cost rose, precision below 1, or a binding rate below 1."""
-    old = baseline.select("query_id", F.col("recall").alias("old_recall"), F.col("cost").alias("old_cost"))
+    """Rows (query_id, rule). Any query: a binding rate below 1. Against a baseline: recall fell, cost rose; and the trap query's contradiction, which fired in the baseline, doesn't fire."""
+    old = baseline.select("query_id", F.col("recall").alias("old_recall"), F.col("cost").alias("old_cost"), F.col("contradiction_fired").alias("old_fired"))
     both = current.join(old, "query_id", "left")
     rules = F.array(
+        F.when(F.col("binding_rate") < 1, "unbound"),
         F.when(F.col("old_recall") - F.col("recall") > fixed.RECALL_DROP, "recall_drop"),
         F.when((F.col("old_cost") > 0) & (F.col("cost") > F.col("old_cost") * (1 + fixed.COST_RISE)), "cost_rise"),
-        F.when(F.col("precision") < 1, "trap_hit"),
-        F.when(F.col("binding_rate") < 1, "unbound"),
+        F.when((F.col("query_id") == fixed.TRAP_QUERY) & F.col("old_fired") & ~F.col("contradiction_fired"), "trap_silent"),
     )
     return both.select("query_id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
 
 
+def structural_binding(sections: Column) -> Column:
+    """sections: array of arrays, the findings that each prose section cites. Share that cite any, 1 without sections."""
+    return F.when(F.size(sections) == 0, 1.0).otherwise(F.size(F.filter(sections, lambda x: F.size(x) > 0)) / F.size(sections))
+
+
+def omitted_sections(failed_branches: Column) -> Column:
+    return F.filter(failed_branches, lambda x: x.endswith("_synthesis"))
+
+
+def run_rates(runs: DataFrame) -> DataFrame:
+    """runs: used_fallback, failed_branches. One row: share of fallback plans, share of the three synthesis sections that were left out; 0 without runs."""
+    out = F.try_divide(F.sum(F.size(omitted_sections(F.col("failed_branches")))).cast("double"), F.count("*") * 3)
+    return runs.agg(F.coalesce(F.avg(F.col("used_fallback").cast("double")), F.lit(0.0)).alias("fallback_rate"), F.coalesce(out, F.lit(0.0)).alias("rejection_rate"))
+
+
+def summary(df: DataFrame, values: list[str]) -> DataFrame:
+    """Per column a row (measure, mean, p50, p95): nearest rank, half to even; zeros without rows."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("x")) for v in values))).alias("e")).select("e.*").filter("x is not null")
+    at = L.at_ranks(long, ["measure"], "x", {"p50": L.nearest(0.5), "p95": L.nearest(0.95)})
+    found = long.groupBy("measure").agg(F.avg("x").alias("mean")).join(at, "measure")
+    named = df.sparkSession.createDataFrame([(v,) for v in values], "measure string")
+    return named.join(found, "measure", "left").select("measure", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p50", "p95")))
+
+
+def branch_tally(runs: DataFrame) -> DataFrame:
+    return runs.select(F.explode("failed_branches").alias("branch")).groupBy("branch").agg(F.count("*").alias("n"))
+
+
+def of_split(queries: DataFrame, split: str, as_of: Column, *, confirm: bool = False) -> DataFrame:
+    """Benchmark queries (query_id, split, facts with verified_on) of a split. Held-out ones only for those who confirm; a stale fact fails the job."""
+    if split == "held_out" and not confirm:
+        raise PermissionError("held-out queries are read once, at the end: confirm=True")
+    chosen = queries.filter(F.col("split") == split)
+    late = F.exists("facts", lambda f: F.date_diff(as_of, f["verified_on"]) > fixed.STALE_DAYS)
+    return chosen.withColumn("_ok", F.assert_true(~F.coalesce(late, F.lit(False)), F.concat(F.lit("stale facts: "), "query_id"))).filter("_ok is null").drop("_ok")
+
+
+def write_snapshot(scores: DataFrame, folder: str, day: str) -> None:
+    """A JSON file per query under folder/day, fields in order of their names."""
+    names = sorted(scores.columns)
+    scores.select(F.to_json(F.struct(*names)).alias("value"), "query_id").repartition("query_id").write.partitionBy("query_id").mode("overwrite").text(f"{folder}/{day}")
+
+
 def stale_facts(facts: DataFrame, as_of: Column) -> DataFrame:
     return facts.filter(F.date_diff(as_of, F.col("verified_on")) > fixed.STALE_DAYS)

@@ -33,22 +33,42 @@ def comparison_key(attribute: Column, value_text: Column, value_num: Column) ->
     return F.when(S.attribute_kind(attribute) == "numeric", F.struct(F.lit("n").alias("k"), value_num.cast("string").alias("v"))).otherwise(F.struct(F.lit("t").alias("k"), F.coalesce(F.lower(T.strip(value_text)), F.lit("")).alias("v")))
 
 
-def contradictions(claims: DataFrame, *, keys: list[str], key: Column, grades: tuple = ("A", "B", "C")) -> DataFrame:
-    """Groups of live claims of these grades with more than one comparison key: group keys, n_claims, n_values."""
-    counted = live(claims).filter(F.col("grade").isin(*grades)).groupBy(*keys).agg(F.count("*").alias("n_claims"), F.count_distinct(F.struct(key.alias("k"))).alias("n_values"))
+KEYS = ("entity_id", "attribute")
+
+
+def _compared(claims: DataFrame, grades: tuple) -> Column:
+    """Live claims of these grades; lists hold many values by nature and never contradict."""
+    return F.col("superseded_by").isNull() & F.col("grade").isin(*grades) & ~F.coalesce(S.attribute_kind(F.col("attribute")) == "list", F.lit(False))
+
+
+def _own_key() -> Column:
+    return comparison_key(F.col("attribute"), F.col("value_text"), F.col("value_num"))
+
+
+def contradictions(claims: DataFrame, *, keys: tuple = KEYS, grades: tuple = ("A", "B", "C")) -> DataFrame:
+    """Groups of live claims of these grades, lists aside, with more than one comparison key: group keys, n_claims, n_values."""
+    counted = claims.filter(_compared(claims, grades)).groupBy(*keys).agg(F.count("*").alias("n_claims"), F.count_distinct(F.struct(_own_key().alias("k"))).alias("n_values"))
     return counted.filter("n_values > 1")
 
 
-def resolve_contradictions(claims: DataFrame, *, keys: list[str], key: Column, grades: tuple = ("A", "B", "C")) -> DataFrame:
-    """In each contradicting group all but the best (grade, then latest date, undated last, then smallest id) are superseded by it; it is marked contradicted."""
+def resolve_contradictions(claims: DataFrame, *, keys: tuple = KEYS, grades: tuple = ("A", "B", "C")) -> DataFrame:
+    """In each contradicting group all but the best (grade, then latest date, undated last, then smallest id) are superseded by it; it is marked contradicted.
+
+    With columns confidence and confidence_inputs (struct best_grade, n_distinct_domains, age_days, contradicted) the
+    winner's are computed anew as contradicted; without inputs its confidence stays.
+    """
     best = Window.partitionBy(*keys).orderBy("grade", F.desc_nulls_last("as_of"), "id")
-    whole = Window.partitionBy(*keys)
-    mine = F.col("superseded_by").isNull() & F.col("grade").isin(*grades)
-    taking = claims.filter(mine).withColumn("_k", F.struct(key.alias("k")))
-    ranked = taking.withColumn("_n", F.row_number().over(best)).withColumn("_winner", F.first("id").over(best)).withColumn("_values", F.size(F.collect_set("_k").over(whole)))
-    fought = F.col("_values") > 1
-    out = ranked.withColumn("superseded_by", F.when(fought & (F.col("_n") > 1), F.col("_winner"))).withColumn("contradicted", fought & (F.col("_n") == 1))
-    rest = claims.filter(~mine | mine.isNull()).withColumn("contradicted", F.lit(False))
+    mine = _compared(claims, grades)
+    values = contradictions(claims, keys=keys, grades=grades).select(*(F.col(k).alias(f"_{k}") for k in keys), "n_values")
+    taking = claims.filter(mine).withColumn("_n", F.row_number().over(best)).withColumn("_winner", F.first("id").over(best))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    ranked = taking.join(values, on, "left").withColumn("_fought", F.col("n_values").isNotNull())
+    out = ranked.withColumn("superseded_by", F.when(F.col("_fought") & (F.col("_n") > 1), F.col("_winner"))).withColumn("contradicted", F.col("_fought") & (F.col("_n") == 1))
+    if "confidence_inputs" in claims.columns:
+        i = F.col("confidence_inputs")
+        again = F.col("contradicted") & i.isNotNull()
+        out = out.withColumn("confidence", F.when(again, S.confidence(i["best_grade"], i["n_distinct_domains"], i["age_days"], F.lit(True))).otherwise(F.col("confidence"))).withColumn("confidence_inputs", F.when(again, i.withField("contradicted", F.lit(True))).otherwise(i))
+    rest = claims.filter(~F.coalesce(mine, F.lit(False))).withColumn("contradicted", F.lit(False))
     return out.select(*claims.columns, "contradicted").unionByName(rest)
 
 
@@ -100,9 +120,9 @@ def pivot_latest(claims: DataFrame, attributes: list[str], *, entity: str = "ent
     return wanted.groupBy(entity).pivot("attribute", attributes).agg(F.max_by(value, "id"))
 
 
-def price_observation(prices: DataFrame, *, entity: str = "entity_id", value: str = "value_num") -> DataFrame:
-    """Median, spread and ids; a row only if enough entities have a price."""
-    found = prices.agg(F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.sort_array(F.collect_list("id")).alias("claim_ids"), F.count_distinct(entity).alias("n_entities"))
+def price_observation(prices: DataFrame, *, keys: tuple = (), entity: str = "entity_id", value: str = "value_num") -> DataFrame:
+    """Median, spread and ids, per group if keys are given; a row only if enough entities have a price. The ids are the row's content, so a group is as large as its report."""
+    found = prices.groupBy(*keys).agg(F.median(value).alias("median"), F.min(value).alias("low"), F.max(value).alias("high"), F.sort_array(F.collect_list("id")).alias("claim_ids"), F.count_distinct(entity).alias("n_entities"))
     return found.filter(F.col("n_entities") >= fixed.OBSERVATION_ENTITIES)
 
 
@@ -120,6 +140,15 @@ def bind_statement(statements: DataFrame, findings: DataFrame, *, text: str = "t
     return whole.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", T.without_markers(F.col("sentence")).alias("s")))), lambda x: x["s"]), " ").alias("statement"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "claims"))), lambda x: x["claims"]))).alias("claim_ids"))
 
 
+def citation_fault(cited: Column, findings: DataFrame, statements: DataFrame, *, key: str = "statement_id") -> DataFrame:
+    """Per statement, what is wrong with the findings that it cites (an array column): unknown ids first, then too few different ones, then no pain point; null if nothing."""
+    each = statements.select(key, F.explode_outer(F.array_distinct(cited)).alias("finding_id"))
+    met = each.join(findings.select("finding_id", F.col("kind").alias("_kind"), F.lit(True).alias("_known")), "finding_id", "left")
+    seen = met.groupBy(key).agg(F.sort_array(F.collect_set(F.when(F.col("finding_id").isNotNull() & F.col("_known").isNull(), F.col("finding_id")))).alias("unknown"), F.count("finding_id").alias("n"), F.count_if(F.col("_kind") == "pain_point").alias("pains"))
+    fault = F.when(F.size("unknown") > 0, "unknown_finding").when(F.col("n") < fixed.SYNTHESIS_FINDINGS, "too_few_findings").when(F.col("pains") < fixed.SYNTHESIS_PAINS, "no_pain_point")
+    return seen.select(key, "unknown", fault.alias("fault"))
+
+
 def can_synthesise(findings: DataFrame) -> DataFrame:
     """Enough findings with claims, at least one pain point."""
     cited = F.size("claim_ids") > 0

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import urls as U
-
-VERIFY_LIMIT, PROFILE_LIMIT, FUNDING_LIMIT, DISCOVER_LIMIT = 24, 8, 3, 20  # fixed values
+from lodestone.functions.fixed import FUNDING_LIMIT, PROFILE_LIMIT, VERIFY_LIMIT
 
 
 def aggregate_hits(hits: DataFrame) -> DataFrame:
@@ -20,12 +19,35 @@ def top_candidates(candidates: DataFrame, limit: int = VERIFY_LIMIT) -> DataFram
     return candidates.orderBy(F.desc("hit_count"), "best_rank", "ord").limit(limit)
 
 
-def ranked(entities: DataFrame) -> DataFrame:
-    """entities: entity_id, hit_count, best_rank, maturity. Score, place and tier; one row per entity, that with most hits."""
-    one = entities.withColumn("_r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("hit_count"), "best_rank"))).filter("_r = 1").drop("_r")
-    scored = one.withColumn("score", F.col("hit_count") * 3.0 - F.col("best_rank") * 0.1 + F.when(F.col("maturity") != "hobby", 2.0).otherwise(0.0))
+def seed_repositories(candidates: DataFrame, repos: DataFrame) -> DataFrame:
+    """candidates of aggregate_hits and repositories (full_name, description, rank) found for the first query; curated lists go, each repository weighs like two hits."""
+    kept = repos.filter(~U.is_list_repo(F.col("full_name"), F.col("description")))
+    more = kept.select(F.lit("gh").alias("scheme"), F.col("full_name").alias("value"), F.col("full_name").alias("name"), F.lit(2).cast("long").alias("hit_count"), F.col("rank").cast("long").alias("best_rank"), F.lit("").alias("snippet"), (F.col("rank") + (1 << 40)).cast("long").alias("ord"))
+    old = candidates.select("scheme", "value", "name", F.col("hit_count").cast("long"), F.col("best_rank").cast("long"), F.coalesce("snippet", F.lit("")).alias("snippet"), F.col("ord").cast("long"))
+    return old.unionByName(more).groupBy("scheme", "value").agg(F.min_by("name", "ord").alias("name"), F.sum("hit_count").alias("hit_count"), F.min("best_rank").alias("best_rank"), F.min_by("snippet", F.when(F.length("snippet") > 0, F.col("ord"))).alias("snippet"), F.min("ord").alias("ord"))
+
+
+def ranked(entities: DataFrame, profiled: int = PROFILE_LIMIT) -> DataFrame:
+    """entities: entity_id, entity_key, hit_count, best_rank, snippet, maturity, ord. One row per entity, that with most hits; score, place, tier, and whether funding is looked for."""
+    one = entities.withColumn("_r", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("hit_count"), "best_rank", "ord"))).filter("_r = 1").drop("_r")
+    scored = one.withColumn("score", F.col("hit_count") * 3.0 - F.col("best_rank") * 0.1 + F.when(F.col("maturity").eqNullSafe("hobby"), 0.0).otherwise(2.0))
     # the verified candidates of one run, VERIFY_LIMIT at most
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "entity_id"))).withColumn("tier", F.when(F.col("place") <= PROFILE_LIMIT, "profile").when(F.col("place") <= DISCOVER_LIMIT, "pricing").otherwise("none"))
+    placed = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "ord")))
+    return placed.withColumn("tier", F.when(F.col("place") <= profiled, "profile").when(F.col("place") <= 2 * profiled, "pricing").otherwise("none")).withColumn("funding", F.col("place") <= FUNDING_LIMIT)
+
+
+def spawned(places: DataFrame, *, funding: bool = False) -> DataFrame:
+    """places of ranked: the tasks that discovery adds (node_key, kind, entity_key, snippet, weight). Repositories get their own kind in both tiers."""
+    gh = F.col("entity_key").startswith("gh:")
+    full = F.col("tier") == "profile"
+    kind = F.when(gh, "oss_profile").when(full, "profile_product").otherwise("extract_pricing")
+    prefix = F.when(gh, "oss:").when(full, "profile:").otherwise("pricing:")
+    weight = F.when(gh | ~full, 1).otherwise(2)
+    rows = places.filter("tier != 'none'").select(F.concat(prefix, "entity_key").alias("node_key"), kind.alias("kind"), "entity_key", F.when(full & ~gh, F.nullif("snippet", F.lit(""))).alias("snippet"), weight.alias("weight"))
+    if not funding:
+        return rows
+    more = places.filter("funding").select(F.concat(F.lit("funding:"), "entity_key").alias("node_key"), F.lit("find_funding").alias("kind"), "entity_key", F.lit(None).cast("string").alias("snippet"), F.lit(1).alias("weight"))
+    return rows.unionByName(more)
 
 
 def first_success(attempts: DataFrame, keys: list[str]) -> DataFrame:

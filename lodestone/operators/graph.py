@@ -29,17 +29,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         labels = labels.select("node", "component")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = fixed.SIMILARITY, *, block: str | None = None, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Pairs (a, b, score), a < b, of cosine at least the threshold. With block, only within equal values of that column; without, candidates come from random-hyperplane bands (a sketch), checked exactly."""
-    rows = vectors.select(F.col(id_col).alias("a"), F.col(vector).alias("x"), *([F.col(block).alias("k")] if block else []))
-    if not block:
-        rows = rows.withColumn("k", F.explode(bands(F.col("x"))))
-    pairs = rows.join(rows.select(F.col("a").alias("b"), F.col("x").alias("y"), "k"), "k").filter("a < b").withColumn("score", S.cosine(F.col("x"), F.col("y")))
-    return pairs.filter(F.col("score") >= threshold).select("a", "b", "score").distinct()
-
-
-def all_similar_pairs(vectors: DataFrame, threshold: float = fixed.SIMILARITY, *, id_col: str = "id", vector: str = "v", block: int = 512) -> DataFrame:
-    """Pairs (a, b, score), a < b, of cosine at least the threshold, none missed: every block of rows meets every block as one matrix product, and what comes near the threshold is scored as in similar_pairs."""
+def similar_pairs(vectors: DataFrame, threshold: float = fixed.SIMILARITY, *, id_col: str = "id", vector: str = "v", block: int = 512) -> DataFrame:
+    """Pairs (a, b, score), a < b, of cosine at least the threshold, none missed: every block of rows meets every block as one matrix product, and what comes near the threshold is scored again by the cosine expression."""
     rows = vectors.select(F.col(id_col).alias("a"), F.col(vector).alias("x"))
     parts = max(1, -(-rows.count() // block))
     dealt = rows.withColumn("p", F.pmod(F.xxhash64("a"), F.lit(parts))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -66,12 +57,6 @@ def all_similar_pairs(vectors: DataFrame, threshold: float = fixed.SIMILARITY, *
     return pairs.filter(F.col("score") >= threshold).select("a", "b", "score").distinct()
 
 
-def bands(x, *, count: int = 24, bits: int = 8, dim: int = 64):
-    """Band numbers of the signs against fixed pseudo-random hyperplanes."""
-    sign = lambda h: F.when(F.aggregate(F.transform(x, lambda v, i: v * (F.pmod(F.xxhash64(i, F.lit(h)), F.lit(2)) * 2 - 1)), F.lit(0.0), lambda s, v: s + v.cast("double")) >= 0, 1).otherwise(0)
-    return F.array(*[F.concat_ws("-", F.lit(str(b)), *[sign(b * bits + k).cast("string") for k in range(bits)]) for b in range(count)])
-
-
 def alias_edges(evidence: DataFrame) -> DataFrame:
     """evidence: scheme, value, homepage_key, backlink_repo, repository (as keys). Edges (a, b, trigger) between scheme:value keys."""
     key = F.concat_ws(":", "scheme", "value")
@@ -98,21 +83,31 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
         left = rest
 
 
-def plan_errors(tasks: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
-    """All faults of a plan, not the first only: duplicate keys, undeclared edges, too much weight, cycles."""
+def plan_errors(tasks: DataFrame, edges: DataFrame, budget: int, *, needs: dict[str, str] | None = None) -> DataFrame:
+    """All faults of a plan, not the first only: duplicate keys, undeclared edges, too much weight, cycles; with needs (kind -> required argument; tasks then have kind and args, a map), kinds that may not stand in a plan and missing arguments."""
     known = tasks.select(F.col("node_key").alias("k")).distinct()
     ends = edges.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     fault = lambda df, name, col: df.select(F.lit(name).alias("fault"), col.cast("string").alias("detail"))
     twice = fault(tasks.groupBy("node_key").count().filter("count > 1"), "duplicate_key", F.col("node_key"))
     unknown = fault(ends.join(known, "k", "left_anti"), "undeclared_node", F.col("k"))
     heavy = fault(tasks.agg(F.sum("weight").alias("w")).filter(F.col("w") > budget), "over_budget", F.col("w"))
-    return twice.unionByName(unknown).unionByName(heavy).unionByName(fault(cyclic_nodes(edges), "cycle", F.col("node")))
+    out = twice.unionByName(unknown).unionByName(heavy).unionByName(fault(cyclic_nodes(edges), "cycle", F.col("node")))
+    if needs is None:
+        return out
+    asked = F.create_map(*(F.lit(x) for kv in needs.items() for x in kv))[F.col("kind")]
+    return out.unionByName(fault(tasks.filter(asked.isNull()), "bad_kind", F.col("node_key"))).unionByName(fault(tasks.filter(asked.isNotNull() & ~F.map_contains_key("args", F.coalesce(asked, F.lit("")))), "bad_args", F.col("node_key")))
 
 
 def depends_on(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node_key")).agg(F.sort_array(F.collect_set("a")).alias("depends_on"))
 
 
+def lowered(tasks: DataFrame, edges: DataFrame, *, charged: dict[str, int]) -> DataFrame:
+    """A plan as tasks: depends_on from the edges, and the weight that the registry charges for some kinds."""
+    weight = F.coalesce(F.create_map(*(F.lit(x) for kv in charged.items() for x in kv))[F.col("kind")], F.col("weight"))
+    return tasks.join(depends_on(edges), "node_key", "left").withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))).withColumn("weight", weight)
+
+
 def ready(tasks: DataFrame) -> DataFrame:
     """Pending tasks all of whose dependencies are there and done. tasks: run_id, node_key, depends_on, status."""
     needs = tasks.filter("status = 'pending'").select("run_id", "node_key", F.explode("depends_on").alias("dep"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.work import folded, numbered
+
 
 def ratio(condition: Column, *, empty: float | None = None) -> Column:
     """Share of rows; `empty` (or null) for no rows."""
@@ -17,29 +19,36 @@ def status_counts(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.agg(*(F.count_if(F.col(column) == v).alias(v) for v in values))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Aggregate: the element at round-half-even(p * (n - 1)) of the sorted values."""
-    held = F.array_sort(F.collect_list(values))
-    return F.try_element_at(held, (F.bround(p * (F.size(held) - 1)) + 1).cast("int"))
+def nearest(p: float):
+    """The place (from 1) of the nearest rank, half to even, among n sorted values."""
+    return lambda n: F.bround(p * (n - 1)).cast("long") + 1
+
+
+def spike(p: float = 0.95):
+    """The place of the element at min(n - 1, floor(p * n))."""
+    return lambda n: F.least(n - 1, F.floor(p * n)).cast("long") + 1
 
 
-def spike_percentile(values: Column, p: float = 0.95) -> Column:
-    """Aggregate: the element at min(n - 1, floor(p * n))."""
-    held = F.array_sort(F.collect_list(values))
-    return F.try_element_at(held, (F.least(F.size(held) - 1, F.floor(p * F.size(held))) + 1).cast("int"))
+def at_ranks(df: DataFrame, keys: list[str], value: str, places: dict) -> DataFrame:
+    """Per group the values at some places of the sorted column. Rows are sorted, not collected, so a group may be of any size."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    ordered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_x")))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    met = ordered.join(sizes, keys) if keys else ordered.join(F.broadcast(sizes))
+    return met.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == at(F.col("_n")), F.col("_x"))).alias(name) for name, at in places.items()))
 
 
-def admit_greedy(tasks: DataFrame, run: str, order: str, weight: str, cap: int) -> DataFrame:
-    """Adds admitted: in order, a task is admitted if it fits in what is left of its run's cap; a refused one takes nothing."""
-    seq = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(weight).alias("w"))))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("yes"))
+def admit_greedy(tasks: DataFrame, run: str, order: list[str], weight: str, cap: int, *, usd: str | None = None, usd_cap: float | None = None) -> DataFrame:
+    """Adds admitted and reason: in order, a task is refused if its run has spent usd_cap (budget_usd), else if it doesn't fit in what is left of cap (budget_weight); a refused one takes nothing."""
 
-    def step(s: Column, x: Column) -> Column:
-        fits = s["spent"] + x["w"] <= cap
-        return F.struct((s["spent"] + F.when(fits, x["w"]).otherwise(0)).cast("long").alias("spent"), F.concat(s["yes"], F.array(fits)).alias("yes"))
+    def fold(state: list, row: dict) -> list:
+        reason = "budget_usd" if usd_cap is not None and state[1] >= usd_cap else "budget_weight" if state[0] + row[weight] > cap else None
+        if reason is None:
+            state[0] += row[weight]
+            state[1] += float(row[usd] or 0) if usd else 0.0
+        return [reason is None, reason]
 
-    runs = tasks.groupBy(run).agg(seq.alias("seq")).withColumn("yes", F.aggregate("seq", start, step)["yes"])
-    return runs.select(run, F.explode(F.arrays_zip("seq", "yes")).alias("z")).select(run, F.col("z.seq.o").alias(order), F.col("z.seq.w").alias(weight), F.col("z.yes").alias("admitted"))
+    return folded(tasks, [run], order, lambda: [0, 0.0], fold, "admitted boolean, reason string")
 
 
 def within_counter(df: DataFrame, run: str, order: list[Column], cap: int) -> DataFrame:
@@ -54,9 +63,15 @@ def rolling_sum(df: DataFrame, keys: list[str], at: str, value: str, hours: int
 
 def queue_positions(df: DataFrame, status: str, order: list[Column]) -> DataFrame:
     """0 for running, place in the queue for waiting, null for others."""
-    waiting = df.filter(F.col(status) == "queued").withColumn("position", F.row_number().over(Window.orderBy(*order)))
-    running = df.filter(F.col(status) == "running").withColumn("position", F.lit(0))
-    return waiting.unionByName(running).unionByName(df.filter(~F.col(status).isin("queued", "running")).withColumn("position", F.lit(None).cast("int")))
+    waiting = numbered(df.filter(F.col(status) == "queued"), order, "position")
+    running = df.filter(F.col(status) == "running").withColumn("position", F.lit(0).cast("long"))
+    return waiting.unionByName(running).unionByName(df.filter(~F.col(status).isin("queued", "running")).withColumn("position", F.lit(None).cast("long")))
+
+
+def spent(df: DataFrame, usd: str, *, keys: list[str] | None = None, since: Column | None = None, at: str | None = None) -> DataFrame:
+    """Sums with 0 for none: of a run or task (keys), of the month to date or the last hours (since)."""
+    rows = df if since is None else df.filter(F.col(at) >= since)
+    return rows.groupBy(*(keys or [])).agg(F.coalesce(F.sum(usd), F.lit(0)).cast("double").alias("spent"))
 
 
 def drop_rate(stats: DataFrame) -> DataFrame:
@@ -65,7 +80,21 @@ def drop_rate(stats: DataFrame) -> DataFrame:
     return drops.agg(F.try_divide(F.sum("d").cast("double"), F.sum("d") + F.sum("claims_bound")).alias("drop_rate"))
 
 
-def admissible(runs: DataFrame, user: str, now: Column, *, per_user: int, globally: int) -> DataFrame:
-    """One row: whether a user may start a run, by the counts of the last 24 hours."""
+def admissible(runs: DataFrame, now: Column, *, per_user: int, globally: int) -> DataFrame:
+    """Per user of the last 24 hours: how many runs, and whether another may start, by the own and the global count."""
     recent = runs.filter(F.col("started_at") > now - F.expr("interval 24 hours"))
-    return recent.agg(((F.count_if(F.col("user_id") == user) < per_user) & (F.count("*") < globally)).alias("ok"))
+    every = recent.agg(F.count("*").alias("_all"))
+    return recent.groupBy("user_id").agg(F.count("*").alias("runs")).join(F.broadcast(every)).withColumn("ok", (F.col("runs") < per_user) & (F.col("_all") < globally)).drop("_all")
+
+
+def llm_ledger(requests: DataFrame, responses: DataFrame, rates: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """requests: run_id, task_id, model, cache_key; responses: cache_key, content, input_tokens, output_tokens, cached_tokens. The answers that are kept for good, each with a ledger row that costs nothing, and what is left to be asked, each key once."""
+    hit = requests.join(responses, "cache_key").withColumn("cost_usd", F.lit(0.0)).withColumn("latency_ms", F.lit(0)).withColumn("cache_hit", F.lit(True)).withColumn("repaired", F.lit(False))
+    return hit, requests.dropDuplicates(["cache_key"]).join(responses.select("cache_key"), "cache_key", "left_anti")
+
+
+def repaired_usage(calls: DataFrame) -> DataFrame:
+    """calls: request_id, attempt, body (a vendor's JSON answer). The last content and the tokens of all attempts together."""
+    use = lambda name: F.coalesce(F.get_json_object("body", f"$.usage.{name}").try_cast("long"), F.lit(0))
+    rows = calls.select("request_id", "attempt", F.get_json_object("body", "$.choices[0].message.content").alias("content"), use("prompt_tokens").alias("i"), use("completion_tokens").alias("o"), use("prompt_tokens_details.cached_tokens").alias("c"))
+    return rows.groupBy("request_id").agg(F.max_by("content", "attempt").alias("content"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.sum("c").alias("cached_tokens"), (F.count("*") > 1).alias("repaired"))

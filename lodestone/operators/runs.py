@@ -51,3 +51,47 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
     """outcomes: run_id, kind, result. Counters of searches, fetches, hits and entities."""
     on = lambda kind, result=None: F.count_if((F.col("kind") == kind) & (F.lit(True) if result is None else F.col("result") == result))
     return outcomes.groupBy("run_id").agg(on("search").alias("searches"), on("search", "degraded").alias("degraded"), on("fetch").alias("fetches"), on("fetch", "hit").alias("cache_hits"), on("entity", "verified").alias("verified"), on("entity", "rejected").alias("rejected"), on("entity", "insufficient").alias("insufficient"))
+
+
+def claims_in_full(claims: DataFrame, entities: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims with their entity and source: for each winner or loser of a contradiction, who says what and where."""
+    e = entities.select(F.col("id").alias("entity_id"), "entity_key", "display_name")
+    s = sources.select(F.col("id").alias("source_id"), "canonical_url", "fetched_at")
+    return claims.join(e, "entity_id").join(s, "source_id")
+
+
+def inspected(claims: DataFrame, entities: DataFrame) -> DataFrame:
+    """What a run found, by entity name and attribute: the value as text, whichever kind it is."""
+    e = entities.select(F.col("id").alias("entity_id"), "display_name")
+    shown = claims.join(e, "entity_id").select("display_name", "attribute", F.coalesce("value_text", F.col("value_num").cast("string")).alias("value"), "grade", "id")
+    return shown.orderBy("display_name", "attribute", "id")
+
+
+def report_list(runs: DataFrame, reports: DataFrame) -> DataFrame:
+    """Runs that have a report, the latest first, unfinished last."""
+    return runs.join(reports.select("run_id", "payload"), runs["id"] == F.col("run_id")).drop("run_id").orderBy(F.col("finished_at").desc_nulls_last(), "id")
+
+
+def replayed(run: DataFrame, new_id: Column, now: Column) -> DataFrame:
+    """A run's query as a new run, which the caches serve."""
+    return run.select(new_id.alias("id"), "query", F.lit("queued").alias("status"), now.alias("started_at"))
+
+
+def finding_detail(findings: DataFrame, claims: DataFrame) -> DataFrame:
+    """Findings with the claims that carry them, in the order the finding lists them."""
+    rows = findings.select("finding_id", F.posexplode("claim_ids").alias("place", "id"))
+    return rows.join(claims, "id").orderBy("finding_id", "place")
+
+
+def run_totals(runs: DataFrame, calls: DataFrame, searches: DataFrame) -> DataFrame:
+    """Per run: what the model and the searches cost, and the share of model calls that a cache served (0 without calls)."""
+    c = calls.groupBy("run_id").agg(F.sum("cost_usd").cast("double").alias("llm_usd"), L.ratio(F.col("cache_hit"), empty=0.0).alias("hit_rate"))
+    s = searches.groupBy("run_id").agg(F.sum("credits_usd").cast("double").alias("search_usd"))
+    both = runs.select(F.col("id").alias("run_id")).join(c, "run_id", "left").join(s, "run_id", "left")
+    return both.select("run_id", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("llm_usd", "search_usd", "hit_rate"))).withColumn("total_usd", F.col("llm_usd") + F.col("search_usd"))
+
+
+def executor_coverage(tasks: DataFrame) -> DataFrame:
+    """Per run the share of its finished tasks that are done, by count; 0 if none is finished."""
+    over = F.count_if(F.col("status").isin("done", "failed", "skipped"))
+    return tasks.groupBy("run_id").agg(F.coalesce(F.try_divide(F.count_if(F.col("status") == "done").cast("double"), over), F.lit(0.0)).alias("coverage"))

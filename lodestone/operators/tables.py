@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.work import numbered
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
@@ -36,7 +38,7 @@ def merge_maps(old: Column, new: Column) -> Column:
 def append_events(old: DataFrame, new: DataFrame, order: list[Column]) -> DataFrame:
     """new with ids that go on after those of old."""
     last = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    return new.withColumn("id", F.row_number().over(Window.orderBy(*order))).join(F.broadcast(last)).withColumn("id", F.col("id") + F.col("_last")).drop("_last")
+    return numbered(new, order, "id").join(F.broadcast(last)).withColumn("id", F.col("id") + F.col("_last")).drop("_last")
 
 
 def evict(df: DataFrame, now: Column, *, expires: str = "ttl_expires_at", pinned: str = "is_pinned", text: str = "extracted_text") -> DataFrame:
@@ -59,6 +61,57 @@ def repoint(df: DataFrame, canon: DataFrame, column: str) -> DataFrame:
     return df.join(canon.select(F.col("id").alias(column), "canonical_id"), column, "left").withColumn(column, F.coalesce("canonical_id", column)).drop("canonical_id")
 
 
+def merge_entities(entities: DataFrame, aliases: DataFrame, claims: DataFrame, canon: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """canon: id, canonical_id (others are their own). Losers leave entities; their keys, and all aliases that named them, become aliases of the canonical one; claims are repointed."""
+    losers = canon.filter("id != canonical_id")
+    kept = entities.join(losers.select("id"), "id", "left_anti")
+    own = entities.join(losers, "id").select(F.col("entity_key").alias("alias_key"), F.col("canonical_id").alias("entity_id"))
+    moved = repoint(aliases, losers, "entity_id").select("alias_key", "entity_id").unionByName(own).dropDuplicates(["alias_key"])
+    return kept, moved, repoint(claims, losers, "entity_id")
+
+
+def upsert_entities(old: DataFrame, new: DataFrame) -> DataFrame:
+    """entity_key, display_name, maturity, meta (map): the new name and tier win, new keys of meta win, old ones stay."""
+    n = new.select("entity_key", *(F.col(c).alias("_" + c) for c in ("display_name", "maturity", "meta")), F.lit(True).alias("_new"))
+    both = old.join(n, "entity_key", "full")
+    pick = lambda c: F.when(F.col("_new"), F.col("_" + c)).otherwise(F.col(c)).alias(c)
+    empty = F.create_map().cast("map<string,string>")
+    return both.select("entity_key", pick("display_name"), pick("maturity"), merge_maps(F.coalesce("meta", empty), F.coalesce("_meta", empty)).alias("meta"))
+
+
+def insert_returning(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that are there after inserting: the new one, or the old one that has its key."""
+    held = old.join(new.select(*keys).distinct(), keys, "left_semi")
+    return held.unionByName(new.join(old.select(*keys), keys, "left_anti").dropDuplicates(keys))
+
+
+def allowed_by_switch(requests: DataFrame, state: DataFrame) -> DataFrame:
+    """requests with `open`: the kill switch, a table of one row (kill_switch), closes all; without a row all is open."""
+    switch = state.agg(F.coalesce(F.bool_or("kill_switch"), F.lit(False)).alias("_off"))
+    return requests.join(F.broadcast(switch)).withColumn("open", ~F.col("_off")).drop("_off")
+
+
+def export(tables: dict[str, DataFrame], folder: str) -> None:
+    """Each table as Parquet under folder/name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def stored_bytes(spark, folder: str, ceiling: int | None = None) -> dict:
+    """Bytes of a folder of tables, and their share of a ceiling."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    n = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return {"bytes": n, "share": n / ceiling if ceiling else None}
+
+
+def vector_literal(v: Column) -> Column:
+    return F.to_json(v)
+
+
+def parse_vector(s: Column) -> Column:
+    return F.from_json(s, "array<float>")
+
+
 def latest_state(events: DataFrame, key: str, state: str, order: Column) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(state, order).alias(state))
 

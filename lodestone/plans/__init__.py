@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.plans import evidence, operations
+from lodestone.plans import evidence, operations, tasks
 
 
 def queries() -> dict:
-    return {**evidence.QUERIES, **operations.QUERIES}
+    return {**evidence.QUERIES, **operations.QUERIES, **tasks.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**evidence.SQL, **operations.SQL}
+    return {**evidence.SQL, **operations.SQL, **tasks.SQL}

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -30,9 +30,33 @@ def windowed_counts(stream: DataFrame, *, at: str = "ts", width: str = "1 hour",
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def checklist(events: DataFrame, *, key: str, state: str, order: str) -> DataFrame:
-    """The last state of each key. Works on a stream in update or complete mode as well."""
-    return events.groupBy(key).agg(F.max_by(state, order).alias(state))
+def checklist(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """nodes: run_id, node_id, kind, pos; events: run_id, id, event_type (task.started, task.completed, task.failed), task_id, kind. A status per node.
+
+    A task that starts takes the first node of its kind that is still pending, once, however often its start is
+    delivered; its later events set that node's status. A node never is pending again, so the k-th task of a kind to
+    start has the k-th node of that kind. Tasks beyond the nodes of their kind, and events before a start, count for nothing.
+    """
+    started = events.filter("event_type = 'task.started'").groupBy("run_id", "task_id").agg(F.min("id").alias("since"), F.min_by("kind", "id").alias("kind"))
+    place = lambda order: F.row_number().over(Window.partitionBy("run_id", "kind").orderBy(order)).alias("k")
+    taken = nodes.select("run_id", "node_id", "kind", "pos", place("pos")).join(started.select("run_id", "task_id", "kind", "since", place("since")), ["run_id", "kind", "k"], "left")
+    ended = events.filter("event_type in ('task.completed', 'task.failed')").select("run_id", "task_id", "id", "event_type")
+    last = taken.filter("task_id is not null").select("run_id", "task_id", "since").join(ended, ["run_id", "task_id"]).filter("id > since").groupBy("run_id", "task_id").agg(F.max_by("event_type", "id").alias("end"))
+    status = F.when(F.col("end") == "task.completed", "done").when(F.col("end") == "task.failed", "failed").when(F.col("since").isNotNull(), "running").otherwise("pending")
+    return taken.join(last, ["run_id", "task_id"], "left").select("run_id", "node_id", "kind", "pos", status.alias("status"))
+
+
+def until_end(events: DataFrame, *, key: str = "id") -> DataFrame:
+    """Of each run the events up to the first that ends it: a report, or a failed run."""
+    ends = (F.col("event_type") == "report.ready") | (F.col("event_type") == "run.failed")
+    end = events.filter(ends).groupBy("run_id").agg(F.min(key).alias("_end"))
+    return events.join(end, "run_id", "left").filter(F.col("_end").isNull() | (F.col(key) <= F.col("_end"))).drop("_end")
+
+
+def periodic(spark: SparkSession, seconds: float, job: Callable[[int], None], checkpoint: str):
+    """A streaming query that calls the job with the batch number every so many seconds."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, n: job(n)).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).start()
 
 
 _TASK = "task_id long, status string, token long, attempts int"

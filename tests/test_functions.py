@@ -74,9 +74,17 @@ def test_markers_and_sentences(spark):
     assert one(spark, T.without_markers(F.lit("Good [4]."))) == "Good."
 
 
-@pytest.mark.parametrize("url,want", [("HTTP://Example.com:80/a/?utm_x=1&b=2&a=1#t", "http://example.com/a?a=1&b=2"), ("https://x.io:8443", "https://x.io:8443/"), ("https://x.io/%7Eu%2fv", "https://x.io/~u%2Fv"), (None, None)])
-def test_canonical(url, want):
-    assert U.canonical(url) == want and (want is None or U.canonical(want) == want)
+CANONICAL = [
+    ("HTTP://Example.com:80/a/?utm_x=1&b=2&a=1#t", "http://example.com/a?a=1&b=2"), ("https://x.io:8443", "https://x.io:8443/"), ("https://x.io/%7Eu%2fv", "https://x.io/~u%2Fv"), (None, None), ("no url", None),
+    (" https://u:p@X.io:443/%zz%41//?q=a+b&q=%c3%a9&ref=1&e= ", "https://u:p@x.io/%zzA?e=&q=a%20b&q=%C3%A9"), ("https://x.io///", "https://x.io/"), ("http://x.io:443/?b=~*&a=1&a=0", "http://x.io:443/?a=1&a=0&b=~%2A"), ("https://x.io:99999/", None),
+]
+
+
+def test_canonical(spark):
+    df = spark.createDataFrame(CANONICAL, "u string, want string").select("u", "want", U.canonical_url(F.col("u")).alias("got"))
+    rows = df.select("*", U.canonical_url(F.col("got")).alias("again"), U.canonical_url(F.col("u"), https=True).alias("https")).collect()
+    assert all(r.got == r.want == r.again for r in rows), [tuple(r) for r in rows]
+    assert rows[0].https == "https://example.com:80/a?a=1&b=2"
 
 
 @pytest.mark.parametrize("host,key,shared", [("docs.foo.com", "foo.com", False), ("a.github.io", "a.github.io", True), ("b.co.uk", "b.co.uk", False), ("https://www.x.y.co.uk/p", "y.co.uk", False)])

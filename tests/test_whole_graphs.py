@@ -29,7 +29,7 @@ def test_alias_graph_over_all_edges(spark):
     for n, c in of.items():
         if n.startswith("web:"):
             best[c] = min(best.get(c, n), n)
-    got = {r.key: r.canonical for r in queries()["alias_graph_all"](spark, SF).collect()}
+    got = {r.key: r.canonical for r in queries()["alias_graph"](spark, SF).collect()}
     assert len(edges) > 1000 and got == {n: best[c] for n, c in of.items()}
 
 
@@ -39,8 +39,8 @@ def test_similar_vectors_across_labels(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T
     pairs = lambda t: {(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(s >= t, 1)), strict=True)}
-    got = {(r.a, r.b): r.score for r in queries()["similar_vectors_all"](spark, SF).collect()}
+    got = {(r.a, r.b): r.score for r in queries()["similar_vectors"](spark, SF).collect()}
     assert set(got) == pairs(0.2) and all(abs(c - s[ids.index(a), ids.index(b)]) < 1e-5 for (a, b), c in got.items())
     df = spark.createDataFrame([(i, [float(c) for c in v[i]]) for i in ids], "id long, v array<double>")
-    assert {(r.a, r.b) for r in graph.all_similar_pairs(df, 0.2, block=16).collect()} == pairs(0.2)
-    assert {r.vec_id: r.cluster for r in queries()["similar_clusters"](spark, SF).collect()} == components_of(pairs(0.86), ids)
+    assert {(r.a, r.b) for r in graph.similar_pairs(df, 0.2, block=16).collect()} == pairs(0.2)
+    assert {r.vec_id: r.cluster for r in queries()["clusters"](spark, SF).collect()} == components_of(pairs(0.86), ids)
