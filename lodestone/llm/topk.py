@@ -10,7 +10,7 @@ are written one by one, so a lost executor costs a part of one round.
 
 Vectors that are null, empty or hold a null or non-finite component take no part, as query or candidate. A query meets
 the vectors of its own length. A query is never its own candidate; other rows with its id are left out with it. Repeated
-rows count one by one, as candidates and as queries. Fewer candidates than k: all are returned. An empty table gives no
+rows count one by one, as candidates and as queries; query rows that repeat an id share its k places. Fewer candidates than k: all are returned. An empty table gives no
 rows; other columns are not read, whatever their names. Scores are exact integers: sums beyond the 53 bits of floats are
 taken in 64-bit integers, those that may go beyond these in Python's; a score beyond 64 bits is held at their end.
 """
@@ -179,14 +179,14 @@ def _of_length(ws: Workspace, rows: DataFrame, dim: int, k: int, scale: float, b
             shift, used = max(0, shift - bits), 1 << min(shift, bits)
         sent = spark.sparkContext.broadcast(wave)
         passed = cand.mapInArrow(lambda bs, w=sent: _filter(bs, w.value, k), "row long, query_id long, vec_id long, score long")
-        rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
-        passed.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.parquet(f"{ws.root}/found/{dim}-{number}")
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+        passed.withColumn("place", place).filter(F.col("place") <= k).select("query_id", "vec_id", "score").write.parquet(f"{ws.root}/found/{dim}-{number}")
         sent.unpersist()
 
 
 def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, bins: int = BINS, wave: int = WAVE) -> DataFrame:
     """The k best candidates of each row that `queries` holds for: query_id, rank, vec_id, score. bins: a power of two."""
-    spark, schema = vectors.sparkSession, "query_id long, rank int, vec_id long, score long"
+    spark, schema = vectors.sparkSession, "query_id long, vec_id long, score long"
     ws = Workspace(spark, "topk")
     x = F.col(vector_col).cast("array<double>")
     fit = F.size(x) > 0, F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -194,7 +194,10 @@ def search(vectors: DataFrame, queries: Column, k: int, *, scale: float = 64.0,
     lengths = [r.dim for r in rows.filter("asks").select(F.size("x").alias("dim")).distinct().orderBy("dim").collect()]  # the lengths that queries have
     for dim in lengths:
         _of_length(ws, rows, dim, k, scale, block, bins, wave)
-    return spark.read.schema(schema).parquet(f"{ws.root}/found/*") if lengths else spark.createDataFrame([], schema)
+    found = spark.read.schema(schema).parquet(f"{ws.root}/found/*") if lengths else spark.createDataFrame([], schema)
+    # rows that repeat a query's id share its ranking
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
