@@ -304,15 +304,15 @@ def sets_of(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, held array<long>")
 
 
-def _near(fp: np.ndarray, home: np.ndarray, most: int, near: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pairs of places in one anchor, one of them at home there, within `near` bits; None once there are more than `most`."""
+def _near(fp: np.ndarray, home: np.ndarray, label: np.ndarray, most: int, near: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of places in one anchor of different labels, one of them at home there, within `near` bits; None once there are more than `most`."""
     left, right, n = [], [], 0
     mine = np.nonzero(home)[0]
     for i in range(0, len(mine), 64):
-        p, q = np.nonzero(np.bitwise_count(fp[mine[i : i + 64], None] ^ fp) <= near)
+        at = mine[i : i + 64, None]
+        p, q = np.nonzero((np.bitwise_count(fp[at] ^ fp) <= near) & (label[at] != label))
         p = mine[i + p]
         once = (p < q) | ~home[q]
-        once &= p != q
         left.append(p[once])
         right.append(q[once])
         n += len(left[-1])
@@ -321,35 +321,52 @@ def _near(fp: np.ndarray, home: np.ndarray, most: int, near: int) -> tuple[np.nd
     return (np.concatenate(left), np.concatenate(right)) if left else (mine[:0], mine[:0])
 
 
-def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, tag), sorted by key. Out come candidates (u, v) and, of anchors with many candidates or more than `hot` rows, the rows themselves (key, fp, node) for the rounds of `similar`."""
-
-    def dense(key: np.ndarray, fp: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(fp.view(np.int64)), pa.array(tag >> 1)], ["u", "v", "key", "fp", "node"])
+def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, tag and, if known, label), sorted by key. Out come candidates (u, v) of different labels. Of anchors
+    with more than `few` a row, or over `hot` rows, come those with a few rows that all others meet, and (node, null) for
+    each of their rows: what is open."""
+    open_: list[np.ndarray] = []
+    heads = max(1, few // 8)
 
     def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(u), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), none, none, none], ["u", "v", "key", "fp", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    def first_of(node: np.ndarray) -> np.ndarray:
+        return np.argsort(node if not turn else _mix(node.view(np.uint64) + np.uint64(turn) * _GOLDEN), kind="stable")[:heads]
+
+    def led(lead: tuple, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, v = [], []
+        for i in range(0, len(lead[0]), step := max(1, (1 << 22) // max(1, len(fp)))):
+            p, q = np.nonzero((np.bitwise_count(lead[0][i : i + step, None] ^ fp) <= near) & (lead[2][i : i + step, None] != label))
+            u.append(lead[1][i + p])
+            v.append(node[q])
+        return np.concatenate(u), np.concatenate(v)
 
-    def out(key: np.ndarray, fp: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def noted(node: np.ndarray) -> None:
+        open_.append(np.unique(node))
+        if sum(map(len, open_)) > 1 << 20:
+            open_[:] = [np.unique(np.concatenate(open_))]
+
+    def out(key: np.ndarray, fp: np.ndarray, tag: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
         size = np.diff(np.append(first, len(key)))
         home, node, found = (tag & 1) > 0, tag >> 1, []
         # anchors of a few rows, all at once: every row with the d-th after it
-        rows = np.nonzero(np.repeat((size > 1) & (size <= few), size))[0]
+        rows = np.nonzero(np.repeat((size > 1) & (size <= min(few, 64)), size))[0]
         room = np.repeat(first + size, size)[rows] - 1 - rows
-        for d in range(1, few):
+        for d in range(1, min(few, 64)):
             rows, room = rows[room >= d], room[room >= d]
             if not rows.size:
                 break
-            met = (np.bitwise_count(fp[rows] ^ fp[rows + d]) <= near) & (home[rows] | home[rows + d])
+            met = (np.bitwise_count(fp[rows] ^ fp[rows + d]) <= near) & (home[rows] | home[rows + d]) & (label[rows] != label[rows + d])
             found.append((node[rows[met]], node[rows[met] + d]))
-        for i in np.nonzero(size > few)[0]:
+        for i in np.nonzero(size > min(few, 64))[0]:
             at = slice(first[i], first[i] + size[i])
-            got = _near(fp[at], home[at], few * int(size[i]), near) if size[i] <= hot else None
+            got = _near(fp[at], home[at], label[at], few * int(size[i]), near)
             if got is None:
-                yield dense(key[at], fp[at], tag[at])
+                lead = first_of(node[at])
+                found.append(led((fp[at][lead], node[at][lead], label[at][lead]), fp[at], node[at], label[at]))
+                noted(node[at])
             else:
                 found.append((node[at][got[0]], node[at][got[1]]))
         if found:
@@ -358,18 +375,28 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int) -> I
                 yield pairs(u, v)
 
     held: list[tuple] = []  # rows of the last anchor, which may go on
-    n_held, through = 0, None  # an anchor that has more than `hot` rows already
+    n_held, through, lead = 0, None, None  # an anchor that has more than `hot` rows already, and what its rows meet
+    passed: list[tuple] = []  # its rows and their labels; if these are all one, nothing is open
+
+    def close() -> None:
+        if passed and min(x for _, x, _ in passed) != max(x for _, _, x in passed):
+            noted(np.concatenate([x for x, _, _ in passed]))
+        passed.clear()
     for b in batches:
         if not b.num_rows:
             continue
         rows = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
+        rows = *rows, b.column(3).to_numpy() if b.num_columns > 3 else rows[2] >> 1
         if through is not None:
             mine = int(np.searchsorted(rows[0], through, "right"))
             if mine:
-                yield dense(*(c[:mine] for c in rows))
+                node = rows[2][:mine] >> 1
+                yield pairs(*led(lead, rows[1][:mine], node, rows[3][:mine]))
+                passed.append((np.unique(node), rows[3][:mine].min(), rows[3][:mine].max()))
                 rows = tuple(c[mine:] for c in rows)
             if not len(rows[0]):
                 continue
+            close()
             through = None
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
         if held and (cut or held[0][0][0] != rows[0][0]):
@@ -381,11 +408,19 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int) -> I
             rows = tuple(c[cut:] for c in rows)
         held.append(rows)
         n_held += len(rows[0])
-        if n_held > hot:
-            yield dense(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held, n_held, through = [], 0, int(rows[0][-1])
+        if n_held > max(hot, heads):
+            key, fp, tag, label = (np.concatenate(c) for c in zip(*held, strict=True))
+            at = first_of(tag >> 1)
+            lead = fp[at], tag[at] >> 1, label[at]
+            yield pairs(*led(lead, fp, tag >> 1, label))
+            passed.append((np.unique(tag >> 1), label.min(), label.max()))
+            held, n_held, through = [], 0, int(key[-1])
+    close()
     if held:
         yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    if open_:
+        node = np.unique(np.concatenate(open_))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64())], ["u", "v"])
 
 
 def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -401,10 +436,10 @@ def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: tuple
 def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int = SIMILAR_WORDS, similarity: tuple[int, int] = (4, 5), prints: int = PRINTS, near: int = NEAR, hot: int = HOT, few: int = FEW) -> DataFrame:
     """One row per document: row_col, component (the smallest row_col that a chain of links reaches). row_col: long, unique, the same in every scan.
 
-    Anchors with at most `few` candidates a row give their candidates directly. In the others (large groups of near
-    copies) all pairs would grow with the square of the group, and only components are wanted: in each round one member
-    of an anchor meets the others, each row with one such partner, and what lies in one component by then needs no
-    further look; when few pairs between components are left, or a round no longer lessens them, all of those are verified.
+    Only components are wanted, so candidates within one component need no look. Anchors with at most `few` candidates a
+    row give them all. The others (large groups of near copies, whose pairs grow with the square) give those with one
+    row; their rows are dealt out again with the labels that they have by then, and only candidates of different labels
+    count; `few` grows fourfold each turn, so in the end every anchor has given all.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "similar")
@@ -412,58 +447,49 @@ def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int
     sketches = ws.keep("sketches", signatures(rows, width, prints))
     nodes = ws.keep("nodes", sketches.groupBy("same").agg(F.min("row").alias("node")))
     own = ws.keep("own", sketches.filter("n > 0").join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "prints"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
                 node, every = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, prints)
+                label = [part.column(2).to_numpy()] if part.num_columns > 2 else []
                 for k in range(prints):
                     key, at, home = anchors(every[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(k << 44 | key), pa.array(every[at, k].view(np.int64)), pa.array(node[at] << 1 | home)], ["key", "fp", "tag"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k << 44 | key), pa.array(every[at, k].view(np.int64)), pa.array(node[at] << 1 | home), *(pa.array(x[at]) for x in label)], ["key", "fp", "tag", *["label"] * len(label)])
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = own.select("node", "prints").mapInArrow(spread, "key long, fp long, tag long").repartition(n, "key").sortWithinPartitions("key")
-    met = ws.keep("met", dealt.mapInArrow(lambda bs: _meet(bs, near, hot, few), "u long, v long, key long, fp long, node long"))
-    pairs = ws.keep("pairs", met.filter("key is null").select("u", "v").distinct())
-    dense = met.filter("key is not null").select("key", "fp", "node")
-    # of anchors with the same rows one is enough
-    kinds = dense.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("all"))
-    kinds = ws.keep("kinds", kinds.groupBy("size", "all").agg(F.min("key").alias("key")))
-    dense = ws.keep("dense", dense.join(kinds, "key"))
-    ws.free("met")
-    total = dense.count()
-    some = pairs.select(F.explode(F.array("u", "v")).alias("row")).unionByName(dense.select(F.col("node").alias("row"))).distinct()
-    sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
-    sizes = own.select("node", "n")
-    links = ws.keep("links", alike(pairs, sizes, sets, similarity))
-    star, before, turn = components(ws, links), float("inf"), 0
-    while total:
-        label = star.select(F.col("u").alias("node"), F.col("v").alias("l"))
-        at = ws.keep("at", dense.join(label, "node", "left").select("key", "size", "fp", "node", F.coalesce("l", "node").alias("label")))
-        per = at.groupBy("key", "label").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
-        if not left:
-            break
-        last = left <= few * total or left > 0.9 * before
-        before, turn = left, turn + 1
-        if last:
-            one = at.select("key", F.col("fp").alias("p_fp"), F.col("node").alias("p_node"), F.col("label").alias("p_label"))
-        else:
-            lead = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "fp", "node", "label")).alias("f"))
-            one = lead.select("key", F.col("f.fp").alias("p_fp"), F.col("f.node").alias("p_node"), F.col("f.label").alias("p_label"))
-        found = at.join(one, "key").filter((F.col("label") != F.col("p_label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p_fp"))) <= near))
-        if last:
-            found = found.filter("node > p_node").select(F.col("node").alias("u"), F.col("p_node").alias("v")).distinct()
-        else:
-            found = found.groupBy("node").agg(F.max(F.struct("size", F.xxhash64("p_node", F.lit(turn)), "p_node")).alias("f")).select(F.greatest("node", "f.p_node").alias("u"), F.least("node", "f.p_node").alias("v")).distinct()
-        more = ws.keep(f"more-{turn}", alike(found, sizes, sets, similarity))
-        star = components(ws, star.unionByName(more))
-        if last:
+    def labelled(df: DataFrame, star: DataFrame, node: str, label: str) -> DataFrame:
+        return df.join(star.select(F.col("u").alias(node), F.col("v").alias("_l")), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
+
+    def verified(pairs: DataFrame):
+        """Checks some of these pairs by their sets."""
+        some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+        sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
+        return lambda some_pairs, name: ws.keep(name, alike(some_pairs, own.select("node", "n"), sets, similarity))
+
+    star, todo, turn = None, own.select("node", "prints"), 0
+    while True:
+        dealt = todo.mapInArrow(spread, "key long, fp long, tag long" + ", label long" * bool(turn)).repartition(n, "key").sortWithinPartitions("key")
+        met = ws.keep("met", dealt.mapInArrow(lambda bs, f=few, t=turn: _meet(bs, near, hot, f, t), "u long, v long"))
+        pairs = ws.keep("pairs", met.filter("v is not null").distinct())
+        checked = verified(pairs)
+        # a partner each first, which settles most groups; then the pairs that still lie apart
+        links = checked(pairs.groupBy("u").agg(F.min("v").alias("v")), "links")
+        star = components(ws, links if star is None else star.unionByName(links))
+        apart = labelled(labelled(pairs, star, "u", "a"), star, "v", "b").filter("a != b").select("u", "v")
+        more = checked(apart, "more")
+        if not more.isEmpty():
+            star = components(ws, star.unionByName(more))
+        again = met.filter("v is null").select(F.col("u").alias("node")).distinct()
+        if again.isEmpty():
             break
-    label = star.select(F.col("u").alias("node"), F.col("v").alias("l"))
-    named = ws.keep("named", nodes.join(label, "node", "left").select("same", F.coalesce("l", "node").alias("component")))
-    return sketches.join(named, "same").select(F.col("row").alias(row_col), "component")
+        todo = ws.keep("todo", labelled(own.join(again, "node"), star, "node", "label").select("node", "prints", "label"))
+        few, turn = 4 * few, turn + 1
+    named = labelled(nodes, star, "node", "component").select("same", "component")
+    found = ws.keep("found", sketches.select("row", "same").join(named, "same").select(F.col("row").alias(row_col), "component"))
+    ws.free("sketches", "nodes", "own", "met", "pairs", "sets", "links", "more", "todo", "edges")
+    return found
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

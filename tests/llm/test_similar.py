@@ -45,7 +45,7 @@ def test_links_all_of_similarity(spark):
     texts = texts_of(spark)
     want = brute(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
-    for more in ({}, {"few": 1, "prints": 10}, {"few": 0, "hot": 3}):  # candidates at once; by rounds; anchors passed through
+    for more in ({}, {"few": 1, "prints": 10, "hot": 3}):  # candidates at once; by turns, anchors passed through
         got = {r.row: r.component for r in simhash.similar(df, row_col="row", **more).collect()}
         assert got == dict(enumerate(want)), more
 
