@@ -42,6 +42,7 @@ CHUNK = 256
 COLUMNS = 96  # symbols with a dense column; the last stands for all others
 LISTED = 64
 MOST_STATES = 250_000  # rows of the table; it grows no further
+MOST_KNOWN, MOST_MEMO = 250_000, 40_000  # pairs of tokens and steps that are remembered; forgotten together beyond
 LONG, PIECE, WARM, SLICE = 96, 1 << 14, 256, 1 << 18
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 UNSYNC, START, LOST = 0, 1, 2
@@ -75,7 +76,7 @@ class Vocabulary:
             n = len(self.parts)
             self.pair[self.id[x], self.id[y]] = self.id.setdefault(x + y, n)
             self.parts.append((self.id[x], self.id[y]))
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.id = {t: i for t, i in self.id.items() if i < 512 or self.fits(*self.parts[i], product=i)}
         self.grown: dict[str, list[int] | None] = {}  # prefix -> the tokens it can grow into, None where they are too many to list
         for t, i in self.id.items():
@@ -90,9 +91,12 @@ class Vocabulary:
         """Whether tokens a and b stay apart when they stand side by side; with a product, whether no earlier merge precedes theirs."""
         if product is not None:
             return self._apart(a, b, product)
-        if (a, b) not in self.known:
-            self.known[a, b] = self._apart(a, b, 1 << 40)
-        return self.known[a, b]
+        out = self.known.get(a << 20 | b)
+        if out is None:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            out = self.known[a << 20 | b] = self._apart(a, b, 1 << 40)
+        return out
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """No merge across the border of a and b happens before the merges that build them: the later-built side is undone step by step."""
@@ -135,7 +139,7 @@ class Walk:
                     if not start:
                         continue
                 else:
-                    fit = known.get((last[at], token))
+                    fit = known.get(last[at] << 20 | token)
                     if not (v.fits(last[at], token) if fit is None else fit):
                         continue
                 last.append(token)
@@ -223,6 +227,8 @@ class Transducer:
                 places.append((at, before, count - more))
         cut = places[0][0] if places else len(text)
         out = (text[cut:], (*((at - cut, before, count) for at, before, count in places), (len(text) - cut, token, 0))), more
+        if len(self.memo) >= MOST_MEMO:
+            self.memo.clear()
         self.memo[key] = out
         return out
 
