@@ -26,9 +26,11 @@ gives no rows; extra columns are not read, whatever their names.
 from __future__ import annotations
 
 import json
+import marshal
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from lodestone.llm._common import slices, table
 CHUNK = 256
 COLUMNS = 96  # symbols with a dense column; the last stands for all others
 LISTED = 64
-MOST_STATES = 250_000  # rows of the table; it grows no further
+MOST_STATES = 100_000  # rows of the table; it grows no further
 MOST_KNOWN, MOST_MEMO = 250_000, 40_000  # pairs of tokens and steps that are remembered; forgotten together beyond
 LONG, PIECE, WARM, SLICE = 96, 1 << 14, 256, 1 << 18
 SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -84,9 +86,13 @@ class Vocabulary:
                 into = self.grown.setdefault(t[:k], [])
                 if into is not None:
                     self.grown[t[:k]] = [*into, i] if len(into) < LISTED else None
-        self.ends = {t[k:] for t in self.id for k in range(len(t))}
         self.longest = max(map(len, self.id))
 
+    @cached_property
+    def ends(self) -> set[str]:
+        """All ends of tokens; only walks need them."""
+        return {t[k:] for t in self.id for k in range(len(t))}
+
     def fits(self, a: int, b: int, product: int | None = None) -> bool:
         """Whether tokens a and b stay apart when they stand side by side; with a product, whether no earlier merge precedes theirs."""
         if product is not None:
@@ -188,7 +194,7 @@ class Transducer:
         self.v = Vocabulary(path)
         self.special = re.compile("|".join(map(re.escape, self.v.specials))) if self.v.specials else None
         self.memo: dict[tuple, tuple] = {}
-        self.walk, self.words = Walk(self.v), {}
+        self.walk, self.words, self.start = Walk(self.v), {}, ("S", "", EMPTY)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.column = np.zeros(0x110000, np.uint8)
         self.column[SPACES] = 1
@@ -196,14 +202,15 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list = [None, ("S", "", EMPTY), None]
+        self.states: list[bytes] = [b"", marshal.dumps(self.start, 2), b""]  # packed, a tenth of their size as objects
         self.number = {self.states[START]: START}
-        self.to = np.full((1024, COLUMNS), -1, np.int32)
+        self.to = np.empty((MOST_STATES, COLUMNS), np.int32)  # pages are touched as states are made
+        self.to[: LOST + 1] = -1
         self.to[UNSYNC] = UNSYNC << 5 | 16
         self.to[UNSYNC, 1] = START << 5 | 16
-        self.to[LOST] = LOST << 5 | 16  # the state has no row: the text is walked
+        self.to[LOST] = LOST << 5 | 16  # the state has no row: what lies between white space is walked
+        self.to[LOST, 1] = START << 5 | 16
         self.to[START, COLUMNS - 1] = -2
-        self.to[LOST + 1 :, COLUMNS - 1] = -2
         self.memo.clear()
 
     # one symbol, one character, one word end
@@ -266,7 +273,7 @@ class Transducer:
         kind = "S" if ord(char) in _SPACE_SET else {"L": "L", "N": "N"}.get(unicodedata.category(char)[0], "O")
         if mode == "A":
             if last + char in ("'s", "'t", "'m", "'d", "'re", "'ve", "'ll"):
-                return self.states[START], self._whole(last + char)
+                return self.start, self._whole(last + char)
             if last == "'" and char in "rvl":
                 return ("A", last + char, EMPTY), 0
             if last == "'":
@@ -278,24 +285,24 @@ class Transducer:
             return (mode, char, word), n
         n = self._end(word, last) if mode in "LO" else 0
         if kind == "N":
-            return self.states[START], n + self._whole(char)
+            return self.start, n + self._whole(char)
         if char == "'":
             return ("A", "'", EMPTY), n
-        return (self.states[START] if kind == "S" else (kind, char, EMPTY)), n
+        return (self.start if kind == "S" else (kind, char, EMPTY)), n
 
     def _entry(self, state: int, code: int, column: int) -> int:
-        if state in (UNSYNC, LOST):
+        if state in (UNSYNC, LOST):  # white space has an entry
             return state << 5 | 16
-        after, n = self.step(self.states[state], chr(code))
+        after, n = self.step(marshal.loads(self.states[state]), chr(code))
+        after = marshal.dumps(after, 2)
         k = self.number.get(after)
         if k is None:
-            if len(self.states) >= MOST_STATES:
+            if len(self.states) >= len(self.to):
                 return LOST << 5 | 16
             k = self.number[after] = len(self.states)
             self.states.append(after)
-            if k >= len(self.to):
-                self.to = np.vstack([self.to, np.full((len(self.to) // 2, COLUMNS), -1, np.int32)])
-                self.to[k:, COLUMNS - 1] = -2
+            self.to[k] = -1
+            self.to[k, COLUMNS - 1] = -2
         assert -16 <= n < 16
         entry = k << 5 | n + 16
         if column < COLUMNS - 1:
@@ -356,17 +363,41 @@ class Transducer:
                 out[np.searchsorted(ends, a, "right")] += self.walked(code[a:b].tobytes().decode("utf-32-le", "surrogatepass"))
                 column[a:b] = 1
             code = np.where(column == 1, np.uint32(32), code)
+        total, lost = self._lanes(code, column, lanes)
+        if lost.size:
+            column = column.copy() if not far.size else column
+            code = code.copy()
+        while lost.size:  # what met a state without a row is walked too, and its texts run again without it
+            after = np.unique(np.searchsorted(space, lost))
+            texts_ = set()
+            for k in after:
+                a, b = int(space[k - 1]) + 1 if k else 0, int(space[k])
+                own = int(np.searchsorted(ends, a, "right"))
+                out[own] += self.walked(code[a:b].tobytes().decode("utf-32-le", "surrogatepass"))
+                column[a:b], code[a:b] = 1, 32
+                texts_.add(own)
+            some = np.array(sorted(texts_))
+            at = np.concatenate([np.arange(ends[i] - lanes[i] * CHUNK, ends[i]) for i in some])
+            total[some], more = self._lanes(code[at], column[at], lanes[some])
+            lost = at[more] if more.size else more
+        return out + total
+
+    def _lanes(self, code: np.ndarray, column: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of texts of so many chunks each, and the places at which a state had no row."""
         code, column = code.reshape(-1, CHUNK), column.reshape(-1, CHUNK)
+        starts, lost = np.cumsum(lanes) - lanes, []
         first = np.zeros(len(code), bool)
-        first[np.cumsum(lanes) - lanes] = True
+        first[starts] = True
         # maps of all chunks: from START in a text's first, else constant from the first white space on
         codes, columns = np.ascontiguousarray(code.T), np.ascontiguousarray(column.T)
-        state, n, lost = np.where(first, START, UNSYNC).astype(np.int32), np.full(len(code), -16 * CHUNK, np.int64), np.zeros(len(code), bool)
+        state, n = np.where(first, START, UNSYNC).astype(np.int32), np.full(len(code), -16 * CHUNK, np.int64)
+        full = len(self.states) > 0.9 * len(self.to)
         for j in range(CHUNK):
             x = self._advance(state, columns[j], codes[j])
             state = x >> 5
             n += x & 31
-            lost |= state == LOST
+            if full or len(self.states) == len(self.to):
+                lost.append(np.nonzero(state == LOST)[0] * CHUNK + j)
         # composition: heads run from the end of the chunk before; each has white space, so that end is known
         head = (column == 1).argmax(1) + 1
         now = np.nonzero(~first)[0]
@@ -378,12 +409,9 @@ class Transducer:
                 x = self._advance(s[:k], columns[j, now[:k]], codes[j, now[:k]])
                 s[:k] = x >> 5
                 n[now[:k]] += (x & 31) - 16
-                lost[now[:k]] |= s[:k] == LOST
-        starts = np.cumsum(lanes) - lanes
-        total = np.add.reduceat(n, starts)
-        for i in np.nonzero(np.logical_or.reduceat(lost, starts))[0]:
-            total[i] = self.walked("".join(map(chr, np.where(column[starts[i] : starts[i] + lanes[i]].ravel() == 1, 32, code[starts[i] : starts[i] + lanes[i]].ravel()))))
-        return out + total
+                if full or len(self.states) == len(self.to):
+                    lost.append(now[:k][s[:k] == LOST] * CHUNK + j)
+        return np.add.reduceat(n, starts), np.unique(np.concatenate(lost)) if lost else np.zeros(0, np.int64)
 
 
 _SPACE_SET = frozenset(SPACES)
