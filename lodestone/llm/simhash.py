@@ -42,6 +42,7 @@ from lodestone.llm.components import components
 
 THRESHOLD, RADIUS, WORDS, HOT = 4, 3, 4, 20_000
 SIMILAR_WORDS, PRINTS, NEAR, FEW = 5, 8, 14, 8
+PAIR, LEAD, OPEN = 0, 1, 2
 GOLAY = 0xC75  # generator polynomial of the binary Golay code of length 23
 BLOCKS = [(23, 8), (31, 8), (39, 8), (47, 8), (55, 9)]  # first bit, width
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -322,14 +323,24 @@ def _near(fp: np.ndarray, home: np.ndarray, label: np.ndarray, most: int, near:
 
 
 def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, tag and, if known, label), sorted by key. Out come candidates (u, v) of different labels. Of anchors
-    with more than `few` a row, or over `hot` rows, come those with a few rows that all others meet, and (node, null) for
-    each of their rows: what is open."""
+    """Rows (key, fp, tag and, from the second turn on, label), sorted by key. Out come rows (u, v, kind).
+
+    PAIR: all candidates of different labels of an anchor that has `few` a row at most. LEAD: of other anchors (in the
+    first turn: of all) candidates of which each row u needs only one; OPEN: the rows of these anchors, whose further
+    candidates are still to come (in the first turn: all rows that have a candidate).
+    """
     open_: list[np.ndarray] = []
     heads = max(1, few // 8)
 
-    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+    def rows_of(u: np.ndarray, v: np.ndarray, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kind, np.int32))], ["u", "v", "kind"])
+
+    def leads(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        """Each u with its smallest v."""
+        o = np.lexsort((v, u))
+        u, v = u[o], v[o]
+        one = np.concatenate([[True], u[1:] != u[:-1]]) if len(u) else np.zeros(0, bool)
+        return rows_of(u[one], v[one], LEAD)
 
     def first_of(node: np.ndarray) -> np.ndarray:
         return np.argsort(node if not turn else _mix(node.view(np.uint64) + np.uint64(turn) * _GOLDEN), kind="stable")[:heads]
@@ -340,7 +351,7 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
             p, q = np.nonzero((np.bitwise_count(lead[0][i : i + step, None] ^ fp) <= near) & (lead[2][i : i + step, None] != label))
             u.append(lead[1][i + p])
             v.append(node[q])
-        return np.concatenate(u), np.concatenate(v)
+        return np.concatenate(v), np.concatenate(u)
 
     def noted(node: np.ndarray) -> None:
         open_.append(np.unique(node))
@@ -350,7 +361,7 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
     def out(key: np.ndarray, fp: np.ndarray, tag: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
         size = np.diff(np.append(first, len(key)))
-        home, node, found = (tag & 1) > 0, tag >> 1, []
+        home, node, found, led_ = (tag & 1) > 0, tag >> 1, [], []
         # anchors of a few rows, all at once: every row with the d-th after it
         rows = np.nonzero(np.repeat((size > 1) & (size <= min(few, 64)), size))[0]
         room = np.repeat(first + size, size)[rows] - 1 - rows
@@ -365,14 +376,19 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
             got = _near(fp[at], home[at], label[at], few * int(size[i]), near)
             if got is None:
                 lead = first_of(node[at])
-                found.append(led((fp[at][lead], node[at][lead], label[at][lead]), fp[at], node[at], label[at]))
+                led_.append(led((fp[at][lead], node[at][lead], label[at][lead]), fp[at], node[at], label[at]))
                 noted(node[at])
             else:
                 found.append((node[at][got[0]], node[at][got[1]]))
-        if found:
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            if len(u):
-                yield pairs(u, v)
+        u, v = (np.concatenate(x) for x in zip((node[:0], node[:0]), *found, strict=True))
+        u, v = np.maximum(u, v), np.minimum(u, v)
+        if turn:
+            yield rows_of(u, v, PAIR)
+        else:
+            led_.append((u, v))
+            noted(np.concatenate([u, v]))
+        if led_:
+            yield leads(*(np.concatenate(x) for x in zip(*led_, strict=True)))
 
     held: list[tuple] = []  # rows of the last anchor, which may go on
     n_held, through, lead = 0, None, None  # an anchor that has more than `hot` rows already, and what its rows meet
@@ -391,7 +407,7 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
             mine = int(np.searchsorted(rows[0], through, "right"))
             if mine:
                 node = rows[2][:mine] >> 1
-                yield pairs(*led(lead, rows[1][:mine], node, rows[3][:mine]))
+                yield leads(*led(lead, rows[1][:mine], node, rows[3][:mine]))
                 passed.append((np.unique(node), rows[3][:mine].min(), rows[3][:mine].max()))
                 rows = tuple(c[mine:] for c in rows)
             if not len(rows[0]):
@@ -412,7 +428,7 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
             key, fp, tag, label = (np.concatenate(c) for c in zip(*held, strict=True))
             at = first_of(tag >> 1)
             lead = fp[at], tag[at] >> 1, label[at]
-            yield pairs(*led(lead, fp, tag >> 1, label))
+            yield leads(*led(lead, fp, tag >> 1, label))
             passed.append((np.unique(tag >> 1), label.min(), label.max()))
             held, n_held, through = [], 0, int(key[-1])
     close()
@@ -420,7 +436,7 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
         yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
     if open_:
         node = np.unique(np.concatenate(open_))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64())], ["u", "v"])
+        yield rows_of(node, node, OPEN)
 
 
 def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -436,10 +452,11 @@ def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: tuple
 def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int = SIMILAR_WORDS, similarity: tuple[int, int] = (4, 5), prints: int = PRINTS, near: int = NEAR, hot: int = HOT, few: int = FEW) -> DataFrame:
     """One row per document: row_col, component (the smallest row_col that a chain of links reaches). row_col: long, unique, the same in every scan.
 
-    Only components are wanted, so candidates within one component need no look. Anchors with at most `few` candidates a
-    row give them all. The others (large groups of near copies, whose pairs grow with the square) give those with one
-    row; their rows are dealt out again with the labels that they have by then, and only candidates of different labels
-    count; `few` grows fourfold each turn, so in the end every anchor has given all.
+    Only components are wanted, so candidates within one component need no look. In the first turn every row that has a
+    candidate is verified with one; all these rows are dealt out again with the labels that they have by then, and only
+    candidates of different labels count. Anchors with at most `few` of them a row give them all. The others (large
+    groups, whose pairs would grow with the square) again give one a row and go on to the next turn; `few` grows fourfold
+    each turn, so in the end every anchor has given all.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "similar")
@@ -462,33 +479,24 @@ def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int
     def labelled(df: DataFrame, star: DataFrame, node: str, label: str) -> DataFrame:
         return df.join(star.select(F.col("u").alias(node), F.col("v").alias("_l")), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
 
-    def verified(pairs: DataFrame):
-        """Checks some of these pairs by their sets."""
-        some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-        sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
-        return lambda some_pairs, name: ws.keep(name, alike(some_pairs, own.select("node", "n"), sets, similarity))
-
     star, todo, turn = None, own.select("node", "prints"), 0
     while True:
         dealt = todo.mapInArrow(spread, "key long, fp long, tag long" + ", label long" * bool(turn)).repartition(n, "key").sortWithinPartitions("key")
-        met = ws.keep("met", dealt.mapInArrow(lambda bs, f=few, t=turn: _meet(bs, near, hot, f, t), "u long, v long"))
-        pairs = ws.keep("pairs", met.filter("v is not null").distinct())
-        checked = verified(pairs)
-        # a partner each first, which settles most groups; then the pairs that still lie apart
-        links = checked(pairs.groupBy("u").agg(F.min("v").alias("v")), "links")
+        met = ws.keep("met", dealt.mapInArrow(lambda bs, f=few, t=turn: _meet(bs, near, hot, f, t), "u long, v long, kind int"))
+        lead = met.filter(F.col("kind") == LEAD).groupBy("u").agg(F.min("v").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        pairs = ws.keep("pairs", met.filter(F.col("kind") == PAIR).select("u", "v").unionByName(lead).distinct())
+        some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+        sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
+        links = ws.keep("links", alike(pairs, own.select("node", "n"), sets, similarity))
         star = components(ws, links if star is None else star.unionByName(links))
-        apart = labelled(labelled(pairs, star, "u", "a"), star, "v", "b").filter("a != b").select("u", "v")
-        more = checked(apart, "more")
-        if not more.isEmpty():
-            star = components(ws, star.unionByName(more))
-        again = met.filter("v is null").select(F.col("u").alias("node")).distinct()
+        again = met.filter(F.col("kind") == OPEN).select(F.col("u").alias("node")).distinct()
         if again.isEmpty():
             break
         todo = ws.keep("todo", labelled(own.join(again, "node"), star, "node", "label").select("node", "prints", "label"))
-        few, turn = 4 * few, turn + 1
+        few, turn = few if not turn else 4 * few, turn + 1
     named = labelled(nodes, star, "node", "component").select("same", "component")
     found = ws.keep("found", sketches.select("row", "same").join(named, "same").select(F.col("row").alias(row_col), "component"))
-    ws.free("sketches", "nodes", "own", "met", "pairs", "sets", "links", "more", "todo", "edges")
+    ws.free("sketches", "nodes", "own", "met", "pairs", "sets", "links", "todo", "edges")
     return found
 
 
