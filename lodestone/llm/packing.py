@@ -2,7 +2,8 @@
 
 A level array counts the partially filled windows at each fill. A document (beyond its full windows, which stand alone)
 goes to the fill whose use leaves the smallest sum of squared counts; ties go to the fuller window. A full window is
-closed and its pieces are emitted. Each task packs its own input partition and numbers its windows within it, so no
+closed and its pieces are emitted. Where more than MOST_OPEN ids wait in open windows, these are laid end to end and cut
+into full ones, so a task's memory is bounded whatever the lengths, and nothing is padded for it. Each task packs its own input partition and numbers its windows within it, so no
 token moves between executors. At the end of a partition the windows still open are laid end to end and cut at the
 window length; the rest, shorter than a window, is cut into sequences whose lengths are powers of two, which need no
 padding.
@@ -19,7 +20,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import slices, table, utf8_of
 
 WINDOW = 2048
+MOST_OPEN = 1 << 22  # ids that wait in a task's open windows, 4 bytes each
 MOST_CACHED = 50_000  # words in a worker's table; the first ones met stay, and common words come early
 LONGEST_CACHED = 24
 SLICE = 4 << 20  # longer texts are cut before white space about here
@@ -106,17 +108,29 @@ def encoder(*key) -> Encoder:
 
 
 class SumOfSquares:
-    """Windows of one partition. put() gives back the pieces of windows that are full: (item, start, length, window, offset)."""
+    """Windows of one partition. put() gives back the pieces of windows that are full: (item, start, length, window, offset).
 
-    def __init__(self, window: int):
-        self.window, self.levels = window, np.zeros(window + 1, np.int64)
-        self.open: list[list[tuple[int, list]]] = [[] for _ in range(window)]
-        self.made = 0
+    cut makes of an item and a start what is held for the piece from there on. Windows in which more than most_open ids
+    wait are laid end to end and cut into full ones; what is left, less than a window, stays open.
+    """
+
+    def __init__(self, window: int, *, most_open: int = MOST_OPEN, cut: Callable = lambda item, start: item):
+        self.window, self.most, self.cut = window, max(most_open, window), cut
+        self.made = self.held = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.levels, self.open, self.held = np.zeros(self.window + 1, np.int64), [[] for _ in range(self.window)], 0
 
     def _new(self) -> int:
         self.made += 1
         return self.made - 1
 
+    def _wait(self, number: int, pieces: list, fill: int) -> None:
+        self.open[fill].append((number, pieces))
+        self.levels[fill] += 1
+        self.held += fill
+
     def put(self, item, n: int) -> Iterator[tuple]:
         start = 0
         while n - start >= self.window:
@@ -135,30 +149,40 @@ class SumOfSquares:
         if at:
             number, pieces = self.open[at].pop()
             self.levels[at] -= 1
+            self.held -= at
         else:
             number, pieces = self._new(), []
-        pieces.append((item, start, size, number, at))
+        pieces.append((self.cut(item, start), start, size, number, at))
         if at + size == self.window:
             yield from pieces
-        else:
-            self.open[at + size].append((number, pieces))
-            self.levels[at + size] += 1
+            return
+        self._wait(number, pieces, at + size)
+        if self.held > self.most:
+            yield from self._laid_out(whole=False)
 
     def flush(self) -> Iterator[tuple]:
         """The windows still open, end to end: full windows, then powers of two."""
+        yield from self._laid_out(whole=True)
+
+    def _laid_out(self, *, whole: bool) -> Iterator[tuple]:
         left = [p for level in reversed(self.open) for _, pieces in level for p in pieces]
-        rest = sum(p[2] for p in left)
-        self.open, self.levels[:] = [[] for _ in range(self.window)], 0
-        sizes = [self.window] * (rest // self.window) + [1 << k for k in range(self.window.bit_length() - 1, -1, -1) if rest % self.window >> k & 1]
-        number, at, room = self._new(), 0, iter(sizes)
-        size = next(room, 0)
+        full, rest = divmod(sum(p[2] for p in left), self.window)
+        self._clear()
+        tail = [1 << k for k in range(self.window.bit_length() - 1, -1, -1) if rest >> k & 1] if whole else [rest] * bool(rest)
+        room = iter([self.window] * full + tail)
+        number, at, size, kept = self._new(), 0, next(room, 0), []
         for item, start, length, _, _ in left:
             while length:
                 if at == size:
                     number, at, size = self._new(), 0, next(room)
                 n = min(length, size - at)
-                yield item, start, n, number, at
+                if whole or size == self.window:
+                    yield item, start, n, number, at
+                else:
+                    kept.append((item, start, n, number, at))
                 start, length, at = start + n, length - n, at + n
+        if kept:
+            self._wait(number, kept, rest)
 
 
 COLUMNS = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -168,14 +192,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, ranks: str | None = None
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if with_ids. Paths are there on every executor."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, bins, rows = encoder(vocabulary, ranks, pattern), SumOfSquares(window), []
+        enc, bins, rows = encoder(vocabulary, ranks, pattern), SumOfSquares(window, cut=lambda item, start: (item[0], item[1][4 * (start - item[2]) :], start, item[3])), []
         high = TaskContext.get().partitionId() << 32
 
         def batch() -> pa.RecordBatch:
             cols = [[] for _ in range(7 + with_ids)]
-            for (doc, buf), start, n, number, at in rows:
-                part = buf[4 * start : 4 * (start + n)]
-                for c, v in zip(cols, (doc, start, n, zlib.crc32(part), len(buf) // 4, high | number, at, *([np.frombuffer(part, "<u4").astype(np.int64)] if with_ids else [])), strict=True):
+            for (doc, buf, base, total), start, n, number, at in rows:
+                part = buf[4 * (start - base) : 4 * (start - base + n)]
+                for c, v in zip(cols, (doc, start, n, zlib.crc32(part), total, high | number, at, *([np.frombuffer(part, "<u4").astype(np.int64)] if with_ids else [])), strict=True):
                     c.append(v)
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *(pa.array(c, pa.int64()) for c in cols[1:7]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[7:])], [*names])
@@ -186,9 +210,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, ranks: str | None = None
             id_type = b.schema.field("doc_id").type
             for doc, text in zip(b.column(0).to_pylist(), utf8_of(b.column(1)), strict=True):
                 buf = enc.ids(text) + int(end_id).to_bytes(4, "little")
-                rows += bins.put((doc, buf), len(buf) // 4)
-            if len(rows) >= 4096 or with_ids:
-                yield batch()
+                n = len(buf) // 4
+                rows += bins.put((doc, buf, 0, n), n)
+                if len(rows) >= 4096:
+                    yield batch()
         rows += bins.flush()
         if rows:
             yield batch()
