@@ -15,6 +15,9 @@ _MODULES = {
     "token_counts": ["op8_token_counts"],
     "toxicity": ["op9_toxicity"],
     "topk": ["op10_topk"],
+    "licenses": ["op11_licenses"],
+    "dialogue": ["op12_dialogue"],
+    "importance": ["op13_importance"],
 }
 
 
