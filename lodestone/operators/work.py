@@ -6,20 +6,25 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; where that is unset, in a folder of a local session or of the warehouse."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of a local session or of the warehouse."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given:
             given = tempfile.mkdtemp(prefix="lodestone-") if sc.master.startswith("local") and "cluster" not in sc.master else spark.conf.get("spark.sql.warehouse.dir") + "/_lodestone"
         sc.setCheckpointDir(given)
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

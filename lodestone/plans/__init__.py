@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.plans import evidence, operations, tasks
+from lodestone.plans import evidence, machines, operations, tasks
 
 
 def queries() -> dict:
-    return {**evidence.QUERIES, **operations.QUERIES, **tasks.QUERIES}
+    return {**evidence.QUERIES, **operations.QUERIES, **tasks.QUERIES, **machines.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**evidence.SQL, **operations.SQL, **tasks.SQL}
+    return {**evidence.SQL, **operations.SQL, **tasks.SQL, **machines.SQL}
