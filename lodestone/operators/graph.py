@@ -1,14 +1,11 @@
-"""Graphs as edge tables: components, similarity clusters, aliases, task plans."""
+"""Graphs as edge tables: components, aliases, task plans."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
-from lodestone.functions import scoring as S
 from lodestone.operators.work import keep
 
 
@@ -29,34 +26,6 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         labels = labels.select("node", "component")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = fixed.SIMILARITY, *, id_col: str = "id", vector: str = "v", block: int = 512) -> DataFrame:
-    """Pairs (a, b, score), a < b, of cosine at least the threshold, none missed: every block of rows meets every block as one matrix product, and what comes near the threshold is scored again by the cosine expression."""
-    rows = vectors.select(F.col(id_col).alias("a"), F.col(vector).alias("x"))
-    parts = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("p", F.pmod(F.xxhash64("a"), F.lit(parts))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = dealt.select("a", "x", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
-
-    def meet(cell: pd.DataFrame) -> pd.DataFrame:
-        i, j = cell["i"].iloc[0], cell["j"].iloc[0]
-        out = []
-        for _, g in cell.groupby(cell["x"].map(len)):
-            left, right = g[g["p"] == i], g[g["p"] == j]
-            if not len(left) or not len(right):
-                continue
-            m, n = (np.nan_to_num(np.array(h["x"].tolist(), float)) for h in (left, right))
-            m, n = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300) for y in (m, n))
-            at, to = np.nonzero(m @ n.T >= threshold - 1e-6)
-            a, b, x, y = left["a"].to_numpy()[at], right["a"].to_numpy()[to], left["x"].to_numpy()[at], right["x"].to_numpy()[to]
-            ahead = a < b
-            other = (a > b) & (i != j)
-            out += [pd.DataFrame({"a": a[ahead], "b": b[ahead], "x": x[ahead], "y": y[ahead]}), pd.DataFrame({"a": b[other], "b": a[other], "x": y[other], "y": x[other]})]
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "x": [], "y": []})
-
-    kind, held = (rows.schema[c].dataType.simpleString() for c in ("a", "x"))
-    pairs = dealt.groupBy("i", "j").applyInPandas(meet, f"a {kind}, b {kind}, x {held}, y {held}").withColumn("score", S.cosine(F.col("x"), F.col("y")))
-    return pairs.filter(F.col("score") >= threshold).select("a", "b", "score").distinct()
-
-
 def alias_edges(evidence: DataFrame) -> DataFrame:
     """evidence: scheme, value, homepage_key, backlink_repo, repository (as keys). Edges (a, b, trigger) between scheme:value keys."""
     key = F.concat_ws(":", "scheme", "value")

@@ -12,6 +12,7 @@ from lodestone.operators import claims as C
 from lodestone.operators import discover as D
 from lodestone.operators import graph as G
 from lodestone.operators import tables as X
+from lodestone.operators import vectors as V
 from lodestone.plans._common import TODAY, now, quotes_in, table
 
 
@@ -168,7 +169,7 @@ def cosine_to_label(spark: SparkSession, d: str) -> DataFrame:
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """Components of the pairs of cosine fixed.SIMILARITY or more; a vector without such a pair is its own cluster."""
     v = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return G.components(G.similar_pairs(v), v.select(F.col("id").alias("node"))).select(F.col("node").alias("vec_id"), F.col("component").alias("cluster"))
+    return V.similar_groups(v).select(F.col("id").alias("vec_id"), "cluster")
 
 
 def cluster_labels(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import findings as FI
 from lodestone.operators.work import shared_dir
 from lodestone.plans._common import table
 from lodestone.streaming import runs as R
@@ -79,5 +80,33 @@ SELECT run AS run_id, task AS task_id, CASE WHEN status = 'running' AND til < li
 FROM f WHERE attempts > 0
 """
 
-QUERIES = {f.__name__: f for f in (run_states, run_states_stream)}
-SQL = {"run_states": _RUN_STATES, "run_states_stream": _RUN_STATES}
+def clustered_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of 25 themes, each a theme's own vector with two fifths of its row's: complaints (even themes) as pain points, requests as gaps."""
+    e = table(spark, d, "embeddings").filter("embedding is not null").withColumn("g", F.col("vec_id") % 25)
+    centre = e.groupBy("g").agg(F.min_by("embedding", "vec_id").alias("c"))
+    vectors = e.join(centre, "g").select(F.col("vec_id").alias("id"), F.zip_with(F.col("c").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda x, y: x + y * 0.4).alias("v"))
+    slug = F.concat(F.lit("theme-"), F.col("g").cast("string"), F.when(F.col("vec_id") % 3 == 0, "-again").otherwise(""))
+    claims = e.select(F.col("vec_id").alias("id"), "g", slug.alias("slug"), (F.col("vec_id") % 11).alias("source_id"), F.when(F.col("vec_id") % 4 == 0, "B").otherwise("C").alias("grade"), ((F.col("vec_id") % 8) / 8.0).alias("confidence"))
+    shipped = spark.range(1).select(F.explode(F.array(F.lit("theme-3"), F.lit("theme-7"))).alias("slug"))
+    reviewed = table(spark, d, "supplier").agg(F.count("*").alias("n"))
+    found = FI.pain_points(claims.filter("g % 2 = 0"), vectors).unionByName(FI.feature_gaps(claims.filter("g % 2 = 1"), vectors, shipped, reviewed))
+    return found.select("kind", "statement", F.array_join("claim_ids", ",").alias("claim_ids"), "support_count", F.round("confidence", 6).alias("confidence"), "theme", "distinct_threads", "best_grade")
+
+
+_FINDINGS = """
+WITH RECURSIVE x AS (SELECT vec_id, vec_id % 25 AS g, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+c AS (SELECT g, arg_min(e, vec_id) AS c FROM x GROUP BY g),
+v AS (SELECT vec_id, g, list_transform(list_zip(c, e), lambda p: p[1] + p[2] * 0.4::DOUBLE) AS v FROM x JOIN c USING (g)),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.g % 2 = b.g % 2 AND list_cosine_similarity(a.v, b.v) >= 0.86),
+cc(id, comp) USING KEY (id) AS (SELECT vec_id, vec_id FROM v UNION (SELECT DISTINCT ON (u.id) u.id, w.comp FROM recurring.cc AS u, cc AS w, p WHERE p.a = u.id AND p.b = w.id AND w.comp < u.comp ORDER BY u.id ASC, w.comp ASC)),
+m AS (SELECT id, comp, 'theme-' || (id % 25) || CASE WHEN id % 3 = 0 THEN '-again' ELSE '' END AS slug, id % 11 AS source_id, CASE WHEN id % 4 = 0 THEN 'B' ELSE 'C' END AS grade, (id % 8) / 8.0::DOUBLE AS confidence FROM cc),
+l AS (SELECT comp, arg_min(slug, (-n, f)) AS theme FROM (SELECT comp, slug, count(*) AS n, min(id) AS f FROM m GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT comp, theme, min(id) % 25 % 2 AS odd, count(*) AS n, count(DISTINCT source_id) AS t, min(grade) AS best_grade, round(avg(confidence), 6) AS confidence, string_agg(id::VARCHAR, ',' ORDER BY id) AS claim_ids FROM m JOIN l USING (comp) GROUP BY 1, 2)
+SELECT CASE WHEN odd = 0 THEN 'pain_point' ELSE 'feature_gap' END AS kind,
+       n || ' users across ' || t || ' threads ' || CASE WHEN odd = 0 THEN 'report ' || theme ELSE 'request ' || theme || '; not found among ' || (SELECT count(*) FROM supplier) || ' reviewed competitors' END AS statement,
+       claim_ids, n AS support_count, confidence, theme, t AS distinct_threads, best_grade
+FROM s WHERE n >= 5 AND t >= 3 AND (odd = 0 OR theme NOT IN ('theme-3', 'theme-7'))
+"""
+
+QUERIES = {f.__name__: f for f in (run_states, run_states_stream, clustered_findings)}
+SQL = {"run_states": _RUN_STATES, "run_states_stream": _RUN_STATES, "clustered_findings": _FINDINGS}

@@ -13,6 +13,7 @@ from lodestone.operators import ledger as L
 from lodestone.operators import report as P
 from lodestone.operators import runs as RUN
 from lodestone.operators import tables as X
+from lodestone.operators import vectors as V
 from lodestone.plans._common import now, table
 from lodestone.plans.evidence import quoting_claims
 from lodestone.sources import replay as R
@@ -313,7 +314,7 @@ def run_metrics(spark: SparkSession, d: str) -> DataFrame:
 def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of vectors of cosine 0.2 or more."""
     v = table(spark, d, "embeddings").filter("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return G.similar_pairs(v, 0.2).select("a", "b", F.round("score", 6).alias("score"))
+    return V.similar_pairs(v, 0.2).select("a", "b", F.round("score", 6).alias("score"))
 
 
 SQL = {

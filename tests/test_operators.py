@@ -9,6 +9,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import ledger as L
 from lodestone.operators import schedule as SC
 from lodestone.operators import tables as X
+from lodestone.operators import vectors as V
 from lodestone.operators import work as W
 from lodestone.plans import _common
 from lodestone.sources import replay as R
@@ -69,7 +70,7 @@ def test_components_and_aliases(spark):
 def test_similar_pairs(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [0.0, 0.0]), (6, [1.0])], "id long, v array<double>")
     for block in (512, 2):
-        assert {(r.a, r.b) for r in G.similar_pairs(v, block=block).collect()} == {(1, 2), (1, 4), (2, 4)}
+        assert {(r.a, r.b) for r in V.similar_pairs(v, block=block).collect()} == {(1, 2), (1, 4), (2, 4)}
 
 
 def test_task_graph(spark):

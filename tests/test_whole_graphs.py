@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lodestone.operators import graph
+from lodestone.operators import vectors
 from lodestone.plans import queries
 from lodestone.plans._common import table
 
@@ -42,5 +42,5 @@ def test_similar_vectors_across_labels(spark):
     got = {(r.a, r.b): r.score for r in queries()["similar_vectors"](spark, SF).collect()}
     assert set(got) == pairs(0.2) and all(abs(c - s[ids.index(a), ids.index(b)]) < 1e-5 for (a, b), c in got.items())
     df = spark.createDataFrame([(i, [float(c) for c in v[i]]) for i in ids], "id long, v array<double>")
-    assert {(r.a, r.b) for r in graph.similar_pairs(df, 0.2, block=16).collect()} == pairs(0.2)
+    assert {(r.a, r.b) for r in vectors.similar_pairs(df, 0.2, block=16).collect()} == pairs(0.2)
     assert {r.vec_id: r.cluster for r in queries()["clusters"](spark, SF).collect()} == components_of(pairs(0.86), ids)
