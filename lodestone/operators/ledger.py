@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.work import folded, numbered
+from lodestone.operators.folds import GreedyBudget, folded
+from lodestone.operators.work import numbered
 
 
 def ratio(condition: Column, *, empty: float | None = None) -> Column:
@@ -39,16 +40,8 @@ def at_ranks(df: DataFrame, keys: list[str], value: str, places: dict) -> DataFr
 
 
 def admit_greedy(tasks: DataFrame, run: str, order: list[str], weight: str, cap: int, *, usd: str | None = None, usd_cap: float | None = None) -> DataFrame:
-    """Adds admitted and reason: in order, a task is refused if its run has spent usd_cap (budget_usd), else if it doesn't fit in what is left of cap (budget_weight); a refused one takes nothing."""
-
-    def fold(state: list, row: dict) -> list:
-        reason = "budget_usd" if usd_cap is not None and state[1] >= usd_cap else "budget_weight" if state[0] + row[weight] > cap else None
-        if reason is None:
-            state[0] += row[weight]
-            state[1] += float(row[usd] or 0) if usd else 0.0
-        return [reason is None, reason]
-
-    return folded(tasks, [run], order, lambda: [0, 0.0], fold, "admitted boolean, reason string")
+    """Adds admitted and reason: in order, a task is refused if its run has spent usd_cap (budget_usd), else if it doesn't fit in what is left of cap (budget_weight); a refused one takes nothing. A run of any length is spread over all tasks."""
+    return folded(tasks, [run], order, GreedyBudget(weight, cap, usd, usd_cap))
 
 
 def within_counter(df: DataFrame, run: str, order: list[Column], cap: int) -> DataFrame:

@@ -1,14 +1,11 @@
-"""Lineage cuts for iterative operators (checkpoints in the session's shared folder), global numbers, sequential folds."""
+"""Lineage cuts for iterative operators (checkpoints in the session's shared folder), global numbers."""
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,21 +32,3 @@ def numbered(df: DataFrame, order: list[Column], name: str, *, first: int = 1) -
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     ahead = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + first).cast("long")).drop("_part", "_at", "_before")
-
-
-def folded(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], list], step: Callable[[list, dict], list], columns: str) -> DataFrame:
-    """df with further columns from a fold over each group in order: step changes the state and returns the row's values. For what depends on all decisions before. Rows stream through sorted partitions, so a group need not fit in memory."""
-    more = StructType.fromDDL(columns)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, state = None, None
-        for f in frames:
-            out = []
-            for row in f.to_dict("records"):
-                at = tuple(row[k] for k in keys)
-                if state is None or at != group:
-                    group, state = at, start()
-                out.append(step(state, row))
-            yield pd.concat([f.reset_index(drop=True), pd.DataFrame(out, columns=more.names)], axis=1)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, StructType([*df.schema, *more]))

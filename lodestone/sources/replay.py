@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import fixed
 from lodestone.functions import text as T
 from lodestone.functions import urls as U
-from lodestone.operators.work import folded
+from lodestone.operators.folds import Fold, exact, folded
 
 GROUND_TRUTH = "query_id string, query string, difficulty string, split string, role string, must_include array<string>, known_absent array<string>, facts array<struct<entity:string,attribute:string,value:string,verified_on:date,source:string>>"
 
@@ -69,30 +69,42 @@ def star_velocity(stars: DataFrame, now: Column, days: int = 90) -> DataFrame:
     return recent.groupBy("repo").agg(F.count("*").alias("stars"), (F.count("*") / F.greatest(F.lit(1.0), span)).alias("velocity"))
 
 
-def route(requests: DataFrame, cache: DataFrame, now: Column, allowance: float, *, hours: int = 24) -> DataFrame:
-    """requests: provider, query, ord, at, cost, error (null where the provider answered); cache: query, expires_at. Adds hit, charged, degraded, reason.
+class RollingAllowance(Fold):
+    """State: what was spent in the hours before (microseconds, billionths), oldest first, and its sum."""
 
-    A fresh entry is a hit and costs nothing. Else the request is refused once what was spent in the hours before it
-    reaches the allowance; a refused or failed one is degraded, never an error, and costs nothing.
-    """
-    fresh = cache.filter(F.col("expires_at") > now).select("query", F.lit(True).alias("hit")).dropDuplicates(["query"])
-    r = requests.join(fresh, "query", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))
+    columns = "charged double, degraded boolean, reason string"
+
+    def __init__(self, allowance: float, hours: int):
+        self.allowance, self.span = exact(allowance), hours * 3_600_000_000
 
-    def step(state: list, row: dict) -> list:
+    def start(self) -> list:
+        return [deque(), 0]
+
+    def step(self, state: list, row: dict) -> list:
         spent = state[0]
-        while spent and spent[0][0] < row["_us"] - hours * 3_600_000_000:
+        while spent and spent[0][0] < row["_us"] - self.span:
             state[1] -= spent.popleft()[1]
         if row["hit"]:
             return [0.0, False, None]
-        if state[1] >= allowance:
+        if state[1] >= self.allowance:
             return [0.0, True, "allowance"]
         if row["error"] is not None:
             return [0.0, True, row["error"]]
-        spent.append((row["_us"], row["cost"]))
-        state[1] += row["cost"]
-        return [row["cost"], False, None]
+        spent.append((row["_us"], exact(row["cost"])))
+        state[1] += spent[-1][1]
+        return [float(row["cost"]), False, None]
+
+
+def route(requests: DataFrame, cache: DataFrame, now: Column, allowance: float, *, hours: int = 24) -> DataFrame:
+    """requests: provider, query, ord, at, cost, error (null where the provider answered); cache: query, expires_at. Adds hit, charged, degraded, reason.
+
+    A fresh entry is a hit and costs nothing. Else the request is refused once what was spent in the hours before it
+    reaches the allowance; a refused or failed one is degraded, never an error, and costs nothing.
+    """
+    fresh = cache.filter(F.col("expires_at") > now).select("query", F.lit(True).alias("hit")).dropDuplicates(["query"])
+    r = requests.join(fresh, "query", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).withColumn("_us", F.unix_micros(F.col("at").cast("timestamp")))
 
-    return folded(r, ["provider"], ["_us", "ord"], lambda: [deque(), 0.0], step, "charged double, degraded boolean, reason string").drop("_us")
+    return folded(r, ["provider"], ["_us", "ord"], RollingAllowance(allowance, hours)).drop("_us")
 
 
 def search_repositories(raw: DataFrame) -> DataFrame:
