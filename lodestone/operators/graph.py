@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
-from lodestone.operators.work import keep
+from lodestone.operators.gates import solve
+from lodestone.operators.work import Scratch
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """edges: a, b. Rows (node, component): the smallest node that can be reached. Labels are lowered along edges and then by the label of the label, until none changes."""
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    ws = Scratch(edges.sparkSession, "components")
+    both = ws.keep("edges", edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
     start = both.select(F.col("a").alias("node")).distinct()
     if nodes is not None:
         start = start.unionByName(nodes.select("node")).distinct()
-    labels = keep(start.select("node", F.col("node").alias("component")))
+    labels = ws.keep("labels", start.select("node", F.col("node").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        hooked = keep(labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low")))
+        hooked = ws.keep("hooked", labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low")))
         jumped = hooked.join(hooked.select(F.col("node").alias("low"), F.col("low").alias("far")), "low", "left").select("node", F.col("component").alias("before"), F.least("low", F.coalesce("far", "low")).alias("component"))
-        labels = keep(jumped)
+        labels = ws.keep("labels", jumped)
         if labels.filter("before != component").isEmpty():
             return labels.select("node", "component")
         labels = labels.select("node", "component")
@@ -42,14 +44,9 @@ def canonical_keys(edges: DataFrame) -> DataFrame:
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes (node) that are on or behind a cycle of a -> b: what is left when nodes without open predecessors go, round by round."""
-    left = keep(edges.select("a", "b").distinct())
-    while True:
-        free = left.select(F.col("a").alias("n")).distinct().join(left.select(F.col("b").alias("n")).distinct(), "n", "left_anti")
-        rest = keep(left.join(free.withColumnRenamed("n", "a"), "a", "left_anti"))
-        if rest.count() == left.count():
-            return left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-        left = rest
+    """Nodes (node) that are on or behind a cycle of a -> b, in about log2(n) rounds for chains of n."""
+    none = edges.select(F.col("a").alias("node"), F.lit(False).alias("value")).limit(0)
+    return solve(edges.select(F.col("b").alias("node"), F.col("a").alias("dep")), none, loop=True).filter("value").select("node")
 
 
 def plan_errors(tasks: DataFrame, edges: DataFrame, budget: int, *, needs: dict[str, str] | None = None) -> DataFrame:
@@ -85,12 +82,11 @@ def ready(tasks: DataFrame) -> DataFrame:
 
 
 def unreachable(tasks: DataFrame) -> DataFrame:
-    """(run_id, node_key) of pending tasks that can never run: a dependency is missing, failed, skipped or itself unreachable."""
-    needs = keep(tasks.filter("status = 'pending'").select("run_id", "node_key", F.explode("depends_on").alias("dep")))
-    known = tasks.select("run_id", F.col("node_key").alias("dep"), "status")
-    dead = keep(needs.join(known, ["run_id", "dep"], "left").filter("status is null or status in ('failed', 'skipped')").select("run_id", "node_key").distinct())
-    n = -1
-    while (now := dead.count()) != n:
-        n = now
-        dead = keep(dead.unionByName(needs.join(dead.withColumnRenamed("node_key", "dep"), ["run_id", "dep"]).select("run_id", "node_key")).distinct())
-    return dead
+    """(run_id, node_key) of pending tasks that can never run: a dependency is missing, failed, skipped or itself unreachable. Chains of any length take few rounds."""
+    key = lambda c: F.struct("run_id", F.col(c).alias("node_key"))
+    needs = tasks.filter("status = 'pending'").select("run_id", "node_key", F.explode("depends_on").alias("_dep")).select(key("node_key").alias("node"), key("_dep").alias("dep"))
+    there = tasks.select(key("node_key").alias("node"), "status")
+    missing = needs.select(F.col("dep").alias("node")).distinct().join(there, "node", "left_anti").select("node", F.lit(True).alias("value"))
+    over = there.filter("status != 'pending'").select("node", F.col("status").isin("failed", "skipped").alias("value"))
+    dead = solve(needs, missing.unionByName(over), loop=False).filter("value")
+    return dead.join(there.filter("status = 'pending'").select("node"), "node", "left_semi").select("node.run_id", "node.node_key").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,3 +33,20 @@ def numbered(df: DataFrame, order: list[Column], name: str, *, first: int = 1) -
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     ahead = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.withColumn("_part", part).join(F.broadcast(ahead), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + first).cast("long")).drop("_part", "_at", "_before")
+
+
+class Scratch:
+    """Tables written to the shared folder and read back: they cut lineage, survive lost executors, and have sizes that the planner can trust (a checkpoint keeps the estimate of its plan, which is squared by every join of a loop). A table goes when another takes its name."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        if old := self.made.get(name):
+            jvm = self.spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(old)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        self.made[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
