@@ -27,6 +27,7 @@ repeated ids share a row's fate each; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
 from itertools import combinations
@@ -41,7 +42,7 @@ from lodestone.llm._common import Workspace, slices, table, utf8_of
 from lodestone.llm.components import components
 
 THRESHOLD, RADIUS, WORDS, HOT = 4, 3, 4, 20_000
-SIMILAR_WORDS, PRINTS, NEAR, FEW = 5, 8, 14, 8
+SIMILAR_WORDS, PRINTS, NEAR, FEW, SMALL = 5, 8, 14, 8, 64
 PAIR, LEAD, OPEN = 0, 1, 2
 GOLAY = 0xC75  # generator polynomial of the binary Golay code of length 23
 BLOCKS = [(23, 8), (31, 8), (39, 8), (47, 8), (55, 9)]  # first bit, width
@@ -439,11 +440,21 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
         yield rows_of(node, node, OPEN)
 
 
-def alike(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Of pairs (u, v) those whose sets have the similarity (a fraction) or more. Sizes go first, so that few sets move."""
+def bits_apart(prints: int, similarity: tuple[int, int]) -> tuple[int, int]:
+    """How many bits of all fingerprints together two sets of the similarity differ in at most: 5 standard deviations over the mean, for large sets and for those of under SMALL shingles, whose bits are less even."""
+    s = similarity[0] / similarity[1]
+    mean, root = 64 * math.acos(min(1.0, 2 * s / (1 + s))) / math.pi, math.sqrt(prints)
+    return math.ceil(mean * prints + 15 * root), math.ceil((mean + 2.3) * prints + 17 * root)
+
+
+def alike(pairs: DataFrame, own: DataFrame, sets: DataFrame, similarity: tuple[int, int], prints: int) -> DataFrame:
+    """Of pairs (u, v) those whose sets have the similarity (a fraction) or more. Sizes and all fingerprints together go first, 8 bytes each, so that few sets move: what met at one anchor by chance is far apart in the other fingerprints."""
     p, q = similarity
-    size = lambda c, n: sizes.select(F.col("node").alias(c), F.col("n").alias(n))
-    fit = pairs.join(size("u", "a"), "u").join(size("v", "b"), "v").filter(q * F.least("a", "b") >= p * F.greatest("a", "b")).select("u", "v")
+    large, small = bits_apart(prints, similarity)
+    side = lambda c, n, f: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("prints").alias(f))
+    apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    near = apart <= F.when(F.least("a", "b") < SMALL, small).otherwise(large)
+    fit = pairs.join(side("u", "a", "f"), "u").join(side("v", "b", "g"), "v").filter((q * F.least("a", "b") >= p * F.greatest("a", "b")) & near).select("u", "v")
     both = fit.join(sets.select(F.col("row").alias("u"), F.col("held").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("held").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(q * shared >= p * (F.size("x") + F.size("y") - shared)).select("u", "v")
@@ -487,7 +498,7 @@ def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int
         pairs = ws.keep("pairs", met.filter(F.col("kind") == PAIR).select("u", "v").unionByName(lead).distinct())
         some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
         sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
-        links = ws.keep("links", alike(pairs, own.select("node", "n"), sets, similarity))
+        links = ws.keep("links", alike(pairs, own.select("node", "n", "prints"), sets, similarity, prints))
         star = components(ws, links if star is None else star.unionByName(links))
         again = met.filter(F.col("kind") == OPEN).select(F.col("u").alias("node")).distinct()
         if again.isEmpty():
