@@ -13,9 +13,13 @@ from pyspark.sql.types import StringType
 from lodestone.functions import fixed
 
 
+#: What counts as white space at the ends of a text, in Unicode's sense.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITE))
 
 
 def any_of(words: list[str]) -> str:
