@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.folds import GreedyBudget, folded
-from lodestone.operators.work import numbered
+from lodestone.operators.work import Scratch, numbered
 
 
 def ratio(condition: Column, *, empty: float | None = None) -> Column:
@@ -30,13 +30,41 @@ def spike(p: float = 0.95):
     return lambda n: F.least(n - 1, F.floor(p * n)).cast("long") + 1
 
 
+def placed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n (rows of the group), low, high (the first and last place of the value in its sorted group, from 1): a row for each value of each group.
+
+    Values are counted first, then dealt out by ranges of group and value, so a group of any size is spread over many
+    tasks, and a value that most rows have is one row. What is added up over a group is a row for each range it spans.
+    """
+    ws = Scratch(df.sparkSession, "ranks")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    dealt = ws.keep("dealt", counted.repartitionByRange(parts, *keys, "_x").withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))
+    whole = Window.partitionBy(*keys)
+    ahead = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"), (F.sum("_t").over(whole.orderBy("_part")) - F.col("_t")).alias("_before"), F.sum("_t").over(whole).alias("n"))
+    run = dealt.withColumn("_sum", F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_x")))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return run.join(ahead, same).select(*keys, F.col("_x").alias(value), "n", (F.col("_before") + F.col("_sum") - F.col("_c") + 1).alias("low"), (F.col("_before") + F.col("_sum")).alias("high"))
+
+
 def at_ranks(df: DataFrame, keys: list[str], value: str, places: dict) -> DataFrame:
-    """Per group the values at some places of the sorted column. Rows are sorted, not collected, so a group may be of any size."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    ordered = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_x")))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    met = ordered.join(sizes, keys) if keys else ordered.join(F.broadcast(sizes))
-    return met.groupBy(*keys).agg(*(F.max(F.when(F.col("_r") == at(F.col("_n")), F.col("_x"))).alias(name) for name, at in places.items()))
+    """Per group the values at some places of the sorted column; groups may be of any size, keys null."""
+    at = placed(df, keys, value)
+    return at.groupBy(*keys).agg(*(F.max(F.when(place(F.col("n")).between(F.col("low"), F.col("high")), F.col(value))).alias(name) for name, place in places.items()))
+
+
+def continuous(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Per group the interpolated percentiles (name -> share from 0 to 1), exactly, without holding a group's values together."""
+    low = lambda p: lambda n: F.floor(p * (n - 1)).cast("long") + 1
+    high = lambda p: lambda n: F.ceil(p * (n - 1)).cast("long") + 1
+    at = placed(df, keys, value)
+    take = lambda place: F.max(F.when(place(F.col("n")).between(F.col("low"), F.col("high")), F.col(value).cast("double")))
+    ends = at.groupBy(*keys).agg(F.max("n").alias("_n"), *(take(side(p)).alias(f"_{tag}{name}") for name, p in shares.items() for tag, side in (("l", low), ("h", high))))
+    part = lambda p: p * (F.col("_n") - 1) - F.floor(p * (F.col("_n") - 1))
+    return ends.select(*keys, *((F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * part(p)).alias(n) for n, p in shares.items()))
 
 
 def admit_greedy(tasks: DataFrame, run: str, order: list[str], weight: str, cap: int, *, usd: str | None = None, usd_cap: float | None = None) -> DataFrame:

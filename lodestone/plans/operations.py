@@ -32,7 +32,15 @@ def failure_rates(spark: SparkSession, d: str) -> DataFrame:
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").withColumn("v", F.col("o_totalprice").cast("double"))
     ranks = L.at_ranks(o, ["o_orderpriority"], "v", {"rank95": L.nearest(0.95), "rank50": L.nearest(0.5), "spike95": L.spike()})
-    return o.groupBy("o_orderpriority").agg(F.round(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY v)"), 4).alias("cont95"), F.round(F.avg("v"), 4).alias("mean")).join(ranks, "o_orderpriority")
+    cont = L.continuous(o, ["o_orderpriority"], "v", {"cont95": 0.95}).withColumn("cont95", F.round("cont95", 4))
+    return o.groupBy("o_orderpriority").agg(F.round(F.avg("v"), 4).alias("mean")).join(cont, "o_orderpriority").join(ranks, "o_orderpriority")
+
+
+def percentiles_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All lines as one group: nearest ranks and interpolated percentiles of their prices."""
+    li = table(spark, d, "lineitem").withColumn("v", F.col("l_extendedprice").cast("double"))
+    ranks = L.at_ranks(li, [], "v", {"rank95": L.nearest(0.95), "rank50": L.nearest(0.5), "spike95": L.spike()})
+    return ranks.join(L.continuous(li, [], "v", {"cont95": 0.95, "cont50": 0.5}).select(*(F.round(c, 6).alias(c) for c in ("cont95", "cont50"))))
 
 
 def rolling_spend(spark: SparkSession, d: str) -> DataFrame:
@@ -336,6 +344,9 @@ SELECT key, round(value, 6) AS value, threshold, coalesce(CASE WHEN key = 'bindi
     "percentiles": """
 WITH s AS (SELECT o_orderpriority, list_sort(list(o_totalprice::DOUBLE)) AS v, count(*) AS n, percentile_cont(0.95) WITHIN GROUP (ORDER BY o_totalprice::DOUBLE) AS c, avg(o_totalprice::DOUBLE) AS a FROM orders GROUP BY 1)
 SELECT o_orderpriority, round(c, 4) AS cont95, v[(round_even(0.95 * (n - 1), 0))::INT + 1] AS rank95, v[(round_even(0.5 * (n - 1), 0))::INT + 1] AS rank50, v[least(n - 1, floor(0.95 * n))::INT + 1] AS spike95, round(a, 4) AS mean FROM s""",
+    "percentiles_whole": """
+WITH s AS (SELECT list_sort(list(l_extendedprice::DOUBLE)) AS v, count(*) AS n, percentile_cont(0.95) WITHIN GROUP (ORDER BY l_extendedprice::DOUBLE) AS c, percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice::DOUBLE) AS d FROM lineitem)
+SELECT round(c, 6) AS cont95, round(d, 6) AS cont50, v[(round_even(0.95 * (n - 1), 0))::INT + 1] AS rank95, v[(round_even(0.5 * (n - 1), 0))::INT + 1] AS rank50, v[least(n - 1, floor(0.95 * n))::INT + 1] AS spike95 FROM s""",
     "rolling_spend": "SELECT event_id, sum(event_id % 17) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)::BIGINT AS rolling FROM events",
     "greedy_budget": """
 WITH RECURSIVE t AS (SELECT l_orderkey, l_linenumber, (l_linenumber * 3 % 5 + 1)::BIGINT AS weight, l_quantity AS usd, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i FROM lineitem),
