@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 NOW, TODAY = "2024-06-30 00:00:00", "2024-06-30"
-PREFIX, MOST_SENT = 16, 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,55 +14,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def now() -> Column:
     return F.lit(NOW).cast("timestamp_ntz")
-
-
-def _window_hashes(data: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the n bytes from each place on."""
-    size = len(data) - n + 1
-    if size <= 0:
-        return np.zeros(0, np.int64)
-    h, x = np.full(size, np.uint64(n)), data.astype(np.uint64)
-    for k in range(n):
-        h = (h ^ x[k : k + size]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
-def quotes_in(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
-    """Pairs whose text contains the quote; empty quotes stand in none.
-
-    Joined by the hash of a quote's first bytes, PREFIX or all if it has fewer, with the hashes of that many bytes at
-    every place of a text, cut once per text in Arrow batches. Where the quotes' hashes are few enough to be sent, texts
-    give only those that some quote has. What meets is verified by the strings.
-    """
-    lengths = F.least(F.octet_length(quote), F.lit(PREFIX))
-
-    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw = [v.encode() for v in b.column(b.schema.get_field_index(quote)).to_pylist()]
-            yield b.append_column("_h", pa.array([int(_window_hashes(np.frombuffer(v[:PREFIX], np.uint8), min(len(v), PREFIX))[0]) for v in raw], pa.int64()))
-
-    keyed = quotes.filter(F.octet_length(quote) > 0).mapInArrow(first, StructType([*quotes.schema, StructField("_h", LongType())]))
-    sizes = [r.n for r in quotes.filter(F.octet_length(quote) > 0).select(lengths.alias("n")).distinct().collect()]  # PREFIX numbers at most
-    wanted = None
-    if quotes.count() <= MOST_SENT:
-        hashes = np.sort(np.array([r[0] for r in keyed.select("_h").distinct().collect()], np.int64))  # 8 bytes a quote, MOST_SENT at most
-        wanted = docs.sparkSession.sparkContext.broadcast(hashes)
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for v in b.column(b.schema.get_field_index(text)).to_pylist():
-                data, found = np.frombuffer((v or "").encode(), np.uint8), []
-                for n in sizes:
-                    h = _window_hashes(data, n)
-                    if wanted is not None and len(h):
-                        w = wanted.value
-                        h = h[w[np.minimum(np.searchsorted(w, h), len(w) - 1)] == h] if len(w) else h[:0]
-                    found.append(np.unique(h))
-                out.append(np.concatenate(found).tolist() if found else [])
-            yield b.append_column("_hs", pa.array(out, pa.list_(pa.int64())))
-
-    windows = docs.mapInArrow(cut, StructType([*docs.schema, StructField("_hs", ArrayType(LongType()))]))
-    met = windows.withColumn("_h", F.explode("_hs")).drop("_hs").join(keyed, "_h").drop("_h")
-    return met.filter(F.contains(F.col(text), F.col(quote)))

@@ -13,7 +13,8 @@ from lodestone.operators import discover as D
 from lodestone.operators import graph as G
 from lodestone.operators import tables as X
 from lodestone.operators import vectors as V
-from lodestone.plans._common import TODAY, now, quotes_in, table
+from lodestone.operators.search import quotes_in
+from lodestone.plans._common import TODAY, now, table
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

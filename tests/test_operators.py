@@ -8,10 +8,10 @@ from lodestone.operators import claims as C
 from lodestone.operators import graph as G
 from lodestone.operators import ledger as L
 from lodestone.operators import schedule as SC
+from lodestone.operators import search as Q
 from lodestone.operators import tables as X
 from lodestone.operators import vectors as V
 from lodestone.operators import work as W
-from lodestone.plans import _common
 from lodestone.sources import replay as R
 from lodestone.streaming import events as E
 
@@ -217,10 +217,9 @@ def test_follow_drops_repeats(spark, tmp_path):
     assert [r.id for r in spark.table("log").collect()] == [1]
 
 
-def test_quotes_both_ways(spark, monkeypatch):
+def test_quotes_both_ways(spark):
     docs = spark.createDataFrame([(1, "hello big wide world of text"), (2, "other"), (3, "")], "d int, text string")
     docs = docs.unionByName(spark.createDataFrame([(4, None), (5, "é" * 30)], "d int, text string"))
     quotes = spark.createDataFrame([(1, "big wide world of"), (2, "other"), (3, "zz"), (4, "o"), (5, ""), (6, "é" * 20), (7, None)], "q int, quote string")
-    few = {(r.d, r.q) for r in _common.quotes_in(docs, quotes, "text", "quote").collect()}
-    monkeypatch.setattr(_common, "MOST_SENT", 1)
-    assert few == {(r.d, r.q) for r in _common.quotes_in(docs, quotes, "text", "quote").collect()} == {(1, 1), (2, 2), (1, 4), (2, 4), (5, 6)}
+    few = {(r.d, r.q) for r in Q.quotes_in(docs, quotes, "text", "quote").collect()}
+    assert few == {(r.d, r.q) for r in Q.quotes_in(docs, quotes, "text", "quote", most_bits=1 << 7).collect()} == {(1, 1), (2, 2), (1, 4), (2, 4), (5, 6)}
