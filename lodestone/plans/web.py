@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,10 @@ from lodestone.functions import fixed
 from lodestone.functions import suffixes as X
 from lodestone.functions import urls as U
 from lodestone.operators import fetch as FE
+from lodestone.operators import stored as ST
+from lodestone.operators.work import shared_dir
 from lodestone.plans._common import NOW, table
+from lodestone.sources import content as CO
 
 AGENT = "bot"
 
@@ -83,6 +88,33 @@ def suffix_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", "host", "suffix", "web_key", "public_key", "shared", same.alias("same"))
 
 
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as a stored cache: a tenth comes again later with a new state, some come again too early, some are new."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    row = lambda key, days, state: (key.alias("key"), (F.lit("2024-06-01").cast("timestamp") + F.make_interval(days=days.cast("int"))).alias("at"), state.alias("state"))
+    name = f"cache_{uuid.uuid4().hex}"
+    kept = ST.Keyed(spark, name, ["key"], parts=32, buckets=8)
+    kept.create(c.select(*row(k, k % 20, F.lit("old"))), f"{shared_dir(spark)}/{name}")
+    again = c.filter("c_custkey % 10 = 0").select(*row(k, k % 30, F.lit("again")))
+    kept.upsert(again.unionByName(c.filter("c_custkey % 25 = 0").select(*row(k + 1_000_000, F.lit(1), F.lit("fresh")))), ST.keep_newest("at"))
+    return kept.read().select("key", F.col("at").cast("string").alias("at"), "state")
+
+
+def stored_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a dated table of which the days before January 10th are dropped."""
+    name = f"events_{uuid.uuid4().hex}"
+    log = ST.Dated(spark, name, "ts", path=f"{shared_dir(spark)}/{name}")
+    log.append(table(spark, d, "events").select("event_id", "ts", "user_id"))
+    log.retain("2024-01-10")
+    return log.read().groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
+def main_content(spark: SparkSession, d: str) -> DataFrame:
+    """What is content on every page."""
+    return CO.with_content(table(spark, d, "pages")).select("page_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"), "blocks", "kept")
+
+
 _CANONICAL = r"""
 u AS (SELECT page_id, html, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS place,
   regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('fbclid', 'gclid', 'ref', 'source', 'mc_cid', 'mc_eid'))) AS kept FROM pages),
@@ -111,6 +143,11 @@ f AS (SELECT k, min(pos) AS place, arg_min(path, pos) AS path FROM p WHERE (k +
 SELECT root_key, CASE m WHEN 0 THEN 'pricing' WHEN 1 THEN 'docs' ELSE 'changelog' END AS kind, CASE WHEN known THEN CASE WHEN k % 2 = 0 THEN '/known' END ELSE path END AS found_path, known AS from_cache,
   CASE WHEN known THEN 0 ELSE coalesce(place + 1, 4) END::BIGINT AS tried, (path IS NOT NULL AND NOT known)::BIGINT AS hits, CASE WHEN NOT known THEN CASE WHEN path IS NULL THEN '2024-07-01 00:00:00' ELSE '2024-07-07 00:00:00' END END AS expires
 FROM s LEFT JOIN f USING (k)""",
+    "stored_upsert": """
+WITH o AS (SELECT c_custkey AS key, TIMESTAMP '2024-06-01' + to_days((c_custkey % 20)::INT) AS at, 'old' AS state FROM customer),
+n AS (SELECT c_custkey AS key, TIMESTAMP '2024-06-01' + to_days((c_custkey % 30)::INT) AS at, 'again' AS state FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey + 1000000, TIMESTAMP '2024-06-02', 'fresh' FROM customer WHERE c_custkey % 25 = 0)
+SELECT key, strftime(CASE WHEN o.key IS NULL OR n.at > o.at THEN n.at ELSE o.at END, '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN o.key IS NULL OR n.at > o.at THEN n.state ELSE o.state END AS state FROM o FULL JOIN n USING (key)""",
+    "stored_retention": "SELECT user_id, count(*) AS n, min(event_id) AS first FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1",
     "suffix_rules": f"""
 WITH rules(s, more, but, private) AS (VALUES {_RULES}),
 h AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a.t' || (c_custkey % 50) || '.' WHEN 1 THEN 'T' || (c_custkey % 7) || '.' ELSE '' END || ['example.co.uk', 'b.ck', 'www.ck', 'github.io', 'city.kawasaki.jp', 'foo.kawasaki.jp', 'kobe.jp', 'us.compute.amazonaws.com', 'unknown.zz', 'com', 'co.uk', '10.0.0.1', 'a..com'][(c_custkey % 13 + 1)::INT] AS host FROM customer),
@@ -122,4 +159,4 @@ n AS (SELECT l.*, coalesce(a, 1) AS a, coalesce(p, 1) AS p FROM l LEFT JOIN z US
 x AS (SELECT *, CASE WHEN sound THEN array_to_string(l[len(l) - a + 1:], '.') END AS suffix, CASE WHEN sound AND len(l) > a THEN array_to_string(l[len(l) - a:], '.') END AS web_key, CASE WHEN sound AND len(l) > p THEN array_to_string(l[len(l) - p:], '.') END AS public_key FROM n)
 SELECT c_custkey, host, suffix, web_key, public_key, web_key IS DISTINCT FROM public_key AS shared, true AS same FROM x""",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "main_content"]}  # the last is held against a plain version in the tests
