@@ -43,6 +43,7 @@ from lodestone.llm.components import components
 
 THRESHOLD, RADIUS, WORDS, HOT = 4, 3, 4, 20_000
 SIMILAR_WORDS, PRINTS, NEAR, FEW, SMALL = 5, 8, 14, 8, 64
+MOST_SENT = 1 << 20  # row numbers that are sent to all tasks, 8 bytes each
 PAIR, LEAD, OPEN = 0, 1, 2
 GOLAY = 0xC75  # generator polynomial of the binary Golay code of length 23
 BLOCKS = [(23, 8), (31, 8), (39, 8), (47, 8), (55, 9)]  # first bit, width
@@ -326,9 +327,9 @@ def _near(fp: np.ndarray, home: np.ndarray, label: np.ndarray, most: int, near:
 def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp, tag and, from the second turn on, label), sorted by key. Out come rows (u, v, kind).
 
-    PAIR: all candidates of different labels of an anchor that has `few` a row at most. LEAD: of other anchors (in the
-    first turn: of all) candidates of which each row u needs only one; OPEN: the rows of these anchors, whose further
-    candidates are still to come (in the first turn: all rows that have a candidate).
+    PAIR: all candidates of different labels of an anchor that has `few` a row at most. LEAD: of other anchors
+    candidates of which each row u needs only one; OPEN: the rows of these anchors, whose further candidates are still to
+    come.
     """
     open_: list[np.ndarray] = []
     heads = max(1, few // 8)
@@ -383,11 +384,7 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
                 found.append((node[at][got[0]], node[at][got[1]]))
         u, v = (np.concatenate(x) for x in zip((node[:0], node[:0]), *found, strict=True))
         u, v = np.maximum(u, v), np.minimum(u, v)
-        if turn:
-            yield rows_of(u, v, PAIR)
-        else:
-            led_.append((u, v))
-            noted(np.concatenate([u, v]))
+        yield rows_of(u, v, PAIR)
         if led_:
             yield leads(*(np.concatenate(x) for x in zip(*led_, strict=True)))
 
@@ -440,6 +437,11 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
         yield rows_of(node, node, OPEN)
 
 
+def sent_if_few(rows: DataFrame) -> DataFrame:
+    """Row numbers, broadcast if they are counted to be MOST_SENT at most, so that texts that are filtered by them stay in place."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
 def bits_apart(prints: int, similarity: tuple[int, int]) -> tuple[int, int]:
     """How many bits of all fingerprints together two sets of the similarity differ in at most: 5 standard deviations over the mean, for large sets and for those of under SMALL shingles, whose bits are less even."""
     s = similarity[0] / similarity[1]
@@ -447,15 +449,20 @@ def bits_apart(prints: int, similarity: tuple[int, int]) -> tuple[int, int]:
     return math.ceil(mean * prints + 15 * root), math.ceil((mean + 2.3) * prints + 17 * root)
 
 
-def alike(pairs: DataFrame, own: DataFrame, sets: DataFrame, similarity: tuple[int, int], prints: int) -> DataFrame:
-    """Of pairs (u, v) those whose sets have the similarity (a fraction) or more. Sizes and all fingerprints together go first, 8 bytes each, so that few sets move: what met at one anchor by chance is far apart in the other fingerprints."""
+def near_enough(pairs: DataFrame, own: DataFrame, similarity: tuple[int, int], prints: int) -> DataFrame:
+    """Of pairs (u, v) those that their sizes and all fingerprints together leave open, 8 bytes each: what met at one anchor by chance is far apart in the other fingerprints."""
     p, q = similarity
     large, small = bits_apart(prints, similarity)
     side = lambda c, n, f: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("prints").alias(f))
     apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     near = apart <= F.when(F.least("a", "b") < SMALL, small).otherwise(large)
-    fit = pairs.join(side("u", "a", "f"), "u").join(side("v", "b", "g"), "v").filter((q * F.least("a", "b") >= p * F.greatest("a", "b")) & near).select("u", "v")
-    both = fit.join(sets.select(F.col("row").alias("u"), F.col("held").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("held").alias("y")), "v")
+    return pairs.join(side("u", "a", "f"), "u").join(side("v", "b", "g"), "v").filter((q * F.least("a", "b") >= p * F.greatest("a", "b")) & near).select("u", "v")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Of pairs (u, v) those whose sets have the similarity (a fraction) or more."""
+    p, q = similarity
+    both = pairs.join(sets.select(F.col("row").alias("u"), F.col("held").alias("x")), "u").join(sets.select(F.col("row").alias("v"), F.col("held").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(q * shared >= p * (F.size("x") + F.size("y") - shared)).select("u", "v")
 
@@ -463,11 +470,10 @@ def alike(pairs: DataFrame, own: DataFrame, sets: DataFrame, similarity: tuple[i
 def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int = SIMILAR_WORDS, similarity: tuple[int, int] = (4, 5), prints: int = PRINTS, near: int = NEAR, hot: int = HOT, few: int = FEW) -> DataFrame:
     """One row per document: row_col, component (the smallest row_col that a chain of links reaches). row_col: long, unique, the same in every scan.
 
-    Only components are wanted, so candidates within one component need no look. In the first turn every row that has a
-    candidate is verified with one; all these rows are dealt out again with the labels that they have by then, and only
-    candidates of different labels count. Anchors with at most `few` of them a row give them all. The others (large
-    groups, whose pairs would grow with the square) again give one a row and go on to the next turn; `few` grows fourfold
-    each turn, so in the end every anchor has given all.
+    Only components are wanted, so candidates within one component need no look. Anchors with at most `few` candidates a
+    row give them all. The others (large groups, whose pairs would grow with the square) give one a row, and their rows
+    are dealt out again with the labels that they have by then: only candidates of different labels count. `few` grows
+    fourfold each turn, so in the end every anchor has given all.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "similar")
@@ -495,10 +501,10 @@ def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int
         dealt = todo.mapInArrow(spread, "key long, fp long, tag long" + ", label long" * bool(turn)).repartition(n, "key").sortWithinPartitions("key")
         met = ws.keep("met", dealt.mapInArrow(lambda bs, f=few, t=turn: _meet(bs, near, hot, f, t), "u long, v long, kind int"))
         lead = met.filter(F.col("kind") == LEAD).groupBy("u").agg(F.min("v").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = ws.keep("pairs", met.filter(F.col("kind") == PAIR).select("u", "v").unionByName(lead).distinct())
+        pairs = ws.keep("pairs", near_enough(met.filter(F.col("kind") == PAIR).select("u", "v").unionByName(lead).distinct(), own, similarity, prints))
         some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-        sets = ws.keep("sets", sets_of(rows.join(some, "row", "left_semi"), width))
-        links = ws.keep("links", alike(pairs, own.select("node", "n", "prints"), sets, similarity, prints))
+        sets = ws.keep("sets", sets_of(rows.join(sent_if_few(some), "row", "left_semi"), width))
+        links = ws.keep("links", alike(pairs, sets, similarity))
         star = components(ws, links if star is None else star.unionByName(links))
         again = met.filter(F.col("kind") == OPEN).select(F.col("u").alias("node")).distinct()
         if again.isEmpty():
