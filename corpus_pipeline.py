@@ -31,8 +31,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ws = Workspace(spark, "near")
     rows = ws.keep("numbered", docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("row")))
     found = simhash.similar(rows.select("row", "doc.text"), row_col="row", width=NEAR_WORDS, similarity=NEAR_SIMILARITY).join(rows.select("row", "doc.doc_id"), "row")
-    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "row")).alias("first")).select("first.row")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "row")).alias("first")).select("first.row")
+    gone = ws.keep("gone", found.select("row").join(first, "row", "left_anti"))
+    return rows.join(simhash.sent_if_few(gone), "row", "left_anti").select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
