@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import fixed
 from lodestone.functions import suffixes as X
 from lodestone.functions import urls as U
+from lodestone.operators import discover as D
 from lodestone.operators import fetch as FE
 from lodestone.operators import stored as ST
 from lodestone.operators.work import shared_dir
@@ -88,6 +89,32 @@ def suffix_rules(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", "host", "suffix", "web_key", "public_key", "shared", same.alias("same"))
 
 
+def _discovered(spark: SparkSession, d: str) -> D.Discovery:
+    """Pages as search results of three runs, parts as repositories; one domain is parked, a fifth of the repositories is gone, a seventh belongs to a domain's product."""
+    k, r = F.col("page_id"), F.col("p_partkey")
+    hits = table(spark, d, "pages").select((k % 3).alias("run_id"), "url", F.lit("").alias("title"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("s"), k.cast("string"))).alias("snippet"), (k % 10).alias("rank"), (k % 2).alias("variant"), F.lit(1).alias("weight"), k.alias("ord"))
+    p = table(spark, d, "part")
+    name = F.concat(F.when(r % 4 == 0, "x/awesome-").otherwise("x/tool"), r.cast("string"))
+    repos = p.select((r % 3).alias("run_id"), name.alias("full_name"), F.lit("A tool").alias("description"), r.alias("rank"))
+    none = lambda t: F.lit(None).cast(t)
+    web = table(spark, d, "pages").select(U.web_key(F.col("url")).alias("value")).distinct().filter("value is not null")
+    answers = web.select(F.lit("web").alias("scheme"), "value", none("string").alias("error"), F.lit(200).alias("status"), F.when(F.col("value") == "example.net", "This domain is parked").otherwise(F.repeat(F.lit("real words "), 20)).alias("text"), none("string").alias("homepage"), none("array<string>").alias("repositories"), none("int").alias("n_results"), none("array<int>").alias("more_status"))
+    gh = p.select(F.lit("gh").alias("scheme"), name.alias("value"), none("string").alias("error"), F.when(r % 5 == 0, 404).otherwise(200).alias("status"), none("string").alias("text"), F.when(r % 7 == 0, "https://www.example.com/").alias("homepage"), none("array<string>").alias("repositories"), none("int").alias("n_results"), none("array<int>").alias("more_status"))
+    signals = web.select(F.lit("web").alias("scheme"), "value", F.lit(5000).alias("domain_age_days"), none("long").alias("stars")).unionByName(p.select(F.lit("gh").alias("scheme"), name.alias("value"), none("int").alias("domain_age_days"), (r * 10).cast("long").alias("stars")))
+    empty = spark.range(0)
+    cache = empty.select(none("string").alias("entity_key"), none("boolean").alias("verified"), *(none("string").alias(c) for c in ("grade", "reason", "homepage_url", "repository_url")), none("timestamp").alias("expires_at"))
+    old = empty.select(*(none("string").alias(c) for c in ("entity_key", "display_name", "maturity")), none("map<string,string>").alias("meta"))
+    return D.discover_runs(hits, repos, answers.unionByName(gh), cache, signals, old, _now(), funding=True)
+
+
+def discover_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return _discovered(spark, d).tasks.withColumn("weight", F.col("weight").cast("long"))
+
+
+def discover_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _discovered(spark, d).stats
+
+
 def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Customers as a stored cache: a tenth comes again later with a new state, some come again too early, some are new."""
     c = table(spark, d, "customer")
@@ -126,6 +153,20 @@ o AS (SELECT *, CASE WHEN k % 4 = 0 THEN 'hit' WHEN regexp_matches(host, '(^|\.)
 r AS (SELECT *, CASE WHEN outcome IN ('hit', 'conditional_304') THEN 200 WHEN outcome = 'miss' THEN CASE WHEN k % 5 = 1 THEN 404 ELSE 200 END END AS http_status,
     CASE WHEN outcome IN ('hit', 'conditional_304') THEN 'text ' || k WHEN outcome = 'miss' AND k % 5 <> 1 THEN t END AS text FROM o)
 """
+_DISCOVERED = r"""
+h AS (SELECT page_id, page_id % 3 AS run_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') AS value FROM pages),
+c AS (SELECT run_id, 'web' AS scheme, value, count(*) AS hits, min(page_id % 10 + 1000 * (page_id % 2)) AS best, coalesce(arg_min('s' || page_id, page_id) FILTER (WHERE page_id % 3 <> 0), '') AS snippet, min(page_id) AS ord FROM h WHERE value <> '' GROUP BY 1, 3
+  UNION ALL SELECT p_partkey % 3, 'gh', 'x/tool' || p_partkey, 2, p_partkey, '', p_partkey + 1099511627776 FROM part WHERE p_partkey % 4 <> 0),
+t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY hits DESC, best, ord) <= 24),
+k AS (SELECT *, CASE WHEN scheme = 'web' THEN regexp_extract(value, '([^.]+\.[a-z]+)$', 1) ELSE value END AS key, CASE WHEN scheme = 'gh' THEN substr(value, 7)::BIGINT END AS p FROM t),
+v AS (SELECT * FROM k WHERE CASE WHEN scheme = 'web' THEN key <> 'example.net' ELSE p % 5 <> 0 END),
+w AS (SELECT *, CASE WHEN scheme = 'web' THEN 'web:' || key WHEN p % 7 = 0 THEN 'web:example.com' ELSE 'gh:' || key END AS entity_key FROM v),
+o AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY run_id, entity_key ORDER BY hits DESC, best, ord) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY hits * 3.0::DOUBLE - best * 0.1::DOUBLE + CASE WHEN starts_with(entity_key, 'gh:') AND p * 10 < HOBBY THEN 0 ELSE 2 END DESC, ord) AS place FROM o),
+s AS (SELECT run_id, CASE WHEN starts_with(entity_key, 'gh:') THEN 'oss:' WHEN place <= 8 THEN 'profile:' ELSE 'pricing:' END || entity_key AS node_key, CASE WHEN starts_with(entity_key, 'gh:') THEN 'oss_profile' WHEN place <= 8 THEN 'profile_product' ELSE 'extract_pricing' END AS kind, entity_key,
+    CASE WHEN place <= 8 AND NOT starts_with(entity_key, 'gh:') AND snippet <> '' THEN snippet END AS snippet, (CASE WHEN place <= 8 AND NOT starts_with(entity_key, 'gh:') THEN 2 ELSE 1 END)::BIGINT AS weight FROM r WHERE place <= 16
+  UNION ALL SELECT run_id, 'funding:' || entity_key, 'find_funding', entity_key, NULL, 1 FROM r WHERE place <= 3)
+""".replace("HOBBY", str(fixed.HOBBY_STARS))
 _RULES = ", ".join(f"('{r.lstrip('!').removeprefix('*.')}', {int(r[0] == '*')}, {str(r[0] == '!').lower()}, {str(p).lower()})" for rules, p in ((X.PUBLIC, False), (X.PRIVATE, True)) for r in rules)
 SQL = {
     "fetch_outcomes": f"WITH {_CANONICAL} SELECT page_id, canonical_url, outcome, http_status::BIGINT AS http_status, sha256(text) AS text_hash FROM c JOIN r USING (canonical_url)",
@@ -143,6 +184,11 @@ f AS (SELECT k, min(pos) AS place, arg_min(path, pos) AS path FROM p WHERE (k +
 SELECT root_key, CASE m WHEN 0 THEN 'pricing' WHEN 1 THEN 'docs' ELSE 'changelog' END AS kind, CASE WHEN known THEN CASE WHEN k % 2 = 0 THEN '/known' END ELSE path END AS found_path, known AS from_cache,
   CASE WHEN known THEN 0 ELSE coalesce(place + 1, 4) END::BIGINT AS tried, (path IS NOT NULL AND NOT known)::BIGINT AS hits, CASE WHEN NOT known THEN CASE WHEN path IS NULL THEN '2024-07-01 00:00:00' ELSE '2024-07-07 00:00:00' END END AS expires
 FROM s LEFT JOIN f USING (k)""",
+    "discover_tasks": f"WITH {_DISCOVERED} SELECT * FROM s",
+    "discover_stats": f"""
+WITH {_DISCOVERED}
+SELECT run_id, (SELECT count(*) FROM c WHERE c.run_id = x.run_id) AS candidates_seen, (SELECT count(*) FROM t WHERE t.run_id = x.run_id) AS candidates_checked, (SELECT count(*) FROM r WHERE r.run_id = x.run_id) AS entities_verified, 0::BIGINT AS insufficient_signal, (SELECT count(*) FROM s WHERE s.run_id = x.run_id) AS spawned
+FROM (SELECT DISTINCT run_id FROM c) x""",
     "stored_upsert": """
 WITH o AS (SELECT c_custkey AS key, TIMESTAMP '2024-06-01' + to_days((c_custkey % 20)::INT) AS at, 'old' AS state FROM customer),
 n AS (SELECT c_custkey AS key, TIMESTAMP '2024-06-01' + to_days((c_custkey % 30)::INT) AS at, 'again' AS state FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey + 1000000, TIMESTAMP '2024-06-02', 'fresh' FROM customer WHERE c_custkey % 25 = 0)
