@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
+from lodestone.functions import sentences as SE
 from lodestone.functions import suffixes as X
 from lodestone.functions import urls as U
 from lodestone.operators import discover as D
@@ -142,6 +143,11 @@ def main_content(spark: SparkSession, d: str) -> DataFrame:
     return CO.with_content(table(spark, d, "pages")).select("page_id", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"), "blocks", "kept")
 
 
+def conversation_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every turn."""
+    return table(spark, d, "conversations").select("conv_id", "turn", SE.segmented(F.col("text")).alias("sentences"))
+
+
 _CANONICAL = r"""
 u AS (SELECT page_id, html, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS place,
   regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND split_part(x, '=', 1) NOT IN ('fbclid', 'gclid', 'ref', 'source', 'mc_cid', 'mc_eid'))) AS kept FROM pages),
@@ -205,4 +211,4 @@ n AS (SELECT l.*, coalesce(a, 1) AS a, coalesce(p, 1) AS p FROM l LEFT JOIN z US
 x AS (SELECT *, CASE WHEN sound THEN array_to_string(l[len(l) - a + 1:], '.') END AS suffix, CASE WHEN sound AND len(l) > a THEN array_to_string(l[len(l) - a:], '.') END AS web_key, CASE WHEN sound AND len(l) > p THEN array_to_string(l[len(l) - p:], '.') END AS public_key FROM n)
 SELECT c_custkey, host, suffix, web_key, public_key, web_key IS DISTINCT FROM public_key AS shared, true AS same FROM x""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "main_content"]}  # the last is held against a plain version in the tests
+QUERIES = {name: globals()[name] for name in [*SQL, "main_content", "conversation_sentences"]}  # these two are held against plain versions in the tests
