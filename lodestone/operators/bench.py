@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
+from lodestone.functions import text as T
 from lodestone.operators import ledger as L
 
 
@@ -19,6 +20,32 @@ def precision(absent: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, 1.0).otherwise(1.0 - F.size(F.array_intersect(absent, found)) / F.size(found))
 
 
+def fact_matches(attribute: Column, expected: Column, price: Column, model: Column, free_tier: Column) -> Column:
+    """Whether a report's competitor bears out a fact: prices within FACT_TOLERANCE, free tiers and models as they are said, whatever the case; other attributes and missing values don't match."""
+    said = lambda c: F.lower(T.strip(c))
+    by_price = F.abs(expected.try_cast("double") - price) <= fixed.FACT_TOLERANCE
+    return F.coalesce(F.when(attribute == "pricing.entry_usd_month", by_price).when(attribute == "pricing.free_tier", said(expected).isin("true", "1", "yes") == free_tier).when(attribute == "pricing.model", said(expected) == said(model)), F.lit(False))
+
+
+def scored(runs: DataFrame, competitors: DataFrame, ground: DataFrame) -> DataFrame:
+    """runs: run_id, query_id and what else a score carries; competitors of their reports: run_id, entity_key, price, model, free_tier; ground: query_id, must_include, known_absent, facts (entity, attribute, value). Per run: recall, precision, fact_accuracy, and what it carries. precision is 1 less the share of what is known to be absent that was found all the same.
+
+    Domains are those of web entities, each once however often a report names it; a fact is looked up at its domain's
+    competitor, the first by price if there are several. A run without competitors finds nothing; a query without ground
+    truth scores 1.
+    """
+    web = competitors.filter(F.col("entity_key").startswith("web:")).select("run_id", F.substring("entity_key", 5, 1 << 30).alias("domain"), "price", "model", "free_tier")
+    one = web.groupBy("run_id", "domain").agg(F.min(F.struct("price", "model", "free_tier")).alias("c"))
+    asked = runs.select("run_id", "query_id").join(ground, "query_id")
+    wanted = lambda c, name: asked.select("run_id", F.explode(F.array_distinct(c)).alias("domain")).join(one.select("run_id", "domain"), ["run_id", "domain"], "left_semi").groupBy("run_id").agg(F.count("*").alias(name))
+    facts = asked.select("run_id", F.inline("facts")).join(one.withColumnRenamed("domain", "entity"), ["run_id", "entity"], "left")
+    held = facts.groupBy("run_id").agg(F.count_if(fact_matches(F.col("attribute"), F.col("value"), F.col("c.price"), F.col("c.model"), F.col("c.free_tier"))).alias("_held"))
+    met = runs.join(ground.select("query_id", F.size("must_include").alias("_m"), F.size("known_absent").alias("_a"), F.size("facts").alias("_f")), "query_id", "left").join(wanted(F.col("must_include"), "_found"), "run_id", "left").join(wanted(F.col("known_absent"), "_wrong"), "run_id", "left").join(held, "run_id", "left")
+    share = lambda n, of: F.when(F.coalesce(F.col(of), F.lit(0)) <= 0, 1.0).otherwise(F.coalesce(F.col(n), F.lit(0)) / F.col(of))
+    wrong = F.when(F.coalesce(F.col("_a"), F.lit(0)) <= 0, 1.0).otherwise(1.0 - F.coalesce(F.col("_wrong"), F.lit(0)) / F.col("_a"))
+    return met.select(*runs.columns, share("_found", "_m").alias("recall"), wrong.alias("precision"), share("_held", "_f").alias("fact_accuracy"))
+
+
 def fact_accuracy(matches: Column) -> Column:
     """Aggregate: share of facts that match, 1 if there are none."""
     return F.coalesce(F.avg(matches.cast("double")), F.lit(1.0))

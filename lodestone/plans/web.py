@@ -11,6 +11,7 @@ from lodestone.functions import fixed
 from lodestone.functions import sentences as SE
 from lodestone.functions import suffixes as X
 from lodestone.functions import urls as U
+from lodestone.operators import bench as BE
 from lodestone.operators import discover as D
 from lodestone.operators import fetch as FE
 from lodestone.operators import stored as ST
@@ -116,6 +117,20 @@ def discover_stats(spark: SparkSession, d: str) -> DataFrame:
     return _discovered(spark, d).stats
 
 
+def bench_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as benchmark runs of their customers' queries, lines as the competitors of their reports, scored against ground truth."""
+    k, o = F.col("c_custkey"), table(spark, d, "orders")
+    domain = lambda x: F.concat(F.lit("s"), (x % 40).cast("string"), F.lit(".com"))
+    fact = lambda x, attribute, value: F.struct(domain(x).alias("entity"), F.lit(attribute).alias("attribute"), value.alias("value"))
+    facts = F.array(fact(k, "pricing.entry_usd_month", (k % 9).cast("string")), fact(k + 1, "pricing.model", F.lit(" Seat ")), fact(k + 2, "pricing.free_tier", F.when(k % 2 == 0, "true").otherwise("false")), fact(k, "company.stage", F.lit("seed")))
+    ground = table(spark, d, "customer").filter("c_custkey % 11 != 0").select(k.alias("query_id"), F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(domain(k), domain(k + 1), domain(k))).alias("must_include"), F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(domain(k + 2), domain(k + 3))).alias("known_absent"), facts.alias("facts"))
+    runs = o.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("query_id"), F.col("o_totalprice").alias("cost_usd"))
+    li, s = table(spark, d, "lineitem"), F.col("l_suppkey") + F.col("l_linenumber")
+    found = li.select(F.col("l_orderkey").alias("run_id"), F.concat(F.when(F.col("l_linenumber") == 5, "gh:").otherwise("web:"), domain(s)).alias("entity_key"), (s % 9).cast("double").alias("price"), F.when(s % 2 == 0, "seat").otherwise("flat").alias("model"), (s % 3 == 0).alias("free_tier"))
+    out = BE.scored(runs, found, ground)
+    return out.select("run_id", "query_id", *(F.round(c, 9).alias(c) for c in ("recall", "precision", "fact_accuracy")))
+
+
 def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Customers as a stored cache: a tenth comes again later with a new state, some come again too early, some are new."""
     c = table(spark, d, "customer")
@@ -195,6 +210,14 @@ FROM s LEFT JOIN f USING (k)""",
 WITH {_DISCOVERED}
 SELECT run_id, (SELECT count(*) FROM c WHERE c.run_id = x.run_id) AS candidates_seen, (SELECT count(*) FROM t WHERE t.run_id = x.run_id) AS candidates_checked, (SELECT count(*) FROM r WHERE r.run_id = x.run_id) AS entities_verified, 0::BIGINT AS insufficient_signal, (SELECT count(*) FROM s WHERE s.run_id = x.run_id) AS spawned
 FROM (SELECT DISTINCT run_id FROM c) x""",
+    "bench_scores": """
+WITH w AS (SELECT l_orderkey AS run_id, 's' || ((l_suppkey + l_linenumber) % 40) || '.com' AS domain, min(struct_pack(price := ((l_suppkey + l_linenumber) % 9)::DOUBLE, model := CASE WHEN (l_suppkey + l_linenumber) % 2 = 0 THEN 'seat' ELSE 'flat' END, free_tier := (l_suppkey + l_linenumber) % 3 = 0)) AS c FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1, 2),
+a AS (SELECT o_orderkey AS run_id, o_custkey AS k, o_custkey % 11 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS known, 's' || (o_custkey % 40) || '.com' AS d0, 's' || ((o_custkey + 1) % 40) || '.com' AS d1, 's' || ((o_custkey + 2) % 40) || '.com' AS d2, 's' || ((o_custkey + 3) % 40) || '.com' AS d3 FROM orders),
+j AS (SELECT a.*, w0.c AS c0, w1.c AS c1, w2.c AS c2, w3.c AS c3 FROM a LEFT JOIN w w0 ON w0.run_id = a.run_id AND w0.domain = d0 LEFT JOIN w w1 ON w1.run_id = a.run_id AND w1.domain = d1 LEFT JOIN w w2 ON w2.run_id = a.run_id AND w2.domain = d2 LEFT JOIN w w3 ON w3.run_id = a.run_id AND w3.domain = d3)
+SELECT run_id, k AS query_id, CASE WHEN NOT known OR k % 5 = 0 THEN 1.0::DOUBLE ELSE ((c0 IS NOT NULL)::INT + (c1 IS NOT NULL)::INT) / 3.0::DOUBLE END AS recall,
+  CASE WHEN NOT known OR k % 4 = 0 THEN 1.0::DOUBLE ELSE 1 - ((c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT) / 2.0::DOUBLE END AS precision,
+  CASE WHEN NOT known THEN 1.0::DOUBLE ELSE (coalesce(abs(k % 9 - c0.price) <= 1, false)::INT + coalesce(c1.model = 'seat', false)::INT + coalesce(c2.free_tier = (k % 2 = 0), false)::INT) / 4.0::DOUBLE END AS fact_accuracy
+FROM j""",
     "stored_upsert": """
 WITH o AS (SELECT c_custkey AS key, TIMESTAMP '2024-06-01' + to_days((c_custkey % 20)::INT) AS at, 'old' AS state FROM customer),
 n AS (SELECT c_custkey AS key, TIMESTAMP '2024-06-01' + to_days((c_custkey % 30)::INT) AS at, 'again' AS state FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT c_custkey + 1000000, TIMESTAMP '2024-06-02', 'fresh' FROM customer WHERE c_custkey % 25 = 0)
