@@ -214,7 +214,7 @@ FROM (SELECT DISTINCT run_id FROM c) x""",
 WITH w AS (SELECT l_orderkey AS run_id, 's' || ((l_suppkey + l_linenumber) % 40) || '.com' AS domain, min(struct_pack(price := ((l_suppkey + l_linenumber) % 9)::DOUBLE, model := CASE WHEN (l_suppkey + l_linenumber) % 2 = 0 THEN 'seat' ELSE 'flat' END, free_tier := (l_suppkey + l_linenumber) % 3 = 0)) AS c FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1, 2),
 a AS (SELECT o_orderkey AS run_id, o_custkey AS k, o_custkey % 11 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS known, 's' || (o_custkey % 40) || '.com' AS d0, 's' || ((o_custkey + 1) % 40) || '.com' AS d1, 's' || ((o_custkey + 2) % 40) || '.com' AS d2, 's' || ((o_custkey + 3) % 40) || '.com' AS d3 FROM orders),
 j AS (SELECT a.*, w0.c AS c0, w1.c AS c1, w2.c AS c2, w3.c AS c3 FROM a LEFT JOIN w w0 ON w0.run_id = a.run_id AND w0.domain = d0 LEFT JOIN w w1 ON w1.run_id = a.run_id AND w1.domain = d1 LEFT JOIN w w2 ON w2.run_id = a.run_id AND w2.domain = d2 LEFT JOIN w w3 ON w3.run_id = a.run_id AND w3.domain = d3)
-SELECT run_id, k AS query_id, CASE WHEN NOT known OR k % 5 = 0 THEN 1.0::DOUBLE ELSE ((c0 IS NOT NULL)::INT + (c1 IS NOT NULL)::INT) / 3.0::DOUBLE END AS recall,
+SELECT run_id, k AS query_id, CASE WHEN NOT known OR k % 5 = 0 THEN 1.0::DOUBLE ELSE round(((c0 IS NOT NULL)::INT + (c1 IS NOT NULL)::INT) / 3.0::DOUBLE, 9) END AS recall,
   CASE WHEN NOT known OR k % 4 = 0 THEN 1.0::DOUBLE ELSE 1 - ((c2 IS NOT NULL)::INT + (c3 IS NOT NULL)::INT) / 2.0::DOUBLE END AS precision,
   CASE WHEN NOT known THEN 1.0::DOUBLE ELSE (coalesce(abs(k % 9 - c0.price) <= 1, false)::INT + coalesce(c1.model = 'seat', false)::INT + coalesce(c2.free_tier = (k % 2 = 0), false)::INT) / 4.0::DOUBLE END AS fact_accuracy
 FROM j""",
