@@ -96,3 +96,16 @@ VERIFY_LIMIT, PROFILE_LIMIT, FUNDING_LIMIT, SEARCH_LIMIT, PAGES, THREADS, TREND_
 PAGE_KINDS = ["pricing", "docs", "changelog"]
 FUNDING_ATTRIBUTES = ["company.funding_total_usd", "company.stage"]
 LOW_CONFIDENCE, MOST_FIELDS, FIELD_WEIGHT = 0.6, 2, {"category": 3.0, "segment": 2.0, "geography": 1.5}
+
+# Operational metrics: key -> (unit, threshold, alert level); what the first breaches under, the rest over
+METRICS = {
+    "sentence_binding_rate": ("fraction", 1.0, "page"),
+    "runs_today": ("runs", 4.0, "degradation"),
+    "cost_per_run_mean": ("USD", 0.1242, "degradation"),
+    "search_spend_mtd": ("USD", 7.0, "degradation"),
+    "extraction_drop_rate": ("fraction", 0.3, "degradation"),
+    "p95_run_latency_s": ("seconds", 512.0, "degradation"),
+    "task_failure_rate": ("fraction", 0.1, "degradation"),
+    "db_size_pct": ("fraction", 0.7, "degradation"),
+}
+BELOW, METRIC_DAYS, DB_CEILING_BYTES = "sentence_binding_rate", 30, 524_288_000

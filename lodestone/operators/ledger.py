@@ -119,3 +119,13 @@ def repaired_usage(calls: DataFrame) -> DataFrame:
     use = lambda name: F.coalesce(F.get_json_object("body", f"$.usage.{name}").try_cast("long"), F.lit(0))
     rows = calls.select("request_id", "attempt", F.get_json_object("body", "$.choices[0].message.content").alias("content"), use("prompt_tokens").alias("i"), use("completion_tokens").alias("o"), use("prompt_tokens_details.cached_tokens").alias("c"))
     return rows.groupBy("request_id").agg(F.max_by("content", "attempt").alias("content"), F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.sum("c").alias("cached_tokens"), (F.count("*") > 1).alias("repaired"))
+
+
+def search_credits(routed: DataFrame, at: str = "at") -> DataFrame:
+    """The ledger of search credits, from what the search router gives back: a row for each request that was answered and charged: run_id, provider, credits_usd, spent_at."""
+    return routed.filter((F.col("charged") > 0) & ~F.col("degraded")).select("run_id", "provider", F.col("charged").alias("credits_usd"), F.col(at).alias("spent_at"))
+
+
+def path_rates(attempts: DataFrame) -> DataFrame:
+    """Per kind and path of the path attempts: how often it was tried, how often it hit, and the share."""
+    return attempts.groupBy("kind", "path").agg(F.count("*").alias("tried"), F.count_if(F.col("outcome") == "hit").alias("hits"), ratio(F.col("outcome") == "hit").alias("rate"))

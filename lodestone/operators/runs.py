@@ -28,6 +28,36 @@ def metrics(runs: DataFrame, tasks: DataFrame, claims: DataFrame, sources: DataF
     return X.union(*parts).withColumn("breached", S.breached(F.col("value"), F.col("threshold"), F.col("key") == "binding_rate"))
 
 
+def all_metrics(runs: DataFrame, tasks: DataFrame, claims: DataFrame, sources: DataFrame, stats: DataFrame, credits: DataFrame, stored: DataFrame, now: Column, *, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """The eight operational metrics: key, value (null where there is nothing to measure), unit, threshold, alert_level, breached.
+
+    runs: id, started_at, finished_at, cost_usd; tasks: run_id, status; claims: run_id, source_id, quote; sources: id,
+    extracted_text (evicted texts aren't checked); stats: recorded_at, claims_bound, claims_dropped (map); credits:
+    spent_at, credits_usd; stored: one row, bytes. All but the runs of the day, the month's search spend and the size are
+    of the last 30 days. The latency is taken from ranks over range parts, the rest are sums, so no task sees all rows.
+    """
+    since = now - F.make_interval(days=F.lit(fixed.METRIC_DAYS))
+    recent = runs.filter(F.col("started_at") > since)
+    ids = recent.select(F.col("id").alias("run_id"))
+    seconds = recent.filter("finished_at is not null").select(((F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1_000_000).alias("s"))
+    p95 = L.continuous(seconds, [], "s", {"value": 0.95})
+    checked = claims.join(ids, "run_id").join(sources.select(F.col("id").alias("source_id"), "extracted_text"), "source_id").filter("extracted_text is not null")
+    drops = stats.filter(F.col("recorded_at") > since).select(F.coalesce("claims_bound", F.lit(0)).alias("b"), F.aggregate(F.coalesce(F.map_values("claims_dropped"), F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0))).alias("d"))
+    rows = {
+        "runs_today": runs.agg(F.count_if(F.col("started_at") >= F.date_trunc("day", now))),
+        "cost_per_run_mean": recent.agg(F.avg(F.col("cost_usd").cast("double"))),
+        "search_spend_mtd": credits.filter(F.col("spent_at") >= F.date_trunc("month", now)).agg(F.coalesce(F.sum(F.col("credits_usd").cast("double")), F.lit(0.0))),
+        "sentence_binding_rate": checked.agg(L.ratio(F.contains("extracted_text", "quote"))),
+        "extraction_drop_rate": drops.agg(F.try_divide(F.sum("d").cast("double"), F.sum("d") + F.sum("b"))),
+        "p95_run_latency_s": p95.agg(F.max("value")),
+        "task_failure_rate": tasks.join(ids, "run_id").agg(L.ratio(F.col("status") == "failed")),
+        "db_size_pct": stored.agg(F.max("bytes") / fixed.DB_CEILING_BYTES),
+    }
+    limit = {k: (thresholds or {}).get(k, fixed.METRICS[k][1]) for k in rows}
+    parts = [df.toDF("value").select(F.lit(k).alias("key"), F.col("value").cast("double").alias("value"), F.lit(fixed.METRICS[k][0]).alias("unit"), F.lit(limit[k]).alias("threshold"), F.lit(fixed.METRICS[k][2]).alias("alert_level")) for k, df in rows.items()]
+    return X.union(*parts).withColumn("breached", S.breached(F.col("value"), F.col("threshold"), F.col("key") == fixed.BELOW))
+
+
 def maintenance(sources: DataFrame, events: DataFrame, cited: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Pins what benchmark runs cite, then evicts expired texts, then drops old events."""
     return X.evict(X.pin(sources, cited), now), X.retain(events, now, fixed.EVENT_DAYS)

@@ -14,10 +14,13 @@ from lodestone.functions import urls as U
 from lodestone.operators import bench as BE
 from lodestone.operators import discover as D
 from lodestone.operators import fetch as FE
+from lodestone.operators import ledger as L
+from lodestone.operators import runs as RUN
 from lodestone.operators import stored as ST
 from lodestone.operators.work import shared_dir
 from lodestone.plans._common import NOW, table
 from lodestone.sources import content as CO
+from lodestone.sources import replay as R
 
 AGENT = "bot"
 
@@ -117,6 +120,39 @@ def discover_stats(spark: SparkSession, d: str) -> DataFrame:
     return _discovered(spark, d).stats
 
 
+def path_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How well each guessed path does."""
+    return L.path_rates(_guesses(spark, d)[1]).withColumn("rate", F.round("rate", 9))
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    e, k = table(spark, d, "events"), F.col("event_id")
+    asked = e.select((k % 50).alias("run_id"), F.col("user_id").alias("provider"), (k % 500).alias("query"), k.alias("ord"), F.col("ts").cast("timestamp").alias("at"), (k % 4 / 8).alias("cost"), F.when(k % 13 == 0, "ProviderError").alias("error"))
+    cache = spark.range(100).select(F.col("id").alias("query"), (_now() + F.when(F.col("id") % 2 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval -1 hour"))).alias("expires_at"))
+    return R.route(asked, cache, _now(), 0.5)
+
+
+def search_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """What searches cost, by run."""
+    return L.search_credits(_routed(spark, d)).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("credits_usd").alias("usd"))
+
+
+def all_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as runs of forty days, lines as tasks, labelled documents as claims, events as statistics and search credits."""
+    o, e, k = table(spark, d, "orders"), table(spark, d, "events"), F.col("o_orderkey")
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    start = now - F.make_interval(days=(k % 40).cast("int"))
+    runs = o.select(k.alias("id"), (F.col("o_totalprice") / 1_000_000).alias("cost_usd"), start.alias("started_at"), F.when(k % 6 != 0, start + F.make_interval(secs=(k % 900).cast("decimal(18,6)"))).alias("finished_at"))
+    tasks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_linenumber") == 3, "failed").otherwise("done").alias("status"))
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    claims = docs.select(F.col("doc_id").alias("run_id"), F.col("doc_id").alias("source_id"), F.concat(F.substring("text", 3, 24), F.when(F.col("quality") == 1, "").otherwise("~zq")).alias("quote"))
+    sources = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 != 0, F.col("text")).alias("extracted_text")).dropDuplicates(["id"])
+    stats = e.select(F.col("ts").cast("timestamp").alias("recorded_at"), (F.col("event_id") % 100).alias("claims_bound"), F.from_json("props", "map<string,bigint>").alias("claims_dropped"))
+    credits = e.select(F.col("ts").cast("timestamp").alias("spent_at"), (F.col("event_id") % 4 / 8).alias("credits_usd"))
+    stored = table(spark, d, "documents").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return RUN.all_metrics(runs, tasks, claims, sources, stats, credits, stored, now).withColumn("value", F.round("value", 6))
+
+
 def bench_scores(spark: SparkSession, d: str) -> DataFrame:
     """Orders as benchmark runs of their customers' queries, lines as the competitors of their reports, scored against ground truth."""
     k, o = F.col("c_custkey"), table(spark, d, "orders")
@@ -210,6 +246,30 @@ FROM s LEFT JOIN f USING (k)""",
 WITH {_DISCOVERED}
 SELECT run_id, (SELECT count(*) FROM c WHERE c.run_id = x.run_id) AS candidates_seen, (SELECT count(*) FROM t WHERE t.run_id = x.run_id) AS candidates_checked, (SELECT count(*) FROM r WHERE r.run_id = x.run_id) AS entities_verified, 0::BIGINT AS insufficient_signal, (SELECT count(*) FROM s WHERE s.run_id = x.run_id) AS spawned
 FROM (SELECT DISTINCT run_id FROM c) x""",
+    "path_rates": """
+WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 AS m FROM supplier WHERE NOT (s_suppkey % 5 = 0 AND s_suppkey % 10 < 5)),
+p AS (SELECT k, m, unnest(CASE m WHEN 0 THEN ['/pricing', '/plans', '/pricing-plans', '/price'] WHEN 1 THEN ['/docs', '/documentation', '/developers', '/api'] ELSE ['/changelog', '/releases', '/whats-new', '/blog/changelog'] END) AS path, unnest([0, 1, 2, 3]) AS pos FROM s),
+g AS (SELECT *, (k + pos) % 5 < 2 AND (m <> 0 OR (k + pos) % 2 = 0) AS good FROM p),
+f AS (SELECT k, min(pos) AS place FROM g WHERE good GROUP BY k)
+SELECT CASE m WHEN 0 THEN 'pricing' WHEN 1 THEN 'docs' ELSE 'changelog' END AS kind, path, count(*) AS tried, count(*) FILTER (good) AS hits, round(count(*) FILTER (good) / count(*)::DOUBLE, 9) AS rate
+FROM g LEFT JOIN f USING (k) WHERE place IS NULL OR pos <= place GROUP BY 1, 2""",
+    "search_ledger": """
+WITH RECURSIVE e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 500 < 100 AND event_id % 2 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 0 ELSE event_id % 4 / 8.0::DOUBLE END AS cost, event_id % 500 < 100 AND event_id % 2 = 0 AS hit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, i, event_id, cost AS paid, CASE WHEN cost > 0 THEN [struct_pack(ts := ts, c := cost)] ELSE [] END AS q FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.event_id, CASE WHEN s < 0.5 THEN cost ELSE 0 END, CASE WHEN s < 0.5 AND cost > 0 THEN list_append(q, struct_pack(ts := ts, c := cost)) ELSE q END
+  FROM (SELECT e.*, list_filter(r.q, lambda x: x.ts >= e.ts - INTERVAL 24 HOURS) AS q, coalesce(list_sum(list_transform(list_filter(r.q, lambda x: x.ts >= e.ts - INTERVAL 24 HOURS), lambda x: x.c)), 0) AS s FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) e)
+SELECT event_id % 50 AS run_id, count(*) AS n, sum(paid)::DOUBLE AS usd FROM r WHERE paid > 0 GROUP BY 1""",
+    "all_metrics": """
+WITH r AS (SELECT o_orderkey AS id, o_totalprice::DOUBLE / 1000000 AS cost, o_orderkey % 40 AS age, CASE WHEN o_orderkey % 6 <> 0 THEN (o_orderkey % 900)::DOUBLE END AS secs FROM orders), n AS (SELECT * FROM r WHERE age < 30),
+m AS (SELECT 'runs_today' AS key, (count(*) FILTER (age = 0))::DOUBLE AS value, 'runs' AS unit, 4.0::DOUBLE AS threshold, 'degradation' AS alert_level FROM r
+  UNION ALL SELECT 'cost_per_run_mean', avg(cost), 'USD', 0.1242, 'degradation' FROM n
+  UNION ALL SELECT 'search_spend_mtd', coalesce(sum(event_id % 4 / 8.0::DOUBLE), 0), 'USD', 7.0, 'degradation' FROM events WHERE ts >= TIMESTAMP '2024-01-01'
+  UNION ALL SELECT 'sentence_binding_rate', count(*) FILTER (contains(text, substr(text, 3, 24) || CASE WHEN quality = 1 THEN '' ELSE '~zq' END)) / nullif(count(*), 0)::DOUBLE, 'fraction', 1.0, 'page' FROM labels JOIN documents USING (doc_id) JOIN n ON n.id = doc_id WHERE text IS NOT NULL AND doc_id % 4 <> 0
+  UNION ALL SELECT 'extraction_drop_rate', sum(k) / (sum(k) + sum(b))::DOUBLE, 'fraction', 0.3, 'degradation' FROM (SELECT event_id % 100 AS b, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 30 DAYS)
+  UNION ALL SELECT 'p95_run_latency_s', percentile_cont(0.95) WITHIN GROUP (ORDER BY secs), 'seconds', 512.0, 'degradation' FROM n WHERE secs IS NOT NULL
+  UNION ALL SELECT 'task_failure_rate', count(*) FILTER (l_linenumber = 3) / nullif(count(*), 0)::DOUBLE, 'fraction', 0.1, 'degradation' FROM lineitem JOIN n ON l_orderkey = n.id
+  UNION ALL SELECT 'db_size_pct', sum(strlen(text)) / 524288000.0::DOUBLE, 'fraction', 0.7, 'degradation' FROM documents)
+SELECT key, round(value, 6) AS value, unit, threshold, alert_level, coalesce(CASE WHEN key = 'sentence_binding_rate' THEN value < threshold ELSE value > threshold END, false) AS breached FROM m""",
     "bench_scores": """
 WITH w AS (SELECT l_orderkey AS run_id, 's' || ((l_suppkey + l_linenumber) % 40) || '.com' AS domain, min(struct_pack(price := ((l_suppkey + l_linenumber) % 9)::DOUBLE, model := CASE WHEN (l_suppkey + l_linenumber) % 2 = 0 THEN 'seat' ELSE 'flat' END, free_tier := (l_suppkey + l_linenumber) % 3 = 0)) AS c FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1, 2),
 a AS (SELECT o_orderkey AS run_id, o_custkey AS k, o_custkey % 11 <> 0 AND o_custkey IN (SELECT c_custkey FROM customer) AS known, 's' || (o_custkey % 40) || '.com' AS d0, 's' || ((o_custkey + 1) % 40) || '.com' AS d1, 's' || ((o_custkey + 2) % 40) || '.com' AS d2, 's' || ((o_custkey + 3) % 40) || '.com' AS d3 FROM orders),
