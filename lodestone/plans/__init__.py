@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from lodestone.plans import evidence, machines, operations, tasks, web
+from lodestone.plans import evidence, machines, operations, recorded, tasks, web
 
 
 def queries() -> dict:
-    return {**evidence.QUERIES, **operations.QUERIES, **tasks.QUERIES, **machines.QUERIES, **web.QUERIES}
+    return {**evidence.QUERIES, **operations.QUERIES, **tasks.QUERIES, **machines.QUERIES, **web.QUERIES, **recorded.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**evidence.SQL, **operations.SQL, **tasks.SQL, **machines.SQL, **web.SQL}
+    return {**evidence.SQL, **operations.SQL, **tasks.SQL, **machines.SQL, **web.SQL, **recorded.SQL}
