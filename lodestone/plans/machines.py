@@ -93,6 +93,41 @@ def clustered_findings(spark: SparkSession, d: str) -> DataFrame:
     return found.select("kind", "statement", F.array_join("claim_ids", ",").alias("claim_ids"), "support_count", F.round("confidence", 6).alias("confidence"), "theme", "distinct_threads", "best_grade")
 
 
+def all_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as complaints and requests of two runs, parts as their prices, suppliers' features as what is shipped."""
+    e = table(spark, d, "embeddings").filter("embedding is not null").withColumn("g", F.col("vec_id") % 20)
+    centre = e.groupBy("g").agg(F.min_by("embedding", "vec_id").alias("c"))
+    vectors = e.join(centre, "g").select(F.col("vec_id").alias("id"), F.zip_with(F.col("c").cast("array<double>"), F.col("embedding").cast("array<double>"), lambda x, y: x + y * 0.35).alias("v"))
+    k, none = F.col("vec_id"), lambda t: F.lit(None).cast(t)
+    shape = lambda id_, run, entity, attribute, text, num, source: [id_.alias("id"), run.alias("run_id"), entity.alias("entity_id"), attribute.alias("attribute"), text.alias("value_text"), num.cast("double").alias("value_num"), source.alias("source_id"), F.when(id_ % 4 == 0, "B").otherwise("C").alias("grade"), ((id_ % 8) / 8.0).alias("confidence"), F.when(id_ % 17 == 0, id_ + 1).alias("superseded_by")]
+    themes = e.select(*shape(k, k % 3 % 2, F.lit(0).cast("long"), F.concat(F.when(F.col("g") % 2 == 0, "complaint.t").otherwise("request.t"), F.col("g").cast("string"), F.when(k % 19 == 0, ".reactions").otherwise("")), none("string"), none("double"), k % 11))
+    p, q = table(spark, d, "part"), F.col("p_partkey")
+    prices = p.select(*shape(q + 1_000_000, q % 2, q % 50 + 1, F.lit("pricing.entry_usd_month"), none("string"), F.col("p_retailprice"), q % 5))
+    s, r = table(spark, d, "supplier"), F.col("s_suppkey")
+    features = s.select(*shape(r + 2_000_000, r % 2, r % 50 + 1, F.concat(F.lit("feature.t"), (r % 40).cast("string"), F.lit(".present")), F.when(r % 3 == 0, "true").otherwise("false"), none("double"), r % 5)).filter("id % 40 < 8")
+    entities = spark.range(51).select("id", F.when(F.col("id") == 0, "category:x").otherwise(F.concat(F.lit("web:e"), F.col("id").cast("string"), F.lit(".com"))).alias("entity_key"), F.concat(F.lit("E"), F.col("id").cast("string")).alias("display_name"))
+    found = FI.all_findings(themes.unionByName(prices).unionByName(features), entities, vectors)
+    return found.select("run_id", "kind", "statement", F.md5(F.array_join("claim_ids", ",")).alias("claims"), "support_count", F.round("confidence", 6).alias("confidence"), "theme", "distinct_threads", "best_grade")
+
+
+_ALL_FINDINGS = """
+WITH RECURSIVE x AS (SELECT vec_id, vec_id % 20 AS g, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+ce AS (SELECT g, arg_min(e, vec_id) AS c FROM x GROUP BY g),
+t AS (SELECT vec_id AS id, vec_id % 3 % 2 AS run, g, list_transform(list_zip(c, e), lambda p: p[1] + p[2] * 0.35::DOUBLE) AS v FROM x JOIN ce USING (g) WHERE vec_id % 19 <> 0 AND vec_id % 17 <> 0),
+p AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id <> b.id AND a.run = b.run AND a.g % 2 = b.g % 2 AND list_cosine_similarity(a.v, b.v) >= 0.86),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM t UNION (SELECT DISTINCT ON (u.id) u.id, w.comp FROM recurring.cc AS u, cc AS w, p WHERE p.a = u.id AND p.b = w.id AND w.comp < u.comp ORDER BY u.id ASC, w.comp ASC)),
+m AS (SELECT cc.id, comp, t.run, t.g % 2 AS odd, 't' || t.g AS slug, cc.id % 11 AS source_id, CASE WHEN cc.id % 4 = 0 THEN 'B' ELSE 'C' END AS grade, (cc.id % 8) / 8.0::DOUBLE AS confidence FROM cc JOIN t ON t.id = cc.id),
+l AS (SELECT comp, arg_min(slug, (-n, f)) AS theme FROM (SELECT comp, slug, count(*) AS n, min(id) AS f FROM m GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT run, comp, odd, theme, count(*) AS n, count(DISTINCT source_id) AS th, min(grade) AS best_grade, round(avg(confidence), 6) AS confidence, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS claims FROM m JOIN l USING (comp) GROUP BY ALL HAVING count(*) >= 5 AND count(DISTINCT source_id) >= 3),
+pr AS (SELECT p_partkey + 1000000 AS id, p_partkey % 2 AS run, p_partkey % 50 + 1 AS entity, p_retailprice::DOUBLE AS num FROM part WHERE (p_partkey + 1000000) % 17 <> 0),
+fe AS (SELECT s_suppkey + 2000000 AS id, s_suppkey % 2 AS run, s_suppkey % 50 + 1 AS entity, 't' || (s_suppkey % 40) AS slug, s_suppkey % 3 = 0 AS yes FROM supplier WHERE (s_suppkey + 2000000) % 40 < 8 AND (s_suppkey + 2000000) % 17 <> 0),
+co AS (SELECT run, entity, count(*) AS n, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS claims FROM (SELECT run, entity, id FROM pr UNION ALL SELECT run, entity, id FROM fe) GROUP BY 1, 2)
+SELECT run AS run_id, 'competitor' AS kind, 'E' || entity || ' verified with ' || n || ' bound claims' AS statement, claims, n AS support_count, NULL::DOUBLE AS confidence, NULL AS theme, NULL::BIGINT AS distinct_threads, NULL AS best_grade FROM co
+UNION ALL SELECT run, 'pain_point', n || ' users across ' || th || ' threads report ' || theme, claims, n, confidence, theme, th, best_grade FROM s WHERE odd = 0
+UNION ALL SELECT run, 'feature_gap', n || ' users across ' || th || ' threads request ' || theme || '; not found among ' || (SELECT count(*) FROM co WHERE co.run = s.run) || ' reviewed competitors', claims, n, confidence, theme, th, best_grade FROM s WHERE odd = 1 AND NOT EXISTS (SELECT 1 FROM fe WHERE fe.run = s.run AND fe.slug = s.theme AND yes)
+UNION ALL SELECT run, 'pricing_observation', printf('Entry pricing observed across %d competitors: median $%.2f/mo (range $%.2f-$%.2f)', count(DISTINCT entity), median(num), min(num), max(num)), md5(string_agg(id::VARCHAR, ',' ORDER BY id)), count(*), round(avg((id % 8) / 8.0::DOUBLE), 6), NULL, NULL, NULL FROM pr GROUP BY run HAVING count(DISTINCT entity) >= 2
+"""
+
 _FINDINGS = """
 WITH RECURSIVE x AS (SELECT vec_id, vec_id % 25 AS g, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
 c AS (SELECT g, arg_min(e, vec_id) AS c FROM x GROUP BY g),
@@ -108,5 +143,5 @@ SELECT CASE WHEN odd = 0 THEN 'pain_point' ELSE 'feature_gap' END AS kind,
 FROM s WHERE n >= 5 AND t >= 3 AND (odd = 0 OR theme NOT IN ('theme-3', 'theme-7'))
 """
 
-QUERIES = {f.__name__: f for f in (run_states, run_states_stream, clustered_findings)}
-SQL = {"run_states": _RUN_STATES, "run_states_stream": _RUN_STATES, "clustered_findings": _FINDINGS}
+QUERIES = {f.__name__: f for f in (run_states, run_states_stream, clustered_findings, all_findings)}
+SQL = {"run_states": _RUN_STATES, "run_states_stream": _RUN_STATES, "clustered_findings": _FINDINGS, "all_findings": _ALL_FINDINGS}
