@@ -34,6 +34,7 @@ from lodestone.llm._common import free_name, packed, slices, table, utf8_of
 WINDOW, STRIDE, HIDDEN, DIM, PIECE = 32, 24, 8, 8, 24
 WORDS, GRAMS = 1 << 14, 1 << 12
 FIT_TOXIC, FIT_CLEAN, FIT_BYTES, ROUNDS = 600, 2500, 1 << 14, 8
+SLICE = 1 << 18  # bytes of text that a worker scores at once
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(PIECE)], np.uint64)
 
@@ -268,7 +269,7 @@ def _scored(docs: DataFrame, model: Network | float, text_col: str, kept: list[s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", SLICE):
             s = np.full(b.num_rows, net) if isinstance(net, float) else _sigmoid(net.logits([words_of(t) for t in utf8_of(b.column(0))]).astype(np.float64))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
 
