@@ -51,10 +51,10 @@ def fact_accuracy(matches: Column) -> Column:
     return F.coalesce(F.avg(matches.cast("double")), F.lit(1.0))
 
 
-def regressions(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Rows (query_id, rule). Any query: a binding rate below 1. Against a baseline: recall fell, cost rose; and the trap query's contradiction, which fired in the baseline, doesn't fire."""
-    old = baseline.select("query_id", F.col("recall").alias("old_recall"), F.col("cost").alias("old_cost"), F.col("contradiction_fired").alias("old_fired"))
-    both = current.join(old, "query_id", "left")
+def regressions(current: DataFrame, baseline: DataFrame, *, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Rows (query_id, rule). Any query: a binding rate below 1. Against a baseline: recall fell, cost rose; and the trap query's contradiction, which fired in the baseline, doesn't fire. keys: what a baseline's row has in common with its current one, unique in the baseline."""
+    old = baseline.select(*keys, F.col("recall").alias("old_recall"), F.col("cost").alias("old_cost"), F.col("contradiction_fired").alias("old_fired"))
+    both = current.join(old, list(keys), "left")
     rules = F.array(
         F.when(F.col("binding_rate") < 1, "unbound"),
         F.when(F.col("old_recall") - F.col("recall") > fixed.RECALL_DROP, "recall_drop"),
