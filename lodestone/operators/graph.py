@@ -13,7 +13,9 @@ from lodestone.operators.work import Scratch
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """edges: a, b. Rows (node, component): the smallest node that can be reached. Labels are lowered along edges and then by the label of the label, until none changes."""
     ws = Scratch(edges.sparkSession, "components")
-    both = ws.keep("edges", edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    # both directions come from one computation: a forest may be another one when it is computed again
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = ws.keep("edges", edges.filter("a != b").select(F.inline(ends)).distinct())
     start = both.select(F.col("a").alias("node")).distinct()
     if nodes is not None:
         start = start.unionByName(nodes.select("node")).distinct()
