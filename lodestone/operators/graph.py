@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,25 +15,87 @@ from lodestone.functions import fixed
 from lodestone.operators.gates import solve
 from lodestone.operators.work import Scratch
 
+#: Edges that one task joins at once.
+AT_ONCE = 500_000
+
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """edges: a, b. Rows (node, component): the smallest node that can be reached. Labels are lowered along edges and then by the label of the label, until none changes."""
+def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes the smallest that the edges connect it to."""
+    root = np.arange(n)
+    while True:
+        low, x, y = root.copy(), root[a], root[b]
+        np.minimum.at(low, x, y)
+        np.minimum.at(low, y, x)
+        while np.any((up := low[low]) != low):
+            low = up
+        if np.all(low[x] == low[y]):
+            return low[root]
+        root = low[root]
+
+
+def _stars(batches: Iterable[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """Edges a, b as stars: b is the smallest node of a part that some `most` edges make up, so parts may come in pieces."""
+    held, n = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        ends = pa.concat_arrays([t.column(c).combine_chunks() for c in ("a", "b")]).dictionary_encode()
+        names = ends.dictionary
+        order = pc.sort_indices(names).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        code = rank[ends.indices.to_numpy()]
+        root = _roots(code[: t.num_rows], code[t.num_rows :], len(order))
+        leaves = np.nonzero(root != np.arange(len(root)))[0]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(order[leaves])), names.take(pa.array(order[root[leaves]]))], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield from out()
+            held, n = [], 0
+    if n:
+        yield from out()
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, *, at_once: int = AT_ONCE) -> DataFrame:
+    """edges: a, b. Rows (node, component): the smallest node that can be reached.
+
+    Tasks turn their edges into stars, `at_once` at a time. While more edges than that are left, each node goes to its
+    smallest neighbour, on to where that goes until none moves (by doubling), and the edges between what remains go on:
+    they get fewer with every round. The rest, bounded, is one task's. Where nodes went is put together from the last round to the first.
+    """
     ws = Scratch(edges.sparkSession, "components")
-    # both directions come from one computation: a forest may be another one when it is computed again
-    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = ws.keep("edges", edges.filter("a != b").select(F.inline(ends)).distinct())
-    start = both.select(F.col("a").alias("node")).distinct()
+    of = edges.schema["a"].dataType.simpleString()
+    stars = lambda df: df.filter("a != b").mapInArrow(lambda batches: _stars(batches, at_once), f"a {of}, b {of}")
+    left = ws.keep("left0", stars(edges.select("a", "b")).distinct())
+    every = left.select(F.explode(F.array("a", "b")).alias("node"))
     if nodes is not None:
-        start = start.unionByName(nodes.select("node")).distinct()
-    labels = ws.keep("labels", start.select("node", F.col("node").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        hooked = ws.keep("hooked", labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("low", "component")).alias("low")))
-        jumped = hooked.join(hooked.select(F.col("node").alias("low"), F.col("low").alias("far")), "low", "left").select("node", F.col("component").alias("before"), F.least("low", F.coalesce("far", "low")).alias("component"))
-        labels = ws.keep("labels", jumped)
-        if labels.filter("before != component").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        every = every.unionByName(nodes.select("node"))
+    went, k = [], 0
+    while left.count() > at_once:
+        k += 1
+        # both directions come from one table: edges may be others when they are computed again
+        both = left.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        to = ws.keep("to", both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("low")))
+        while True:
+            ahead = to.select(F.col("node").alias("low"), F.col("low").alias("far"))
+            to = ws.keep("to", to.join(ahead, "low").select("node", F.col("low").alias("before"), F.col("far").alias("low")))
+            moved = not to.filter("before != low").isEmpty()
+            to = to.select("node", "low")
+            if not moved:
+                break
+        went.append(ws.keep(f"went{k}", to.filter("node != low")))
+        at = lambda c: went[-1].select(F.col("node").alias(c), F.col("low").alias(f"_{c}"))
+        moved = left.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        left = ws.keep(f"left{k}", stars(moved).distinct())
+    found = ws.keep("found", left.coalesce(1).mapInArrow(lambda batches: _stars(batches, math.inf), f"a {of}, b {of}").toDF("node", "low"))
+    while went:
+        last = went.pop()
+        on = found.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        found = ws.keep("found", last.join(on, "low", "left").select("node", F.coalesce("far", "low").alias("low")).unionByName(found.join(last.select("node"), "node", "left_anti")))
+    return every.distinct().join(found, "node", "left").select("node", F.coalesce("low", "node").alias("component"))
 
 
 def alias_edges(evidence: DataFrame) -> DataFrame:
