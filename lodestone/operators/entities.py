@@ -11,6 +11,7 @@ from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import graph as G
 from lodestone.operators import tables as X
+from lodestone.operators.work import Scratch
 
 #: Responses by scheme and value: error (of the transport, null if there was an answer), status, body text, homepage,
 #: repositories in order, how many results an answer names, and the states of further addresses that were asked.
@@ -79,12 +80,13 @@ def resolve(evidence: DataFrame, results: DataFrame, old: DataFrame, now: Column
     rows = evidence.withColumn("value", derived_key(F.col("scheme"), F.col("raw_value"))).filter("value is not null").join(results.filter("verified").select("entity_key", "scheme", "value", "grade", F.col("homepage_url").alias("_home"), F.col("repository_url").alias("_repo")), ["scheme", "value"])
     rows = X.first_per_key(rows, ["entity_key"], [F.desc("ord")])
     tier = S.maturity(domain_age_days=F.col("domain_age_days"), last_commit_at=F.col("last_commit_at"), stars=F.col("stars"), star_velocity=F.col("star_velocity"), has_funding=F.col("has_funding"), stage=F.col("stage"), installs=F.col("installs"), downloads=F.col("downloads"), shared_host=(F.col("scheme") == "web") & U.is_shared_host(F.col("value")), now=now)
-    rows = rows.withColumn("_t", tier)
+    ws = Scratch(rows.sparkSession, "resolve")  # keys and tiers are read again by each kind of edge, by entities and by aliases
+    rows = ws.keep("rows", rows.withColumn("_t", tier))
     meta = F.create_map(F.lit("maturity_rule"), F.col("_t.rule"), F.lit("insufficient_signal"), F.col("_t.insufficient").cast("string"), F.lit("verification_grade"), F.col("grade"))
     made = rows.select("entity_key", "display_name", F.col("_t.tier").alias("maturity"), meta.alias("meta"), "ord")
     linked = rows.select("scheme", "value", U.web_key(F.coalesce("homepage_url", "_home")).alias("homepage_key"), U.gh_key(F.col("backlink_repo")).alias("backlink_repo"), U.gh_key(F.regexp_replace(F.coalesce("repository_url", "_repo"), r"^git\+", "")).alias("repository"))
     named = G.canonical_keys(G.alias_edges(linked).select("a", "b"))
-    canon = made.join(named.withColumnRenamed("key", "entity_key"), "entity_key", "left").withColumn("canonical", F.coalesce("canonical", "entity_key"))
+    canon = ws.keep("canon", made.join(named.withColumnRenamed("key", "entity_key"), "entity_key", "left").withColumn("canonical", F.coalesce("canonical", "entity_key")))
     # of a merged group the canonical key's own row speaks if it is there, else the latest
     own = X.first_per_key(canon, ["canonical"], [(F.col("entity_key") == F.col("canonical")).desc(), F.desc("ord")])
     entities = X.upsert_entities(old, own.select(F.col("canonical").alias("entity_key"), "display_name", "maturity", "meta"))
