@@ -1,9 +1,10 @@
 """The event log of runs as one state machine: leases of tasks, checklist of the plan, public events, end of the run.
 
 `Machine` applies one run's events in order of (ms, id). `fold_runs` drives it over a table, `run_stream` over a stream,
-with state per run in Spark's state store: events wait in a map until the watermark has passed them, timers wake a run
-for its next event or the end of a lease, and the event that ends a run clears all of its state but the mark that it is
-over. So the order of arrival within the watermark's delay, repeated deliveries and restarts change nothing.
+with state per run in Spark's state store: events wait there, sorted and ENTRY to an entry, until the watermark has passed
+them, timers wake a run for its next event or the end of a lease, and the event that ends a run clears all of its state
+but the mark that it is over. The store is asked once for what a run's turn needs and told once what it changed, not by
+every event. So the order of arrival within the watermark's delay, repeated deliveries and restarts change nothing.
 
 Events: run_id, id, ts, event_type, and as the type needs them task_id, token, kind, node_id (all may be null).
 
@@ -20,6 +21,9 @@ or node; empty for the run), status, token, attempts. The last row of an item is
 
 from __future__ import annotations
 
+import heapq
+import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +39,8 @@ ENDS = {"report.ready": "ready", "run.failed": "failed"}
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FIELDS = ["event_type", "task_id", "token", "kind", "node_id"]
 _IDLE = ("pending", -1, 0)
+#: Events of a run that wait in one entry of the state store, and that are sorted at once as they come.
+ENTRY, AT_ONCE = 256, 1 << 16
 
 
 class Tables:
@@ -63,6 +69,7 @@ class Tables:
 class Machine:
     def __init__(self, tables, *, lease_ms: int, retries: int, public: frozenset | None, seq: int = 0):
         self.tables, self.lease_ms, self.retries, self.public, self.seq, self.out = tables, lease_ms, retries, public, seq, []
+        self.soon = -math.inf  # no lease ends before
 
     def _say(self, ms: int, what: str, item, status: str, token: int | None = None, attempts: int | None = None) -> None:
         self.seq += 1
@@ -70,14 +77,22 @@ class Machine:
 
     def _task(self, ms: int, task: int, status: str, token: int, attempts: int, until: int | None) -> None:
         self.tables.put("task", (task,), (status, token, attempts))
-        self.tables.drop("lease", (task,)) if until is None else self.tables.put("lease", (task,), (until,))
+        if until is None:
+            self.tables.drop("lease", (task,))
+        else:
+            self.tables.put("lease", (task,), (until,))
+            self.soon = min(self.soon, until)
         self._say(ms, "task", task, status, token, attempts)
 
     def expire(self, now: int) -> None:
         """Leases that ended before now, in order of their ends."""
+        if now <= self.soon:
+            return
         for until, task in sorted((v[0], k[0]) for k, v in self.tables.items("lease") if v[0] < now):
             _, _, attempts = self.tables.get("task", (task,))
             self._task(until, task, "pending", -1, attempts, None)
+        end = self.next_end()
+        self.soon = math.inf if end is None else end
 
     def next_end(self) -> int | None:
         return min((v[0] for _, v in self.tables.items("lease")), default=None)
@@ -124,8 +139,11 @@ class Machine:
             self._task(ms, task, "failed" if attempts >= self.retries else "pending", -1, attempts, None)
 
 
+_CHANGE = Row(*_ARROW)
+
+
 def _rows(run: int, changes: list[tuple]) -> Iterator[Row]:
-    return (Row(run_id=run, seq=seq, ms=ms, what=what, item=item, status=status, token=token, attempts=attempts) for seq, ms, what, item, status, token, attempts in changes)
+    return (_CHANGE(run, *c) for c in changes)
 
 
 def _shaped(events: DataFrame, *more: Column) -> DataFrame:
@@ -178,30 +196,54 @@ def fold_runs(events: DataFrame, as_of: Column | None = None, *, lease_ms: int =
 
 
 class _MapStates:
-    """The same calls as Tables, on a stream's map states."""
+    """The same calls as Tables, on a stream's map states: what was read is kept for a turn, what changed is written by save()."""
 
     _KINDS = {"task": ("task long", "status string, token long, attempts int"), "lease": ("task long", "until long"), "node": ("kind string, at long", "node string"), "taken": ("task long", "node string"), "kind": ("kind string", "declared long, taken long")}
 
     def __init__(self, handle: StatefulProcessorHandle):
         self.maps = {name: handle.getMapState(name, *kinds) for name, kinds in self._KINDS.items()}
 
+    def open(self, fresh: bool) -> None:
+        """A run's turn begins; of a fresh run nothing is stored."""
+        self.held, self.changed = {name: {} for name in self.maps}, set()
+        self.stored = not fresh
+        self.whole = set(self.maps) if fresh else set()
+
     def get(self, name: str, key: tuple) -> tuple | None:
-        m = self.maps[name]
-        return tuple(m.getValue(key)) if m.containsKey(key) else None
+        held = self.held[name]
+        if key not in held and name not in self.whole:
+            m = self.maps[name]
+            held[key] = tuple(m.getValue(key)) if m.containsKey(key) else None
+        return held.get(key)
 
     def put(self, name: str, key: tuple, value: tuple) -> None:
-        self.maps[name].updateValue(key, value)
+        self.held[name][key] = value
+        self.changed.add((name, key))
 
     def drop(self, name: str, key: tuple) -> None:
-        if self.maps[name].containsKey(key):
-            self.maps[name].removeKey(key)
+        self.put(name, key, None)
 
     def items(self, name: str) -> list[tuple]:
-        return [(tuple(k), tuple(v)) for k, v in self.maps[name].iterator()]
+        held = self.held[name]
+        if name not in self.whole:
+            for k, v in self.maps[name].iterator():
+                held.setdefault(tuple(k), tuple(v))
+            self.whole.add(name)
+        return [(k, v) for k, v in held.items() if v is not None]
 
     def clear(self) -> None:
-        for m in self.maps.values():
-            m.clear()
+        if self.stored:
+            for m in self.maps.values():
+                m.clear()
+        self.open(True)
+
+    def save(self) -> None:
+        for name, key in self.changed:
+            m, value = self.maps[name], self.held[name][key]
+            if value is not None:
+                m.updateValue(key, value)
+            elif self.stored and m.containsKey(key):
+                m.removeKey(key)
 
 
 class RunProcessor(StatefulProcessor):
@@ -210,41 +252,81 @@ class RunProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.tables = handle, _MapStates(handle)
-        self.waiting = handle.getMapState("waiting", "ms long, id long", "event_type string, task_id long, token long, kind string, node_id string")
-        self.run = handle.getValueState("run", "over boolean, seq long, applied long")
+        self.waiting = handle.getMapState("waiting", "first long, part long", "events string")
+        self.run = handle.getValueState("run", "over boolean, seq long, applied long, part long")
+
+    def _state(self) -> tuple:
+        return tuple(self.run.get()) if self.run.exists() else (False, 0, -1, 0)
+
+    def _wait(self, events: dict, part: int) -> int:
+        """Events by (ms, id) go to the store in order; the number of the next part."""
+        order = sorted(events)
+        for i in range(0, len(order), ENTRY):
+            some = order[i : i + ENTRY]
+            self.waiting.updateValue((some[0][0], part), (json.dumps([(*at, *events[at]) for at in some]),))
+            part += 1
+        return part
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        over, _, applied = self.run.get() if self.run.exists() else (False, 0, -1)
-        passed, first = max(applied, timerValues.getCurrentWatermarkInMs()), None
+        over, seq, applied, part = self._state()
+        passed, first, events, before = max(applied, timerValues.getCurrentWatermarkInMs()), None, {}, part
         for r in rows:
-            if not over and r.ms > passed:  # else it is late, or a repeat of what was applied
-                self.waiting.updateValue((r.ms, r.id), tuple(r[c] for c in _FIELDS))
-                first = r.ms if first is None else min(first, r.ms)
+            _, ident, ms, *fields = r[: 3 + len(_FIELDS)]
+            if not over and ms > passed:  # else it is late, or a repeat of what was applied
+                events[ms, ident] = fields
+                first = ms if first is None else min(first, ms)
+                if len(events) >= AT_ONCE:
+                    part, events = self._wait(events, part), {}
+        part = self._wait(events, part)
         if first is not None:
             self.handle.registerTimer(first)
+        if part > before:
+            self.run.update((over, seq, applied, part))
         return iter([])
 
+    def _due(self, now: int, later: dict) -> Iterator[tuple]:
+        """Waiting events up to now in order, each once, the one that came last; those of their entries that have to wait on go to `later`. An entry is read when its first event is next."""
+        entries, k, heap, last = sorted(tuple(x) for x in self.waiting.keys()), 0, [], None
+        while True:
+            while k < len(entries) and entries[k][0] <= (min(now, heap[0][0]) if heap else now):
+                text = self.waiting.getValue(entries[k])[0]
+                self.waiting.removeKey(entries[k])
+                for ms, ident, *fields in json.loads(text):
+                    heapq.heappush(heap, (ms, ident, -entries[k][1], fields))
+                k += 1
+            if not heap or heap[0][0] > now:
+                break
+            ms, ident, _, fields = heapq.heappop(heap)
+            if (ms, ident) != last:
+                yield ms, ident, *fields
+            last = ms, ident
+        while heap:
+            ms, ident, _, fields = heapq.heappop(heap)
+            later.setdefault((ms, ident), fields)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        over, seq, applied = self.run.get() if self.run.exists() else (False, 0, -1)
+        over, seq, applied, part = self._state()
         now = timerValues.getCurrentWatermarkInMs()
         if over or now <= applied:
             return
-        machine = Machine(self.tables, seq=seq, **self.options)
-        keys = sorted(tuple(k) for k in self.waiting.keys())
-        for at in keys:
-            if at[0] > now:
-                break
-            over = machine.apply(*at, *self.waiting.getValue(at))
-            self.waiting.removeKey(at)
+        self.tables.open(fresh=applied < 0)
+        machine, later = Machine(self.tables, seq=seq, **self.options), {}
+        for event in self._due(now, later):
+            over = machine.apply(*event)
+            if len(machine.out) >= AT_ONCE:
+                yield from _rows(key[0], machine.out)
+                machine.out = []
             if over:
                 self.waiting.clear()
                 break
         if not over:
             machine.expire(now)
-            later = [at[0] for at in keys if at[0] > now][:1] + [end + 1 for end in [machine.next_end()] if end is not None]
-            if later:
-                self.handle.registerTimer(min(later))
-        self.run.update((over, machine.seq, now))
+            part = self._wait(later, part)
+            wake = [k[0] for k in self.waiting.keys()] + [end + 1 for end in [machine.next_end()] if end is not None]
+            if wake:
+                self.handle.registerTimer(min(wake))
+        self.tables.save()
+        self.run.update((over, machine.seq, now, part))
         yield from _rows(key[0], machine.out)
 
     def close(self) -> None:
