@@ -13,8 +13,11 @@ from lodestone.functions import text as T
 from lodestone.functions import urls as U
 from lodestone.operators import claims as C
 from lodestone.operators import tables as X
+from lodestone.operators.work import dealt
 
 UNIQUE = ["run_id", "source_id", "attribute", "char_start"]
+#: Repositories whose claims one task holds.
+REPOS_EACH = 20_000
 
 
 def synthetic_sources(old: DataFrame, docs: DataFrame, now: Column) -> DataFrame:
@@ -125,11 +128,23 @@ def category_entity(run_id: str, hint: Column) -> tuple[Column, Column]:
     return F.lit(f"category:{run_id}"), F.substring(F.concat(F.lit("Community signal: "), hint), 1, 200)
 
 
+def _oss_text() -> Column:
+    last = F.when(F.col("last_commit").isNotNull(), F.concat(F.lit("Last commit at "), F.date_format("last_commit", "yyyy-MM-dd"), F.lit(".\n"))).otherwise("")
+    return F.concat(F.col("repo"), F.lit(": "), F.col("stars").cast("string"), F.lit(" stars.\nLicense: "), F.coalesce("license", F.lit("none declared")), F.lit(".\n"), last)
+
+
+def _oss_url() -> Column:
+    return F.concat(F.lit("github-api://"), "repo")
+
+
 def oss_docs(repos: DataFrame) -> DataFrame:
     """repos: repo, stars, license, last_commit (date). What the source says of each."""
-    last = F.when(F.col("last_commit").isNotNull(), F.concat(F.lit("Last commit at "), F.date_format("last_commit", "yyyy-MM-dd"), F.lit(".\n"))).otherwise("")
-    text = F.concat(F.col("repo"), F.lit(": "), F.col("stars").cast("string"), F.lit(" stars.\nLicense: "), F.coalesce("license", F.lit("none declared")), F.lit(".\n"), last)
-    return repos.select(F.concat(F.lit("github-api://"), "repo").alias("canonical_url"), F.lit("github.com").alias("root_key"), text.alias("text"), F.lit("oss_profile").alias("retrieval_reason"), "repo")
+    return repos.select(_oss_url().alias("canonical_url"), F.lit("github.com").alias("root_key"), _oss_text().alias("text"), F.lit("oss_profile").alias("retrieval_reason"), "repo")
+
+
+def oss_sourced(repos: DataFrame, *, each: int = REPOS_EACH) -> DataFrame:
+    """repos as oss_claims takes them, with source_id: their claims, each with its own source's address and text. They lie by source, so that persisting them moves nothing again."""
+    return oss_claims(dealt(repos, "source_id", each=each).withColumn("canonical_url", _oss_url()).withColumn("extracted_text", _oss_text()))
 
 
 def oss_claims(repos: DataFrame) -> DataFrame:

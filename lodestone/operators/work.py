@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -26,6 +27,12 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *keys: str, each: int) -> DataFrame:
+    """df hash partitioned by the keys into parts of about `each` rows, which adaptive execution doesn't merge: what is sorted or grouped in a task by these keys (or more) stays of one size, however large the table is. Counts df first."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / each))
+    return df.repartition(parts, *keys)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, *, first: int = 1) -> DataFrame:
     """df with its global place in this order. Rows are range partitioned and numbered within partitions; only the partitions' sizes meet in one task."""
     placed = keep(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))

@@ -130,9 +130,8 @@ def _repos(spark: SparkSession, d: str) -> DataFrame:
 
 def oss_profiles(spark: SparkSession, d: str) -> DataFrame:
     """Parts as repositories: a synthetic source each, up to five claims bound to it."""
-    repos = _repos(spark, d)
-    rows = E.oss_claims(repos).join(E.oss_docs(repos).select("repo", "canonical_url", F.col("text").alias("extracted_text")), "repo").withColumn("run_id", F.lit("r")).withColumn("as_of", F.lit(None).cast("date")).withColumn("fetched_at", now())
-    none = spark.createDataFrame([], "run_id string, source_id long, attribute string, char_start int")
+    rows = E.oss_sourced(_repos(spark, d)).withColumn("run_id", F.lit("r")).withColumn("as_of", F.lit(None).cast("date")).withColumn("fetched_at", now())
+    none = spark.createDataFrame([], "run_id string, source_id long, attribute string, char_start int").limit(0)  # seen to be empty, so nothing is joined with it
     out = E.persist_structured(none, rows, F.lit("A"), now())
     return out.select("source_id", "attribute", "value_text", "value_num", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.round("confidence", 9).alias("confidence"))
 
