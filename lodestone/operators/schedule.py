@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.operators import graph as G
-from lodestone.operators.work import keep
+from lodestone.operators.work import Scratch, dealt
+
+#: Tasks that are sorted and joined in one part.
+TASKS_EACH = 500_000
 
 
 def next_tasks(tasks: DataFrame) -> DataFrame:
@@ -60,19 +65,35 @@ def throttled(requests: DataFrame, host: str, at: str, order: str, gap: float =
 
 
 def dispatch_waves(tasks: DataFrame, slots: dict[str, int]) -> DataFrame:
-    """tasks: run_id, node_key, depends_on, service, priority. When each task runs if all that is ready runs at once, `slots` of a service at most: depth (longest chain before it) and wave within the depth. Tasks on or behind a cycle have none."""
-    edges = keep(tasks.select("run_id", "node_key", F.explode("depends_on").alias("dep")))
-    left = keep(tasks.select("run_id", "node_key"))
-    level, done = 0, None
+    """tasks: run_id, node_key, depends_on, service, priority. When each task runs if all that is ready runs at once, `slots` of a service at most: depth (longest chain before it) and wave within the depth. Tasks on or behind a cycle have none.
+
+    Behind a chain of k + 1 is what depends on a task behind one of k: each turn looks only at the edges that come from
+    what the turn before found, so it reads less each time, and a task's depth is the number of turns that found it.
+    Where a turn finds as many as the one before, these are on or behind cycles.
+    """
+    ws = Scratch(tasks.sparkSession, "waves")
+    tasks = ws.keep("tasks", tasks.select("run_id", "node_key", "depends_on", "service", "priority"))
+    edges = tasks.filter(F.size("depends_on") > 0).select("run_id", "node_key", F.explode("depends_on").alias("dep"))
+    there, found, n, cyclic = tasks.select("run_id", "node_key"), [], -1, None
+    parts = {"each": TASKS_EACH, "rows": tasks.count()}
     while True:
-        blocked = edges.join(left.withColumnRenamed("node_key", "dep"), ["run_id", "dep"], "left_semi").select("run_id", "node_key").distinct()
-        free = keep(left.join(blocked, ["run_id", "node_key"], "left_anti").withColumn("depth", F.lit(level)))
-        if free.isEmpty():
+        edges = ws.keep("edges", edges.join(there.withColumnRenamed("node_key", "dep"), ["run_id", "dep"], "left_semi"))
+        there = ws.keep(f"behind{len(found)}", edges.select("run_id", "node_key").distinct())
+        before, n = n, there.count()
+        if n == before:
+            cyclic = found.pop() if n else None
+        if n in (0, before):
             break
-        done = free if done is None else done.unionByName(free)
-        left, level = keep(left.join(free.select("run_id", "node_key"), ["run_id", "node_key"], "left_anti")), level + 1
-    if done is None:
-        return tasks.select("run_id", "node_key").limit(0).withColumns({"depth": F.lit(0), "wave": F.lit(0)})
+        found.append(there)
     most = F.create_map(*(F.lit(x) for kv in slots.items() for x in kv))[F.col("service")]
     place = F.row_number().over(Window.partitionBy("run_id", "depth", "service").orderBy("priority", "node_key"))
-    return tasks.join(done, ["run_id", "node_key"]).withColumn("wave", F.ceil(place / most).cast("int")).select("run_id", "node_key", "depth", "wave")
+    rows = dealt(tasks.drop("depends_on"), "run_id", "node_key", **parts)
+    if cyclic is not None:
+        rows = rows.join(cyclic, ["run_id", "node_key"], "left_anti")
+    if found:
+        depth = reduce(DataFrame.unionByName, found).groupBy("run_id", "node_key").agg(F.count("*").cast("int").alias("depth"))
+        rows = rows.join(depth, ["run_id", "node_key"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    else:
+        rows = rows.withColumn("depth", F.lit(0))
+    rows = dealt(rows, "run_id", "depth", "service", **parts)
+    return rows.withColumn("wave", F.ceil(place / most).cast("int")).select("run_id", "node_key", "depth", "wave")

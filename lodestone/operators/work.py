@@ -27,9 +27,9 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dealt(df: DataFrame, *keys: str, each: int) -> DataFrame:
-    """df hash partitioned by the keys into parts of about `each` rows, which adaptive execution doesn't merge: what is sorted or grouped in a task by these keys (or more) stays of one size, however large the table is. Counts df first."""
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / each))
+def dealt(df: DataFrame, *keys: str, each: int, rows: int | None = None) -> DataFrame:
+    """df hash partitioned by the keys into parts of about `each` rows, which adaptive execution doesn't merge: what is sorted or grouped in a task by these keys (or more) stays of one size, however large the table is. Counts df first, unless its rows are given."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((df.count() if rows is None else rows) / each))
     return df.repartition(parts, *keys)
 
 

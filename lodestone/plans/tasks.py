@@ -21,6 +21,7 @@ from lodestone.operators import report as P
 from lodestone.operators import runs as RUN
 from lodestone.operators import schedule as SC
 from lodestone.operators import tables as X
+from lodestone.operators.work import dealt
 from lodestone.plans._common import now, table
 from lodestone.sources import pages as PG
 from lodestone.sources import replay as R
@@ -304,11 +305,11 @@ def throttled(spark: SparkSession, d: str) -> DataFrame:
 
 def dispatch_waves(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order as tasks, every third after the first: depth, and wave within the slots of a service."""
-    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    n = F.col("l_linenumber")
+    lines = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", each=SC.TASKS_EACH).distinct()  # an order's lines lie in one part
     deps = F.when(n > 4, F.array(_text(n - 3), F.lit("1"))).when(n > 2, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>"))
-    t = li.select(F.col("l_orderkey").alias("run_id"), _text(n).alias("node_key"), deps.alias("depends_on"), F.when(n % 2 == 0, "crawl").otherwise("search").alias("service"), n.alias("priority")).dropDuplicates(["run_id", "node_key"])
-    have = t.select("run_id", F.col("node_key").alias("dep")).distinct()
-    t = t.join(have.groupBy("run_id").agg(F.collect_set("dep").alias("have")), "run_id").withColumn("depends_on", F.array_intersect("depends_on", "have"))
+    have = F.collect_set(_text(n)).over(Window.partitionBy("l_orderkey"))
+    t = lines.withColumn("have", have).select(F.col("l_orderkey").alias("run_id"), _text(n).alias("node_key"), F.array_intersect(deps, F.col("have")).alias("depends_on"), F.when(n % 2 == 0, "crawl").otherwise("search").alias("service"), n.alias("priority"))
     return SC.dispatch_waves(t, {"crawl": 2, "search": 1}).select("run_id", "node_key", F.col("depth").cast("long").alias("depth"), F.col("wave").cast("long").alias("wave"))
 
 
