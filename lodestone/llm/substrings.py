@@ -291,8 +291,9 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, more: list[str], with_
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with all their columns, repeated passages cut from the text; a character that loses some of its bytes goes as a whole. n_chars_col, if there, holds the new length."""
-    done = _removed(docs, id_col, text_col, docs.columns, True)
-    kept = free_name("kept", [id_col, *docs.columns])
+    more = [c for c in docs.columns if c != text_col]  # the text itself goes through the workers once
+    done = _removed(docs, id_col, text_col, more, True)
+    kept = free_name("kept", [id_col, *more])
     text = F.col(kept).cast("string")
     clean = F.coalesce(F.try_validate_utf8(text), F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
     out = done.withColumn(text_col, clean)

@@ -21,13 +21,13 @@ keep their names, and score and predicted get the first free name (score_1, ...)
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from lodestone.llm._common import free_name, packed, slices, table, utf8_of
 
@@ -264,17 +264,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def _scored(docs: DataFrame, model: Network | float, text_col: str, kept: list[str], threshold: float) -> DataFrame:
-    """row (a struct of the kept columns), score, predicted."""
+    """row (a struct of the kept columns), score, predicted. Only the texts go to the Python workers, and only scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(DoubleType())
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = shared.value
-        for b in slices(batches, "text", SLICE):
-            s = np.full(b.num_rows, net) if isinstance(net, float) else _sigmoid(net.logits([words_of(t) for t in utf8_of(b.column(0))]).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["row", "score", "predicted"])
+        for t in texts:
+            found = [np.full(b.num_rows, net) if isinstance(net, float) else _sigmoid(net.logits([words_of(x) for x in utf8_of(b.column(0))]).astype(np.float64)) for b in slices([pa.RecordBatch.from_arrays([t], ["text"])], "text", SLICE)]
+            yield pa.array(np.concatenate(found) if found else [], pa.float64())
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), packed(docs, kept).alias("row"))
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    rows = docs.select(packed(docs, kept).alias("row"), scores(F.col(f"`{text_col}`").cast("string")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def score(docs: DataFrame, model: Network | float, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
