@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Workspace, slices, table, utf8_of
+from lodestone.llm._common import Workspace, slices, small_batches, table, utf8_of
 from lodestone.llm.components import components
 
 THRESHOLD, RADIUS, WORDS, HOT = 4, 3, 4, 20_000
@@ -225,6 +225,7 @@ def links(ws: Workspace, prints: DataFrame, *, hot: int = HOT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS) -> DataFrame:
     """One row per document: id, fp (long), component_id: the smallest id that a chain of links reaches."""
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "simhash")
     prints = ws.keep("prints", fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     nodes = ws.keep("nodes", prints.groupBy("fp").agg(F.min("id").alias("rep")))
@@ -236,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_MOST_WORDS = 200_000
+_MOST_WORDS = 50_000
 
 
 class _Words(dict):
@@ -476,6 +477,7 @@ def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int
     fourfold each turn, so in the end every anchor has given all.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ws = Workspace(spark, "similar")
     rows = docs.select(F.col(row_col).alias("row"), F.col(text_col).cast("string").alias("text"))
     sketches = ws.keep("sketches", signatures(rows, width, prints))

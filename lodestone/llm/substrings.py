@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from lodestone.llm._common import Workspace, free_name, packed, slices, table, utf8_of
+from lodestone.llm._common import Workspace, free_name, packed, slices, small_batches, table, utf8_of
 
 LENGTH, GRAM, SPAN = 100, 16, 64
 SHARED = LENGTH - SPAN  # bytes from the anchor that all windows of a run hold
 PIECE = 8
 CORE = LENGTH - PIECE + 1
-CHUNK, HELD = 1 << 20, 400_000
+CHUNK, HELD = 1 << 18, 200_000  # bytes hashed at once, runs sorted at once
 _NONE = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 _LETTER = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -277,6 +277,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, more: list[str], with_kept: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "substrings")
     rows = numbered(ws, docs, id_col, text_col, more)
     found = ws.keep("found", spans(ws, rows).groupBy("doc", "copy").agg(F.collect_list(F.struct("s", "n")).alias("spans")))

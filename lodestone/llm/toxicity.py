@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lodestone.llm._common import free_name, packed, slices, table, utf8_of
+from lodestone.llm._common import free_name, packed, slices, small_batches, table, utf8_of
 
 WINDOW, STRIDE, HIDDEN, DIM, PIECE = 32, 24, 8, 8, 24
 WORDS, GRAMS = 1 << 14, 1 << 12
@@ -265,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 def _scored(docs: DataFrame, model: Network | float, text_col: str, kept: list[str], threshold: float) -> DataFrame:
     """row (a struct of the kept columns), score, predicted. Only the texts go to the Python workers, and only scores come back."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(DoubleType())
