@@ -19,7 +19,8 @@ Components follow from the forests.
 carry that (two texts of similarity 0.8 differ in about 9 of 64 bits), so every shingle set gets PRINTS independent
 fingerprints, each dealt to the same anchors. Sets that meet at an anchor of any of them and differ there in at most
 NEAR bits are candidates, and every candidate is verified by the sets themselves: no pair below the similarity is
-linked. Pairs right at the similarity are found with a probability that grows with PRINTS; README has measured recalls.
+linked. Pairs right at the similarity are found with a probability that grows with PRINTS; README has measured recalls. Large groups, whose pairs grow
+with the square, leave anchors as spanning forests of candidates; the crowds that these connect are compared in tasks.
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other (in `similar`: with each other);
 repeated ids share a row's fate each; an empty table gives no rows; other columns are not read, whatever their names.
@@ -28,23 +29,24 @@ repeated ids share a row's fate each; an empty table gives no rows; other column
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache, partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import Workspace, slices, small_batches, table, utf8_of
 from lodestone.llm.components import components
 
 THRESHOLD, RADIUS, WORDS, HOT = 4, 3, 4, 20_000
-SIMILAR_WORDS, PRINTS, NEAR, FEW, SMALL = 5, 8, 14, 8, 64
+SIMILAR_WORDS, PRINTS, NEAR, FEW, SMALL = 5, 8, 14, 2, 64
+CELL_ROWS, CELL_WORDS = 8192, 1 << 19  # of each of the two parts of a crowd that are compared in one task
 MOST_SENT = 1 << 20  # row numbers that are sent to all tasks, 8 bytes each
-PAIR, LEAD, OPEN = 0, 1, 2
+PAIR, CROWD = 0, 1
 GOLAY = 0xC75  # generator polynomial of the binary Golay code of length 23
 BLOCKS = [(23, 8), (31, 8), (39, 8), (47, 8), (55, 9)]  # first bit, width
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -308,110 +310,101 @@ def sets_of(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "row long, held array<long>")
 
 
-def _near(fp: np.ndarray, home: np.ndarray, label: np.ndarray, most: int, near: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Pairs of places in one anchor of different labels, one of them at home there, within `near` bits; None once there are more than `most`."""
-    left, right, n = [], [], 0
-    mine = np.nonzero(home)[0]
-    for i in range(0, len(mine), 64):
-        at = mine[i : i + 64, None]
-        p, q = np.nonzero((np.bitwise_count(fp[at] ^ fp) <= near) & (label[at] != label))
-        p = mine[i + p]
-        once = (p < q) | ~home[q]
+def _counts(fp: np.ndarray, home: np.ndarray, rows: np.ndarray, others: np.ndarray, near: int) -> np.ndarray:
+    """How many of the others, itself among them, each of these rows of one anchor is within `near` bits of, one of the two at home there."""
+    found = [((np.bitwise_count(fp[at := rows[i : i + 64], None] ^ fp[others]) <= near) & (home[at, None] | home[others])).sum(1) for i in range(0, len(rows), 64)]
+    return np.concatenate(found) if found else rows[:0]
+
+
+def _reached(n: int, close: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first row of each of n rows' part; close(rows, others): which of the others (columns) are linked to which rows. A row is held against those that no part has yet."""
+    root, left = np.arange(n), np.arange(n)
+    while len(left):
+        lead, todo, left = left[0], left[:1], left[1:]
+        while len(todo) and len(left):
+            met = close(todo[:64], left).any(0)
+            root[left[met]] = lead
+            todo, left = np.concatenate([todo[64:], left[met]]), left[~met]
+    return root
+
+
+def _in_anchor(fp: np.ndarray, home: np.ndarray, few: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one anchor: the pairs (two arrays of places) of those that have `few` candidates at most, and the crowds of the others (for each row the first of its crowd, or itself)."""
+    every = np.arange(len(fp))
+    n = _counts(fp, home, every, every[:512], near) - (home & (every < 512))
+    scarce = n <= few
+    n[scarce] = _counts(fp, home, every[scarce], every, near) - home[scarce]
+    rest, many = np.nonzero(n <= few)[0], np.nonzero(n > few)[0]
+    alone, left, right = n <= few, [], []
+    for i in range(0, len(rest), 64):
+        at = rest[i : i + 64]
+        p, q = np.nonzero((np.bitwise_count(fp[at, None] ^ fp) <= near) & (home[at, None] | home))
+        p = at[p]
+        once = (p < q) | (p > q) & ~alone[q]
         left.append(p[once])
         right.append(q[once])
-        n += len(left[-1])
-        if n > most:
-            return None
-    return (np.concatenate(left), np.concatenate(right)) if left else (mine[:0], mine[:0])
+    root = every.copy()
+    f, h = fp[many], home[many]
+    root[many] = many[_reached(len(many), lambda x, y: (np.bitwise_count(f[x, None] ^ f[y]) <= near) & (h[x, None] | h[y]))]
+    return np.concatenate([every[:0], *left]), np.concatenate([every[:0], *right]), root
 
 
-def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp, tag and, from the second turn on, label), sorted by key. Out come rows (u, v, kind).
+def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, fp, tag), sorted by key. Out come rows (u, v, kind).
 
-    PAIR: all candidates of different labels of an anchor that has `few` a row at most. LEAD: of other anchors
-    candidates of which each row u needs only one; OPEN: the rows of these anchors, whose further candidates are still to
-    come.
+    PAIR: the candidates of rows that have `few` in their anchor at most. CROWD: of the others a spanning forest of the
+    candidates, over all anchors of the task. An anchor of more than `hot` rows is passed through as one crowd.
     """
-    open_: list[np.ndarray] = []
-    heads = max(1, few // 8)
+    crowds: list[tuple] = []
 
     def rows_of(u: np.ndarray, v: np.ndarray, kind: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kind, np.int32))], ["u", "v", "kind"])
 
-    def leads(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-        """Each u with its smallest v."""
-        o = np.lexsort((v, u))
-        u, v = u[o], v[o]
-        one = np.concatenate([[True], u[1:] != u[:-1]]) if len(u) else np.zeros(0, bool)
-        return rows_of(u[one], v[one], LEAD)
-
-    def first_of(node: np.ndarray) -> np.ndarray:
-        return np.argsort(node if not turn else _mix(node.view(np.uint64) + np.uint64(turn) * _GOLDEN), kind="stable")[:heads]
-
-    def led(lead: tuple, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u, v = [], []
-        for i in range(0, len(lead[0]), step := max(1, (1 << 22) // max(1, len(fp)))):
-            p, q = np.nonzero((np.bitwise_count(lead[0][i : i + step, None] ^ fp) <= near) & (lead[2][i : i + step, None] != label))
-            u.append(lead[1][i + p])
-            v.append(node[q])
-        return np.concatenate(v), np.concatenate(u)
-
-    def noted(node: np.ndarray) -> None:
-        open_.append(np.unique(node))
-        if sum(map(len, open_)) > 1 << 20:
-            open_[:] = [np.unique(np.concatenate(open_))]
-
-    def out(key: np.ndarray, fp: np.ndarray, tag: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def noted(u: np.ndarray, v: np.ndarray) -> None:
+        crowds.append((u[u != v], v[u != v]))
+        if sum(len(x) for x, _ in crowds) > 1 << 18:
+            crowds[:] = [forest(*(np.concatenate(c) for c in zip(*crowds, strict=True)))]
+
+    def out(key: np.ndarray, fp: np.ndarray, tag: np.ndarray) -> Iterator[pa.RecordBatch]:
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
         size = np.diff(np.append(first, len(key)))
-        home, node, found, led_ = (tag & 1) > 0, tag >> 1, [], []
+        home, node, found = (tag & 1) > 0, tag >> 1, []
         # anchors of a few rows, all at once: every row with the d-th after it
-        rows = np.nonzero(np.repeat((size > 1) & (size <= min(few, 64)), size))[0]
+        rows = np.nonzero(np.repeat((size > 1) & (size <= 64), size))[0]
         room = np.repeat(first + size, size)[rows] - 1 - rows
-        for d in range(1, min(few, 64)):
+        left, right = [rows[:0]], [rows[:0]]
+        for d in range(1, 64):
             rows, room = rows[room >= d], room[room >= d]
             if not rows.size:
                 break
-            met = (np.bitwise_count(fp[rows] ^ fp[rows + d]) <= near) & (home[rows] | home[rows + d]) & (label[rows] != label[rows + d])
-            found.append((node[rows[met]], node[rows[met] + d]))
-        for i in np.nonzero(size > min(few, 64))[0]:
+            met = rows[(np.bitwise_count(fp[rows] ^ fp[rows + d]) <= near) & (home[rows] | home[rows + d])]
+            left.append(met)
+            right.append(met + d)
+        p, q = np.concatenate(left), np.concatenate(right)
+        n = np.bincount(p, minlength=len(key)) + np.bincount(q, minlength=len(key))
+        many = (n[p] > few) & (n[q] > few)
+        found.append((node[p[~many]], node[q[~many]]))
+        noted(node[p[many]], node[q[many]])
+        for i in np.nonzero(size > 64)[0]:
             at = slice(first[i], first[i] + size[i])
-            got = _near(fp[at], home[at], label[at], few * int(size[i]), near)
-            if got is None:
-                lead = first_of(node[at])
-                led_.append(led((fp[at][lead], node[at][lead], label[at][lead]), fp[at], node[at], label[at]))
-                noted(node[at])
-            else:
-                found.append((node[at][got[0]], node[at][got[1]]))
+            p, q, root = _in_anchor(fp[at], home[at], few, near)
+            found.append((node[at][p], node[at][q]))
+            noted(node[at], node[at][root])
         u, v = (np.concatenate(x) for x in zip((node[:0], node[:0]), *found, strict=True))
-        u, v = np.maximum(u, v), np.minimum(u, v)
-        yield rows_of(u, v, PAIR)
-        if led_:
-            yield leads(*(np.concatenate(x) for x in zip(*led_, strict=True)))
+        yield rows_of(np.maximum(u, v), np.minimum(u, v), PAIR)
 
     held: list[tuple] = []  # rows of the last anchor, which may go on
-    n_held, through, lead = 0, None, None  # an anchor that has more than `hot` rows already, and what its rows meet
-    passed: list[tuple] = []  # its rows and their labels; if these are all one, nothing is open
-
-    def close() -> None:
-        if passed and min(x for _, x, _ in passed) != max(x for _, _, x in passed):
-            noted(np.concatenate([x for x, _, _ in passed]))
-        passed.clear()
+    n_held, through, lead = 0, None, None  # an anchor that has more than `hot` rows already, and its first row
     for b in batches:
         if not b.num_rows:
             continue
         rows = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()
-        rows = *rows, b.column(3).to_numpy() if b.num_columns > 3 else rows[2] >> 1
         if through is not None:
             mine = int(np.searchsorted(rows[0], through, "right"))
-            if mine:
-                node = rows[2][:mine] >> 1
-                yield leads(*led(lead, rows[1][:mine], node, rows[3][:mine]))
-                passed.append((np.unique(node), rows[3][:mine].min(), rows[3][:mine].max()))
-                rows = tuple(c[mine:] for c in rows)
+            noted(rows[2][:mine] >> 1, np.full(mine, lead))
+            rows = tuple(c[mine:] for c in rows)
             if not len(rows[0]):
                 continue
-            close()
             through = None
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
         if held and (cut or held[0][0][0] != rows[0][0]):
@@ -423,19 +416,15 @@ def _meet(batches: Iterable[pa.RecordBatch], near: int, hot: int, few: int, turn
             rows = tuple(c[cut:] for c in rows)
         held.append(rows)
         n_held += len(rows[0])
-        if n_held > max(hot, heads):
-            key, fp, tag, label = (np.concatenate(c) for c in zip(*held, strict=True))
-            at = first_of(tag >> 1)
-            lead = fp[at], tag[at] >> 1, label[at]
-            yield leads(*led(lead, fp, tag >> 1, label))
-            passed.append((np.unique(tag >> 1), label.min(), label.max()))
-            held, n_held, through = [], 0, int(key[-1])
-    close()
+        if n_held > hot:
+            key, _, tag = (np.concatenate(c) for c in zip(*held, strict=True))
+            through, lead = int(key[-1]), int(tag[0] >> 1)
+            noted(tag >> 1, np.full(len(tag), lead))
+            held, n_held = [], 0
     if held:
         yield from out(*(np.concatenate(c) for c in zip(*held, strict=True)))
-    if open_:
-        node = np.unique(np.concatenate(open_))
-        yield rows_of(node, node, OPEN)
+    if crowds:
+        yield rows_of(*forest(*(np.concatenate(c) for c in zip(*crowds, strict=True))), CROWD)
 
 
 def sent_if_few(rows: DataFrame) -> DataFrame:
@@ -450,14 +439,96 @@ def bits_apart(prints: int, similarity: tuple[int, int]) -> tuple[int, int]:
     return math.ceil(mean * prints + 15 * root), math.ceil((mean + 2.3) * prints + 17 * root)
 
 
+def _open(n: np.ndarray, prints: np.ndarray, rows: np.ndarray, others: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Which of the others (columns) these rows may be similar to by what near_enough looks at."""
+    p, q = similarity
+    large, small = bits_apart(prints.shape[1], similarity)
+    apart = np.zeros((len(rows), len(others)), np.int64)
+    for k in range(prints.shape[1]):
+        apart += np.bitwise_count(prints[rows, None, k] ^ prints[others, k])
+    least, most = np.minimum(n[rows, None], n[others]), np.maximum(n[rows, None], n[others])
+    return (q * least >= p * most) & (apart <= np.where(least < SMALL, small, large))
+
+
+def linked(n: np.ndarray, prints: np.ndarray, part: np.ndarray, held: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """For each row the first row of its component: links by the similarity of the sets, which lie end to end in `held`. If there are two parts, only rows of different parts are compared."""
+    p, q = similarity
+    _, word = np.unique(held, return_inverse=True)
+    ends = np.cumsum(n)
+    sets = np.split(word, ends[:-1])
+    seen, root, two = np.zeros(word.max(initial=0) + 1, bool), np.arange(len(n)), len(np.unique(part)) > 1
+    for i in range(0, len(n), 64):
+        at, after = np.arange(i, min(i + 64, len(n))), np.arange(i, len(n))
+        for row, near in zip(at, _open(n, prints, at, after, similarity), strict=True):
+            other = after[near & (root[after] != root[row]) & (after > row)]
+            other = other[part[other] != part[row]] if two else other
+            if not len(other):
+                continue
+            seen[sets[row]] = True
+            shared = np.add.reduceat(seen[np.concatenate([sets[j] for j in other])], np.cumsum(n[other]) - n[other], dtype=np.int64)
+            seen[sets[row]] = False
+            met = other[q * shared >= p * (n[row] + n[other] - shared)]
+            roots = np.unique(root[[row, *met]])
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[0]
+    return root
+
+
+def in_cells(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Members (node, crowd, ...) dealt out so that all pairs of a crowd meet in cells (a, b) of about 2 * most weight: `part` is a row's own part, a or b. A small crowd is one cell."""
+    large = members.groupBy("crowd").agg(F.ceil(F.sum(weight) / most).cast("int").alias("_parts")).filter("_parts > 1")
+    own = members.join(F.broadcast(large), "crowd", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("_parts")).cast("int"))
+    cells = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("a", F.least("part", "_other")).withColumn("b", F.greatest("part", "_other")).drop("_parts", "_other")
+    return cells.repartition(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "crowd", "a", "b")  # what stands by crowd alone would do for groupBy, too
+
+
+def _cell(t: pa.Table, prints: int) -> tuple[np.ndarray, ...]:
+    flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy().view(np.uint64)
+    return t.column("node").to_numpy(), t.column("n").to_numpy(), flat("prints").reshape(-1, prints)
+
+
+def _edges(node: np.ndarray, root: np.ndarray) -> pa.Table:
+    moved = root != np.arange(len(root))
+    return pa.table({"u": node[moved], "v": node[root[moved]]})
+
+
+def crowd_links(ws: Workspace, rows: DataFrame, own: DataFrame, similarity: tuple[int, int], prints: int, width: int) -> DataFrame:
+    """own: node, n, prints, crowd (null for most). Rows (u, v): a spanning forest of the similar pairs of every crowd.
+
+    All pairs of a crowd are compared, cell by cell, first by sizes and fingerprints, of which components remain (rows that
+    met by chance fall apart here), then by the sets in each of these.
+    """
+
+    def near(t: pa.Table) -> pa.Table:
+        node, n, every = _cell(t, prints)
+        return _edges(node, _reached(len(node), lambda x, y: _open(n, every, x, y, similarity)))
+
+    def same(t: pa.Table) -> pa.Table:
+        node, n, every = _cell(t, prints)
+        held = t.column("held").combine_chunks().flatten().to_numpy().view(np.uint64)
+        return _edges(node, linked(n, every, t.column("part").to_numpy(), held, similarity))
+
+    met = in_cells(own.filter("crowd IS NOT NULL"), F.lit(1), CELL_ROWS).groupBy("crowd", "a", "b").applyInArrow(near, "u long, v long")
+    star = components(ws, met)
+    fine = ws.keep("fine", own.drop("crowd").join(crowds_of(star), "node"))
+    sets = sets_of(rows.join(sent_if_few(fine.select(F.col("node").alias("row"))), "row", "left_semi"), width).withColumnRenamed("row", "node")
+    return ws.keep("crowd_links", in_cells(ws.keep("crowd_sets", fine.join(sets, "node")), F.col("n"), CELL_WORDS).groupBy("crowd", "a", "b").applyInArrow(same, "u long, v long"))
+
+
+def crowds_of(star: DataFrame) -> DataFrame:
+    """node, crowd: the members of the components that a star (u, v) gives, the smallest included."""
+    return star.select(F.col("u").alias("node"), F.col("v").alias("crowd")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("crowd")).distinct())
+
+
 def near_enough(pairs: DataFrame, own: DataFrame, similarity: tuple[int, int], prints: int) -> DataFrame:
-    """Of pairs (u, v) those that their sizes and all fingerprints together leave open, 8 bytes each: what met at one anchor by chance is far apart in the other fingerprints."""
+    """Of pairs (u, v) those that their sizes and all fingerprints together leave open, 8 bytes each: what met at one anchor by chance is far apart in the other fingerprints. Pairs within a crowd are left to crowd_links."""
     p, q = similarity
     large, small = bits_apart(prints, similarity)
-    side = lambda c, n, f: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("prints").alias(f))
+    side = lambda c, n, f, k: own.select(F.col("node").alias(c), F.col("n").alias(n), F.col("prints").alias(f), F.coalesce("crowd", F.lit(-1)).alias(k))
     apart = F.aggregate(F.zip_with("f", "g", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     near = apart <= F.when(F.least("a", "b") < SMALL, small).otherwise(large)
-    return pairs.join(side("u", "a", "f"), "u").join(side("v", "b", "g"), "v").filter((q * F.least("a", "b") >= p * F.greatest("a", "b")) & near).select("u", "v")
+    both = pairs.join(side("u", "a", "f", "c"), "u").join(side("v", "b", "g", "d"), "v")
+    return both.filter(((F.col("c") != F.col("d")) | (F.col("c") < 0)) & (q * F.least("a", "b") >= p * F.greatest("a", "b")) & near).select("u", "v")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -471,10 +542,10 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Dat
 def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int = SIMILAR_WORDS, similarity: tuple[int, int] = (4, 5), prints: int = PRINTS, near: int = NEAR, hot: int = HOT, few: int = FEW) -> DataFrame:
     """One row per document: row_col, component (the smallest row_col that a chain of links reaches). row_col: long, unique, the same in every scan.
 
-    Only components are wanted, so candidates within one component need no look. Anchors with at most `few` candidates a
-    row give them all. The others (large groups, whose pairs would grow with the square) give one a row, and their rows
-    are dealt out again with the labels that they have by then: only candidates of different labels count. `few` grows
-    fourfold each turn, so in the end every anchor has given all.
+    Rows with at most `few` candidates in an anchor give them as pairs. The others (large groups, whose pairs would grow
+    with the square) give a spanning forest of theirs; what that connects is a crowd, and the pairs of a crowd are
+    compared where its rows lie together, so that only a forest of links leaves a task. `few` shares out the work between
+    the two ways; both compare every candidate, so it has no part in the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -490,32 +561,22 @@ def similar(docs: DataFrame, *, row_col: str, text_col: str = "text", width: int
             for i in range(0, b.num_rows, 4096):
                 part = b.slice(i, 4096)
                 node, every = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().view(np.uint64).reshape(part.num_rows, prints)
-                label = [part.column(2).to_numpy()] if part.num_columns > 2 else []
                 for k in range(prints):
                     key, at, home = anchors(every[:, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(k << 44 | key), pa.array(every[at, k].view(np.int64)), pa.array(node[at] << 1 | home), *(pa.array(x[at]) for x in label)], ["key", "fp", "tag", *["label"] * len(label)])
-
-    def labelled(df: DataFrame, star: DataFrame, node: str, label: str) -> DataFrame:
-        return df.join(star.select(F.col("u").alias(node), F.col("v").alias("_l")), node, "left").withColumn(label, F.coalesce("_l", node)).drop("_l")
-
-    star, todo, turn = None, own.select("node", "prints"), 0
-    while True:
-        dealt = todo.mapInArrow(spread, "key long, fp long, tag long" + ", label long" * bool(turn)).repartition(n, "key").sortWithinPartitions("key")
-        met = ws.keep("met", dealt.mapInArrow(lambda bs, f=few, t=turn: _meet(bs, near, hot, f, t), "u long, v long, kind int"))
-        lead = met.filter(F.col("kind") == LEAD).groupBy("u").agg(F.min("v").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = ws.keep("pairs", near_enough(met.filter(F.col("kind") == PAIR).select("u", "v").unionByName(lead).distinct(), own, similarity, prints))
-        some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-        sets = ws.keep("sets", sets_of(rows.join(sent_if_few(some), "row", "left_semi"), width))
-        links = ws.keep("links", alike(pairs, sets, similarity))
-        star = components(ws, links if star is None else star.unionByName(links))
-        again = met.filter(F.col("kind") == OPEN).select(F.col("u").alias("node")).distinct()
-        if again.isEmpty():
-            break
-        todo = ws.keep("todo", labelled(own.join(again, "node"), star, "node", "label").select("node", "prints", "label"))
-        few, turn = few if not turn else 4 * few, turn + 1
-    named = labelled(nodes, star, "node", "component").select("same", "component")
+                    yield pa.RecordBatch.from_arrays([pa.array(k << 44 | key), pa.array(every[at, k].view(np.int64)), pa.array(node[at] << 1 | home)], ["key", "fp", "tag"])
+
+    dealt = own.select("node", "prints").mapInArrow(spread, "key long, fp long, tag long").repartition(n, "key").sortWithinPartitions("key")
+    met = ws.keep("met", dealt.mapInArrow(lambda bs: _meet(bs, near, hot, few), "u long, v long, kind int"))
+    star = components(ws, met.filter(F.col("kind") == CROWD).select("u", "v"))
+    own = ws.keep("crowded", own.join(crowds_of(star), "node", "left"))
+    links = crowd_links(ws, rows, own, similarity, prints, width)
+    pairs = ws.keep("pairs", near_enough(met.filter(F.col("kind") == PAIR).select("u", "v").distinct(), own, similarity, prints))
+    some = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    sets = ws.keep("sets", sets_of(rows.join(sent_if_few(some), "row", "left_semi"), width))
+    star = components(ws, links.unionByName(alike(pairs, sets, similarity)))
+    named = nodes.join(star.select(F.col("u").alias("node"), F.col("v").alias("_l")), "node", "left").select("same", F.coalesce("_l", "node").alias("component"))
     found = ws.keep("found", sketches.select("row", "same").join(named, "same").select(F.col("row").alias(row_col), "component"))
-    ws.free("sketches", "nodes", "own", "met", "pairs", "sets", "links", "todo", "edges")
+    ws.free("sketches", "nodes", "own", "met", "crowded", "fine", "crowd_sets", "crowd_links", "pairs", "sets", "edges")
     return found
 
 

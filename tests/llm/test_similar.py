@@ -93,3 +93,42 @@ def test_stage_keeps_a_row_of_each_text_whatever_its_id(spark):
     out = corpus_pipeline.one_of_each_group(spark, df, SF).collect()
     want = [(None, say(0)), (None, say(1)), (None, say(2)), (7, say(3)), (7, say(4)), (9, say(5))]
     assert sorted((repr(r.doc_id), r.text) for r in out) == sorted((repr(i), t) for i, t in want)
+
+
+def near_copies(n):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    out = []
+    for k in range(n):
+        v = list(base)
+        for i in rng.sample(range(150), rng.randrange(2, 6)):
+            v[i] = f"c{k}x{i}"
+        out.append(" ".join(v))
+    return out
+
+
+def test_pairs_of_a_large_group_of_near_copies_stay_few(spark, monkeypatch):
+    """Many of these are a little below 0.8 of each other; their pairs don't pass from task to task."""
+    texts, real, made = near_copies(300), simhash.near_enough, []
+
+    def counted(pairs, *more):
+        found = real(pairs, *more)
+        made.append((pairs.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(simhash, "near_enough", counted)
+    got = {r.row: r.component for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), row_col="row").collect()}
+    want = brute(texts)
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < 300
+    assert sum(n + m for n, m in made) < 50 * len(texts)
+
+
+def test_crowds_in_many_cells(spark, monkeypatch):
+    """Crowds of any size give what brute force gives, whatever way candidates go."""
+    texts = near_copies(80) + texts_of(spark)[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "CELL_ROWS", 25)
+    monkeypatch.setattr(simhash, "CELL_WORDS", 3000)
+    want = dict(enumerate(brute(texts)))
+    assert {r.row: r.component for r in simhash.similar(df, row_col="row", few=0).collect()} == want
+    assert {r.row: r.component for r in simhash.similar(df, row_col="row", few=10**6).collect()} == want
